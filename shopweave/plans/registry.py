@@ -360,3 +360,181 @@ def q_top_shops(spark, sf):
 @register("top_shops_unweighted", _rank_sql(False, _TOP_TAIL))
 def q_top_shops_unweighted(spark, sf):
     return R.top_shops(_rank_query(spark, sf, False), TOP_K)
+
+
+# --------------------------------------------------------------------------
+# Hub similarity, clusters, cut weight, shortest paths, silhouette
+# --------------------------------------------------------------------------
+
+def _sim_ctes(city: str | None = None) -> str:
+    filt = ""
+    if city is not None:
+        filt = f" where shop_id in (select shop_id from shop_info where city = '{city}')"
+    return f""",
+pf as (select * from pay_log{filt}),
+vf as (select * from view_log{filt}),
+ev as (select user_id, shop_id, {_f(1.0)} * {_tw_sql()} as weight from pf
+       union all select user_id, shop_id, {_f(0.5)} * {_tw_sql()} as weight from vf),
+us as (select user_id as src, shop_id as dst, sum(weight) as weight from ev group by user_id, shop_id
+       having sum(weight) <> 0),
+un as (select us.src, us.dst, us.weight / o.tot as weight from us
+       join (select src, sum(weight) as tot from us group by src) o on us.src = o.src),
+hub as (select shop_id, hub, hub_weight from (
+          select dst as shop_id, src as hub, weight as hub_weight,
+                 row_number() over (partition by dst order by weight desc, src) as rn from un) h where rn = 1),
+star as (select u.src as usr, h.hub, u.weight * h.hub_weight as w, u.dst as via_shop
+         from un u join hub h on u.dst = h.shop_id),
+sim as (select usr as src, hub as dst, w as weight, via_shop from star where usr <> hub
+        union all select hub as src, usr as dst, w as weight, via_shop from star where usr <> hub)"""
+
+
+def _sim_norm_ctes() -> str:
+    """simn: similarity edges normalised per source; cl: home-city clusters."""
+    return _sim_ctes() + """,
+simn as (select s.src, s.dst, s.weight / o.tot as weight from sim s
+         join (select src, sum(weight) as tot from sim group by src) o on s.src = o.src),
+cl as (select id, cast(location_id as integer) as cluster from (
+         select src as id, dst as shop_id, row_number() over (partition by src order by weight desc, dst) as rn
+         from un) t join shop_info s on t.shop_id = s.shop_id where rn = 1)"""
+
+
+def _similarity(spark, sf, city=None) -> DataFrame:
+    from shopweave.operators.similarity import similarity_graph
+
+    pay, view, shop = _logs(spark, sf)
+    return similarity_graph(pay, view, shop, START, AS_OF, city=city)
+
+
+def _user_shop_norm(spark, sf) -> DataFrame:
+    pay, view, _ = _logs(spark, sf)
+    return G.normalize_out_weights(G.user_shop_edges(G.weighted_events(pay, view, START, AS_OF), False, prefixed=False))
+
+
+def _sim_normalized(spark, sf) -> DataFrame:
+    return G.normalize_out_weights(_similarity(spark, sf).select("src", "dst", "weight"))
+
+
+def _home_clusters(spark, sf) -> DataFrame:
+    from shopweave.operators.clusters import home_city_clusters
+
+    return home_city_clusters(_user_shop_norm(spark, sf), shop_table(spark, sf))
+
+
+@register("shop_hub", base_ctes() + _sim_ctes() + """
+select shop_id, hub, round(hub_weight, 9) as hub_weight from hub""")
+def q_shop_hub(spark, sf):
+    from shopweave.operators.similarity import shop_hubs
+
+    h = shop_hubs(_user_shop_norm(spark, sf))
+    return h.select("shop_id", "hub", round9("hub_weight").alias("hub_weight"))
+
+
+@register("hub_similarity", base_ctes() + _sim_ctes() + """
+select src, dst, round(weight, 9) as weight, via_shop from sim""")
+def q_hub_similarity(spark, sf):
+    s = _similarity(spark, sf)
+    return s.select("src", "dst", round9("weight").alias("weight"), "via_shop")
+
+
+@register("city_similarity", base_ctes() + _sim_ctes(CITY) + """
+select src, dst, round(weight, 9) as weight, via_shop from sim""")
+def q_city_similarity(spark, sf):
+    s = _similarity(spark, sf, city=CITY)
+    return s.select("src", "dst", round9("weight").alias("weight"), "via_shop")
+
+
+@register("similarity_pairs", base_ctes() + _sim_ctes() + """
+select least(src, dst) as src, greatest(src, dst) as dst, round(sum(weight), 9) as weight
+from sim group by least(src, dst), greatest(src, dst)""")
+def q_similarity_pairs(spark, sf):
+    from shopweave.operators.similarity import symmetric_pairs
+
+    p = symmetric_pairs(_similarity(spark, sf))
+    return p.select("src", "dst", round9("weight").alias("weight"))
+
+
+@register("home_clusters", base_ctes() + _sim_norm_ctes() + """
+select id, cluster from cl""")
+def q_home_clusters(spark, sf):
+    return _home_clusters(spark, sf)
+
+
+@register("cut_weight", base_ctes() + _sim_norm_ctes() + """,
+lab as (select e.weight, coalesce(a.cluster, 0) as cs, coalesce(b.cluster, 0) as cd
+        from simn e left join cl a on e.src = a.id left join cl b on e.dst = b.id)
+select round(sum(case when cs <> cd then weight else 0.0 end), 9) as cut_weight,
+       round(sum(weight), 9) as total_weight,
+       cast(sum(case when cs <> cd then 1 else 0 end) as bigint) as cut_edges, count(*) as edges from lab""")
+def q_cut_weight(spark, sf):
+    from shopweave.operators.clusters import cut_weight
+
+    c = cut_weight(_sim_normalized(spark, sf), _home_clusters(spark, sf))
+    return c.select(round9("cut_weight").alias("cut_weight"), round9("total_weight").alias("total_weight"),
+                    "cut_edges", "edges")
+
+
+SSSP_SQL_ROUNDS = 16
+
+
+def _sssp_ctes(sources_sql: str, rounds: int = SSSP_SQL_ROUNDS) -> str:
+    parts = [
+        "de as (select src, dst, 1.0 / weight as w from simn)",
+        f"d0 as (select source, source as id, 0.0 as dist from ({sources_sql}) s)",
+    ]
+    for k in range(1, rounds + 1):
+        parts.append(
+            f"d{k} as (select source, id, min(dist) as dist from ("
+            f"select source, id, dist from d{k - 1} union all "
+            f"select d.source, de.dst as id, d.dist + de.w as dist from d{k - 1} d join de on d.id = de.src"
+            f") x group by source, id)"
+        )
+    return ",\n" + ",\n".join(parts)
+
+
+def _sssp(spark, sf, sources: DataFrame) -> DataFrame:
+    from shopweave.operators.clusters import shortest_paths, to_distances
+
+    return shortest_paths(to_distances(_sim_normalized(spark, sf)), sources)
+
+
+def _hub_sources(spark, sf) -> DataFrame:
+    from shopweave.operators.similarity import shop_hubs
+
+    return shop_hubs(_user_shop_norm(spark, sf)).select(F.col("hub").alias("source")).distinct()
+
+
+_SEED_SOURCES = f"select cast({SEED_USER} as bigint) as source"
+_HUB_SOURCES = "select distinct hub as source from hub"
+
+
+@register("sssp", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_SEED_SOURCES) + f"""
+select source, id, round(dist, 9) as dist from d{SSSP_SQL_ROUNDS}""")
+def q_sssp(spark, sf):
+    src = spark.range(1).select(F.lit(SEED_USER).cast("long").alias("source"))
+    d = _sssp(spark, sf, src)
+    return d.select("source", "id", round9("dist").alias("dist"))
+
+
+@register("sssp_many", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_HUB_SOURCES) + f"""
+select source, id, round(dist, 9) as dist from d{SSSP_SQL_ROUNDS}""")
+def q_sssp_many(spark, sf):
+    d = _sssp(spark, sf, _hub_sources(spark, sf))
+    return d.select("source", "id", round9("dist").alias("dist"))
+
+
+@register("silhouette", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_HUB_SOURCES) + f""",
+mem as (select v.id, cl.cluster from (select src as id from simn union select dst from simn) v join cl on v.id = cl.id),
+per as (select d.source, m.cluster, sum(d.dist) / count(*) as mean
+        from d{SSSP_SQL_ROUNDS} d join mem m on d.id = m.id group by d.source, m.cluster),
+own as (select h.source, cl.cluster as own from ({_HUB_SOURCES}) h join cl on h.source = cl.id),
+ab as (select p.source, o.own, max(case when p.cluster = o.own then p.mean end) as a,
+              min(case when p.cluster <> o.own then p.mean end) as b
+       from per p join own o on p.source = o.source group by p.source, o.own)
+select source as id, own as cluster, round(a, 9) as a, round(b, 9) as b,
+       round((b - a) / greatest(a, b), 9) as coefficient from ab""")
+def q_silhouette(spark, sf):
+    from shopweave.operators.clusters import silhouette
+
+    samples = _hub_sources(spark, sf).select(F.col("source").alias("id"))
+    s = silhouette(_sim_normalized(spark, sf), _home_clusters(spark, sf), samples, unreachable="drop")
+    return s.select("id", "cluster", *[round9(c).alias(c) for c in ["a", "b", "coefficient"]])
