@@ -27,18 +27,26 @@ def vertex_kind(id_col: str | Column) -> Column:
     return F.when(c.startswith(SHOP_PREFIX), F.lit("shop")).otherwise(F.lit("user"))
 
 
+def epoch_seconds(ts: str | Column) -> Column:
+    """Seconds since 1970-01-01 of a wall-clock (TIMESTAMP_NTZ) value, independent of the session time zone."""
+    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    return (
+        F.unix_date(F.to_date(c)).cast("long") * 86400
+        + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    )
+
+
 def time_weight(ts: str | Column, start: str, as_of: str, mode: str = "recent") -> Column:
     """Linear time weight of an event.
 
     ``recent``: 1 - age/span clipped to [0, 1] (newer events weigh more).
     ``age``:    1 + age/span, the formula as the source job evaluates it
                 (older events weigh more, from 1 to 2).
-    age = as_of - ts and span = as_of - start, both in seconds.
+    age = as_of - ts and span = as_of - start, both in whole seconds.
     """
-    ts_col = F.col(ts) if isinstance(ts, str) else ts
-    as_of_c = F.lit(as_of).cast("timestamp_ntz")
-    age = F.timestamp_diff("SECOND", ts_col.cast("timestamp_ntz"), as_of_c).cast("double")
-    span = F.timestamp_diff("SECOND", F.lit(start).cast("timestamp_ntz"), as_of_c).cast("double")
+    as_of_s = epoch_seconds(F.lit(as_of))
+    age = (as_of_s - epoch_seconds(ts)).cast("double")
+    span = (as_of_s - epoch_seconds(F.lit(start))).cast("double")
     if mode == "recent":
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - age / span))
     if mode == "age":

@@ -538,3 +538,184 @@ def q_silhouette(spark, sf):
     samples = _hub_sources(spark, sf).select(F.col("source").alias("id"))
     s = silhouette(_sim_normalized(spark, sf), _home_clusters(spark, sf), samples, unreachable="drop")
     return s.select("id", "cluster", *[round9(c).alias(c) for c in ["a", "b", "coefficient"]])
+
+
+# --------------------------------------------------------------------------
+# Models, metrics, splits (baseline predictor num_pay has exact SQL oracles)
+# --------------------------------------------------------------------------
+
+def _feat_cte(task: str) -> str:
+    return _features_sql(task).replace("\nselect pv.user_id", "\n, feat as (select pv.user_id", 1) + ")"
+
+
+def _features(spark, sf, task: str) -> DataFrame:
+    pay, view, shop = _logs(spark, sf)
+    return FE.pair_features(pay, view, shop, SPLIT, task)
+
+
+@register("residuals", _feat_cte("regression") + """
+select user_id, shop_id, cast(num_pay as double) as prediction, cast(after_buy_count as double) as label,
+       cast(num_pay as double) - cast(after_buy_count as double) as residual from feat""")
+def q_residuals(spark, sf):
+    from shopweave.operators.models import residuals
+
+    f = _features(spark, sf, "regression").select(
+        "user_id", "shop_id", F.col("num_pay").cast("double").alias("prediction"),
+        F.col("after_buy_count").cast("double").alias("label"))
+    return residuals(f, "prediction", "label")
+
+
+@register("rmse_simple", _feat_cte("regression") + """
+select round(sqrt(avg((cast(num_pay as double) - cast(after_buy_count as double))
+                    * (cast(num_pay as double) - cast(after_buy_count as double)))), 9) as rmse, count(*) as n from feat""")
+def q_rmse_simple(spark, sf):
+    from shopweave.operators.models import rmse
+
+    r = rmse(_features(spark, sf, "regression"), "num_pay", "after_buy_count")
+    return r.select(round9("rmse").alias("rmse"), "n")
+
+
+@register("auc_simple", _feat_cte("classification") + """,
+g as (select num_pay as s, sum(case when bought_after = 1 then 1 else 0 end) as pos,
+             sum(case when bought_after = 1 then 0 else 1 end) as neg from feat group by num_pay),
+c as (select s, pos, neg,
+             coalesce(sum(neg) over (order by s rows between unbounded preceding and 1 preceding), 0) as neg_below
+      from g)
+select round(sum(pos * (neg_below + neg * 0.5)) / (cast(sum(pos) as double) * cast(sum(neg) as double)), 9) as auc,
+       cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives from c""")
+def q_auc_simple(spark, sf):
+    from shopweave.operators.models import auc
+
+    a = auc(_features(spark, sf, "classification"), "num_pay", "bought_after")
+    return a.select(round9("auc").alias("auc"), "positives", "negatives")
+
+
+@register("hash_split", _feat_cte("classification") + """
+select user_id, shop_id,
+       cast(cast(('0x' || substr(md5(concat_ws('|', user_id, shop_id)), 1, 8)) as bigint) % 100 as integer) as bucket,
+       cast(('0x' || substr(md5(concat_ws('|', user_id, shop_id)), 1, 8)) as bigint) % 100 < 80 as is_train
+from feat""")
+def q_hash_split(spark, sf):
+    from shopweave.operators.models import hash_split
+
+    f = _features(spark, sf, "classification").select("user_id", "shop_id")
+    return hash_split(f, ["user_id", "shop_id"])
+
+
+@register("sample_split")
+def q_sample_split(spark, sf):
+    from shopweave.operators.models import sample_split
+
+    f = _features(spark, sf, "regression")
+    train, test = sample_split(f)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@register("rf_class_predictions")
+def q_rf_class_predictions(spark, sf):
+    from shopweave.operators.models import classifier_predictions
+
+    return classifier_predictions(_features(spark, sf, "classification"))
+
+
+@register("rf_class_auc")
+def q_rf_class_auc(spark, sf):
+    from shopweave.operators.models import classifier_predictions, roc_auc_evaluator
+
+    pred = classifier_predictions(_features(spark, sf, "classification")).persist()
+    value = roc_auc_evaluator(pred)
+    out = pred.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
+    return out.withColumn("auc", F.lit(value))
+
+
+def _regression(spark, sf):
+    from shopweave.operators.models import regression_predictions
+
+    return regression_predictions(_features(spark, sf, "regression"))
+
+
+@register("reg_predictions")
+def q_reg_predictions(spark, sf):
+    run = _regression(spark, sf)
+    return run.predictions.select("user_id", "shop_id", "label", "rf_prediction", "gbt_prediction")
+
+
+@register("reg_rmse")
+def q_reg_rmse(spark, sf):
+    from shopweave.operators.models import rmse
+
+    p = _regression(spark, sf).predictions.persist()
+    rf = rmse(p, "rf_prediction", "label").select(F.lit("rf").alias("model"), "rmse", "n")
+    gbt = rmse(p, "gbt_prediction", "label").select(F.lit("gbt").alias("model"), "rmse", "n")
+    return rf.unionByName(gbt)
+
+
+@register("stack_lr_rmse")
+def q_stack_lr_rmse(spark, sf):
+    from shopweave.operators.models import rmse, stack_logistic
+
+    p = _regression(spark, sf).predictions.persist()
+    return rmse(stack_logistic(p), "lr_prediction", "label").select(F.lit("lr_stack").alias("model"), "rmse", "n")
+
+
+@register("stack_gbt_rmse")
+def q_stack_gbt_rmse(spark, sf):
+    from shopweave.operators.models import rmse, stack_gbt
+
+    p = _regression(spark, sf).predictions.persist()
+    return rmse(stack_gbt(p), "gbt2_prediction", "label").select(F.lit("gbt_stack").alias("model"), "rmse", "n")
+
+
+# --------------------------------------------------------------------------
+# Power iteration clustering (labels depend on partition layout: rows only)
+# --------------------------------------------------------------------------
+
+PIC_K = 4
+
+
+def _pic(spark, sf) -> DataFrame:
+    from shopweave.operators.clusters import power_iteration_clusters
+    from shopweave.operators.similarity import symmetric_pairs
+
+    return power_iteration_clusters(symmetric_pairs(_similarity(spark, sf)), PIC_K)
+
+
+@register("pic_clusters")
+def q_pic_clusters(spark, sf):
+    return _pic(spark, sf)
+
+
+@register("pic_cut_weight")
+def q_pic_cut_weight(spark, sf):
+    from shopweave.operators.clusters import cut_weight
+
+    return cut_weight(_sim_normalized(spark, sf), _pic(spark, sf))
+
+
+@register("pic_bipartite")
+def q_pic_bipartite(spark, sf):
+    # Users and shops clustered together on the normalised user→shop graph and
+    # its reverse; both id spaces are folded into one (user 2i, shop 2i+1).
+    from shopweave.operators.clusters import power_iteration_clusters
+    from shopweave.operators.similarity import symmetric_pairs
+
+    us = _user_shop_norm(spark, sf)
+    folded = us.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"), "weight")
+    labels = power_iteration_clusters(symmetric_pairs(G.bidirectional(folded)), PIC_K)
+    kind = F.when(F.col("id") % 2 == 0, F.lit("user")).otherwise(F.lit("shop"))
+    return labels.select(kind.alias("kind"), F.floor(F.col("id") / 2).cast("long").alias("id"), "cluster")
+
+
+# --------------------------------------------------------------------------
+# Streaming
+# --------------------------------------------------------------------------
+
+@register("stream_pair_counts", base_ctes() + """
+select cast(date '1970-01-01' + cast(floor(date_diff('second', timestamp '1970-01-01', ts) / 2592000) * 30 as integer)
+            as date) as window_start,
+       user_id, shop_id, count(*) as count
+from pay_log group by 1, user_id, shop_id""")
+def q_stream_pair_counts(spark, sf):
+    from shopweave.streaming.counts import run_to_table, stream_pay_log, windowed_pair_counts
+
+    return run_to_table(windowed_pair_counts(stream_pay_log(spark, sf), "30 days", "1 day"))
