@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.functions.core import broadcast_if_small
-from shopweave.session import LineageCutter, ensure_checkpoint_dir
+from shopweave.session import ensure_checkpoint_dir
 
 
 def home_city_clusters(user_shop: DataFrame, shop: DataFrame) -> DataFrame:
@@ -53,11 +53,15 @@ def to_distances(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", (F.lit(1.0) / F.col("weight")).alias("weight"))
 
 
+# Largest edge count for which shortest paths broadcast the edge table.
+SSSP_BROADCAST_EDGES = 5_000_000
+
+
 def shortest_paths(
     edges: DataFrame,
     sources: DataFrame,
     max_rounds: int | None = None,
-    checkpoint_every: int = 5,
+    broadcast_edges: int = SSSP_BROADCAST_EDGES,
 ) -> DataFrame:
     """Directed shortest distances from every ``sources(source)`` vertex: (source, id, dist).
 
@@ -65,34 +69,71 @@ def shortest_paths(
     improved in the previous round send along their out-edges; the loop ends
     when nothing improves. Unreachable vertices are absent (distance +inf).
     All sources share one state keyed by (source, id).
+
+    Layout: with at most ``broadcast_edges`` (deduplicated) edges, the edge
+    table is broadcast and state and frontier stay partitioned by ``source``,
+    so a round relaxes and aggregates each source inside its own task with no
+    shuffle of candidates. Beyond the bound, edges are partitioned by ``src``
+    (checkpointed once) and the frontier is shuffled to them each round.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = edges.select("src", "dst", F.col("weight").cast("double").alias("w")).repartition(n, "src").checkpoint(eager=True)
-    state = sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist"))
-    state = state.checkpoint(eager=True)
+    # Of parallel edges only the shortest matters.
+    e = (
+        edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
+        .repartition(n, "src")
+        .groupBy("src", "dst")
+        .agg(F.min("w").alias("w"))
+        .persist()
+    )
+    local = e.count() <= broadcast_edges
+    key = ["source"] if local else ["source", "id"]
+    e_join = F.broadcast(e) if local else e.hint("shuffle_hash")
+
+    def pin(df: DataFrame) -> DataFrame:
+        out = df.repartition(n, *key).persist()
+        out.count()
+        return out
+
+    state = pin(sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist")))
     frontier = state
-    cutter = LineageCutter(spark, checkpoint_every)
-    k = 0
-    while max_rounds is None or k < max_rounds:
-        k += 1
-        cand = (
-            frontier.join(e, frontier.id == e.src)
-            .select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
-            .groupBy("source", "id")
-            .agg(F.min("dist").alias("dist"))
-        )
-        improved = (
-            cand.join(state.withColumnRenamed("dist", "_old"), ["source", "id"], "left")
-            .filter(F.col("_old").isNull() | (F.col("dist") < F.col("_old")))
-            .select("source", "id", "dist")
-        ).checkpoint(eager=True)
-        if improved.isEmpty():
-            break
-        merged = state.join(improved.select("source", "id"), ["source", "id"], "left_anti").unionByName(improved)
-        state = cutter.step(merged, k)
-        frontier = improved
+    saved = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    if local:  # joins on (source, id) may then reuse the partitioning by source
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        k = 0
+        while max_rounds is None or k < max_rounds:
+            k += 1
+            cand = (
+                frontier.join(e_join, frontier.id == e.src)
+                .select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("cand"))
+                .groupBy("source", "id")
+                .agg(F.min("cand").alias("cand"))
+            )
+            # One pass yields the next state and the improved pairs; the
+            # checkpoint cuts lineage every round (state and frontier both
+            # derive from it, so plans would otherwise grow without bound).
+            better = F.col("dist").isNull() | (F.col("cand") < F.col("dist"))
+            step = (
+                cand.join(state, ["source", "id"], "full")
+                .select("source", "id",
+                        F.when(F.col("cand").isNotNull() & better, F.col("cand")).otherwise(F.col("dist")).alias("dist"),
+                        (F.col("cand").isNotNull() & better).alias("better"))
+                .checkpoint(eager=True)
+            )
+            improved = pin(step.filter("better").select("source", "id", "dist"))
+            if improved.isEmpty():
+                break
+            old_state, old_frontier = state, frontier
+            state = pin(step.select("source", "id", "dist"))
+            old_state.unpersist()
+            if old_frontier is not old_state:
+                old_frontier.unpersist()
+            frontier = improved
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", saved)
+    e.unpersist()
     return state
 
 
@@ -150,6 +191,28 @@ def mean_silhouette(per_sample: DataFrame) -> DataFrame:
     return per_sample.agg(F.avg("coefficient").alias("silhouette"), F.count(F.lit(1)).alias("samples"))
 
 
+def hash_rank(id_col: str, draw: int) -> F.Column:
+    """Deterministic pseudo-random key of an id for draw ``draw`` (md5, same in SQL)."""
+    h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(draw))))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+
+
+def cluster_samples(assignments: DataFrame, per_cluster: int = 3) -> DataFrame:
+    """``per_cluster`` draws with replacement from each cluster: (id, cluster), distinct.
+
+    Draw j picks the member with the smallest md5 key for j (ties: smaller
+    id). Each draw is a ``min_by`` aggregation, partial before the shuffle,
+    so even a cluster holding a third of all vertices is never gathered into
+    one task; the sample size is bounded by clusters × draws.
+    """
+    draws = [
+        F.min_by(F.col("id"), F.struct(hash_rank("id", j), F.col("id"))).alias(f"d{j}") for j in range(per_cluster)
+    ]
+    picked = assignments.groupBy("cluster").agg(*draws)
+    ids = F.explode(F.array(*[F.col(f"d{j}") for j in range(per_cluster)])).alias("id")
+    return picked.select(ids, "cluster").distinct()
+
+
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 

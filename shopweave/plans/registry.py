@@ -497,14 +497,26 @@ def _sssp(spark, sf, sources: DataFrame) -> DataFrame:
     return shortest_paths(to_distances(_sim_normalized(spark, sf)), sources)
 
 
-def _hub_sources(spark, sf) -> DataFrame:
-    from shopweave.operators.similarity import shop_hubs
+SAMPLES_PER_CLUSTER = 3
+
+
+def _samples(spark, sf) -> DataFrame:
+    from shopweave.operators.clusters import cluster_samples
+
+    return cluster_samples(_home_clusters(spark, sf), SAMPLES_PER_CLUSTER)
 
-    return shop_hubs(_user_shop_norm(spark, sf)).select(F.col("hub").alias("source")).distinct()
+
+def _samples_sql(draws: int = SAMPLES_PER_CLUSTER) -> str:
+    parts = []
+    for j in range(draws):
+        key = f"cast(('0x' || substr(md5(cast(id as varchar) || '|{j}'), 1, 8)) as bigint)"
+        parts.append(f"select id, cluster from (select id, cluster, row_number() over "
+                     f"(partition by cluster order by {key}, id) as rn from cl) t{j} where rn = 1")
+    return ",\nsamp as (select distinct id, cluster from (" + " union all ".join(parts) + ") s)"
 
 
 _SEED_SOURCES = f"select cast({SEED_USER} as bigint) as source"
-_HUB_SOURCES = "select distinct hub as source from hub"
+_SAMPLE_SOURCES = "select id as source from samp"
 
 
 @register("sssp", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_SEED_SOURCES) + f"""
@@ -515,18 +527,24 @@ def q_sssp(spark, sf):
     return d.select("source", "id", round9("dist").alias("dist"))
 
 
-@register("sssp_many", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_HUB_SOURCES) + f"""
+@register("cluster_samples", base_ctes() + _sim_norm_ctes() + _samples_sql() + """
+select id, cluster from samp""")
+def q_cluster_samples(spark, sf):
+    return _samples(spark, sf)
+
+
+@register("sssp_many", base_ctes() + _sim_norm_ctes() + _samples_sql() + _sssp_ctes(_SAMPLE_SOURCES) + f"""
 select source, id, round(dist, 9) as dist from d{SSSP_SQL_ROUNDS}""")
 def q_sssp_many(spark, sf):
-    d = _sssp(spark, sf, _hub_sources(spark, sf))
+    d = _sssp(spark, sf, _samples(spark, sf).select(F.col("id").alias("source")))
     return d.select("source", "id", round9("dist").alias("dist"))
 
 
-@register("silhouette", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_HUB_SOURCES) + f""",
+@register("silhouette", base_ctes() + _sim_norm_ctes() + _samples_sql() + _sssp_ctes(_SAMPLE_SOURCES) + f""",
 mem as (select v.id, cl.cluster from (select src as id from simn union select dst from simn) v join cl on v.id = cl.id),
 per as (select d.source, m.cluster, sum(d.dist) / count(*) as mean
         from d{SSSP_SQL_ROUNDS} d join mem m on d.id = m.id group by d.source, m.cluster),
-own as (select h.source, cl.cluster as own from ({_HUB_SOURCES}) h join cl on h.source = cl.id),
+own as (select id as source, cluster as own from samp),
 ab as (select p.source, o.own, max(case when p.cluster = o.own then p.mean end) as a,
               min(case when p.cluster <> o.own then p.mean end) as b
        from per p join own o on p.source = o.source group by p.source, o.own)
@@ -535,7 +553,7 @@ select source as id, own as cluster, round(a, 9) as a, round(b, 9) as b,
 def q_silhouette(spark, sf):
     from shopweave.operators.clusters import silhouette
 
-    samples = _hub_sources(spark, sf).select(F.col("source").alias("id"))
+    samples = _samples(spark, sf).select("id")
     s = silhouette(_sim_normalized(spark, sf), _home_clusters(spark, sf), samples, unreachable="drop")
     return s.select("id", "cluster", *[round9(c).alias(c) for c in ["a", "b", "coefficient"]])
 
