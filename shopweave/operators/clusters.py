@@ -217,9 +217,7 @@ def cluster_sizes(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-def power_iteration_clusters(
-    pairs: DataFrame, k: int, max_iter: int = 10, init_mode: str = "random", seed: int | None = None
-) -> DataFrame:
+def power_iteration_clusters(pairs: DataFrame, k: int, max_iter: int = 10, init_mode: str = "random") -> DataFrame:
     """Power iteration clustering of a symmetric weighted graph: (id, cluster).
 
     Input: each unordered pair once with a non-negative weight. It is
@@ -230,8 +228,6 @@ def power_iteration_clusters(
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode=init_mode, weightCol="weight")
-    if seed is not None:
-        pic = pic.setSeed(seed)
     data = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
     return pic.assignClusters(data.repartition(n, "src")).select(F.col("id").cast("long"), F.col("cluster").cast("int"))
 
