@@ -68,10 +68,10 @@ def md5_bucket(cols: list[str], buckets: int = 100) -> Column:
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only for a side whose row count is checked to be small.
 
-    Beyond the bound the plain DataFrame is returned and the optimizer plans a
-    shuffle join (AQE may still switch to a broadcast from runtime sizes).
-    The check reads at most ``max_rows + 1`` rows' worth of count work on a
-    dimension-sized input.
+    Meant for dimension tables read from storage (shops, cities), where the
+    count is a cheap scan. Beyond the bound the plain DataFrame is returned and
+    the optimizer plans a shuffle join. Derived tables are not counted here:
+    joins to them are left to AQE, which broadcasts from measured sizes.
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -162,7 +162,7 @@ def silhouette(
         dist.join(members, "id")
         .groupBy("source", "cluster")
         .agg(F.sum("dist").alias("s"), F.count(F.lit(1)).alias("reached"))
-        .join(broadcast_if_small(sizes), "cluster")
+        .join(sizes, "cluster")  # one row per cluster; AQE broadcasts it by measured size
     )
     if unreachable == "inf":
         mean = F.when(F.col("reached") < F.col("size"), F.lit(float("inf"))).otherwise(F.col("s") / F.col("size"))

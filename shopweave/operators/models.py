@@ -63,7 +63,8 @@ def classifier_predictions(features_cls: DataFrame, seed: int = SPLIT_SEED) -> D
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
-    data = assemble(features_cls).withColumn("label", F.col("bought_after").cast("double"))
+    # Persisted once: both splits and every tree level read it.
+    data = assemble(features_cls).withColumn("label", F.col("bought_after").cast("double")).persist()
     train, test = random_split(data, TRAIN_FRACTION, seed)
     rf = RandomForestClassifier(
         impurity="gini", maxDepth=FOREST_DEPTH, numTrees=FOREST_TREES, featureSubsetStrategy="auto", seed=FOREST_SEED
@@ -133,7 +134,7 @@ def regression_predictions(features_reg: DataFrame, seed: int = SPLIT_SEED) -> R
     from pyspark.ml.feature import VectorIndexer
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    data = assemble(features_reg).withColumn("label", F.col("after_buy_count").cast("double"))
+    data = assemble(features_reg).withColumn("label", F.col("after_buy_count").cast("double")).persist()
     indexer = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=MAX_CATEGORIES).fit(data)
     data = indexer.transform(data)
     train, test = sample_split(data, SAMPLE_FRACTION, seed)

@@ -30,7 +30,9 @@ def hub_similarity(user_shop: DataFrame, hubs: DataFrame | None = None) -> DataF
     """Similarity edges (src, dst, weight, via_shop) around hub users, both directions."""
     if hubs is None:
         hubs = shop_hubs(user_shop)
-    hubs = broadcast_if_small(hubs)  # one row per shop
+    # One row per shop: AQE broadcasts it from its measured size after the
+    # aggregation (a counted pre-check would recompute the whole pipeline);
+    # beyond the threshold it stays a shuffle join, split by AQE if skewed.
     e = user_shop.join(hubs, user_shop.dst == hubs.shop_id).select(
         F.col("src").alias("user"), "hub", (F.col("weight") * F.col("hub_weight")).alias("w"), "shop_id"
     )
