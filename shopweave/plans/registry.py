@@ -491,10 +491,17 @@ def _sssp_ctes(sources_sql: str, rounds: int = SSSP_SQL_ROUNDS) -> str:
     return ",\n" + ",\n".join(parts)
 
 
-def _sssp(spark, sf, sources: DataFrame) -> DataFrame:
+def _sssp(spark, sf, sources: DataFrame, sim: DataFrame | None = None) -> DataFrame:
     from shopweave.operators.clusters import shortest_paths, to_distances
 
-    return shortest_paths(to_distances(_sim_normalized(spark, sf)), sources)
+    return shortest_paths(to_distances(sim if sim is not None else _sim_normalized(spark, sf)), sources)
+
+
+def _materialised(spark, sf):
+    """Similarity graph and home clusters, each computed once and checkpointed (both are read several times)."""
+    sim = _sim_normalized(spark, sf).checkpoint(eager=True)
+    clusters = _home_clusters(spark, sf).checkpoint(eager=True)
+    return sim, clusters
 
 
 SAMPLES_PER_CLUSTER = 3
@@ -536,7 +543,11 @@ def q_cluster_samples(spark, sf):
 @register("sssp_many", base_ctes() + _sim_norm_ctes() + _samples_sql() + _sssp_ctes(_SAMPLE_SOURCES) + f"""
 select source, id, round(dist, 9) as dist from d{SSSP_SQL_ROUNDS}""")
 def q_sssp_many(spark, sf):
-    d = _sssp(spark, sf, _samples(spark, sf).select(F.col("id").alias("source")))
+    from shopweave.operators.clusters import cluster_samples
+
+    sim, clusters = _materialised(spark, sf)
+    sources = cluster_samples(clusters, SAMPLES_PER_CLUSTER).select(F.col("id").alias("source"))
+    d = _sssp(spark, sf, sources, sim)
     return d.select("source", "id", round9("dist").alias("dist"))
 
 
@@ -551,10 +562,11 @@ ab as (select p.source, o.own, max(case when p.cluster = o.own then p.mean end)
 select source as id, own as cluster, round(a, 9) as a, round(b, 9) as b,
        round((b - a) / greatest(a, b), 9) as coefficient from ab""")
 def q_silhouette(spark, sf):
-    from shopweave.operators.clusters import silhouette
+    from shopweave.operators.clusters import cluster_samples, silhouette
 
-    samples = _samples(spark, sf).select("id")
-    s = silhouette(_sim_normalized(spark, sf), _home_clusters(spark, sf), samples, unreachable="drop")
+    sim, clusters = _materialised(spark, sf)
+    samples = cluster_samples(clusters, SAMPLES_PER_CLUSTER).select("id")
+    s = silhouette(sim, clusters, samples, unreachable="drop")
     return s.select("id", "cluster", *[round9(c).alias(c) for c in ["a", "b", "coefficient"]])
 
 
