@@ -91,12 +91,11 @@ def shortest_paths(
     key = ["source"] if local else ["source", "id"]
     e_join = F.broadcast(e) if local else e.hint("shuffle_hash")
 
-    def pin(df: DataFrame) -> DataFrame:
+    def pin(df: DataFrame) -> tuple[DataFrame, int]:
         out = df.repartition(n, *key).persist()
-        out.count()
-        return out
+        return out, out.count()
 
-    state = pin(sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist")))
+    state, _ = pin(sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist")))
     frontier = state
     saved = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
     if local:  # joins on (source, id) may then reuse the partitioning by source
@@ -122,11 +121,12 @@ def shortest_paths(
                         (F.col("cand").isNotNull() & better).alias("better"))
                 .checkpoint(eager=True)
             )
-            improved = pin(step.filter("better").select("source", "id", "dist"))
-            if improved.isEmpty():
+            improved, n_improved = pin(step.filter("better").select("source", "id", "dist"))
+            if n_improved == 0:
+                improved.unpersist()
                 break
             old_state, old_frontier = state, frontier
-            state = pin(step.select("source", "id", "dist"))
+            state, _ = pin(step.select("source", "id", "dist"))
             old_state.unpersist()
             if old_frontier is not old_state:
                 old_frontier.unpersist()

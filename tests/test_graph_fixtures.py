@@ -196,3 +196,27 @@ def test_power_iteration_two_cliques(spark):
     assert len({labels[i] for i in range(5)}) == 1
     assert len({labels[i] for i in range(10, 15)}) == 1
     assert labels[0] != labels[10]
+
+
+def test_pregel_rank_equals_personal_rank(spark):
+    from shopweave.operators.pregel import pregel
+
+    n = G.normalize_out_weights(edges(spark, TOY))
+    e = n.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
+    start = spark.createDataFrame([("1", 0.15)], "id string, value double")
+    restart = F.when(F.col("id") == "1", F.lit(0.15)).otherwise(F.lit(0.0))
+    got = pregel(e, start, message=F.lit(0.85) * F.col("value") * F.col("weight"), merge="sum",
+                 update=F.col("msg") + restart, max_iter=8)
+    want = {r["id"]: r["rank"] for r in R.personal_rank(e, "1", 0.85, 8).collect()}
+    assert {r["id"]: pytest.approx(r["value"], abs=1e-12) for r in got.collect()} == want
+
+
+def test_pregel_shortest_paths(spark):
+    from shopweave.operators.pregel import pregel
+
+    e = edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (4, 1, 1.0)])
+    start = spark.createDataFrame([(1, 0.0)], "id long, value double")
+    got = pregel(e, start, message=F.col("value") + F.col("weight"), merge="min",
+                 update=F.least(F.coalesce(F.col("old"), F.lit(float("inf"))), F.col("msg")),
+                 max_iter=20, active_only=True)
+    assert {r["id"]: r["value"] for r in got.collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
