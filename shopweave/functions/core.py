@@ -54,9 +54,24 @@ def time_weight(ts: str | Column, start: str, as_of: str, mode: str = "recent")
     raise ValueError(f"unknown time-weight mode {mode!r}")
 
 
+def round_half_up(col: str | Column, places: int) -> Column:
+    """floor(x·10^p + 0.5) / 10^p: plain IEEE operations, so SQL engines agree bit for bit.
+
+    (``round`` differs between engines on exact binary halves such as 21/1024.)
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    scale = float(10**places)
+    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def round9(col: str | Column) -> Column:
-    """Doubles are compared at 9 places: plain sums differ in the last bits."""
-    return F.round(F.col(col) if isinstance(col, str) else col, 9)
+    """Doubles of magnitude about 1 are compared at 9 places: plain sums differ in the last bits."""
+    return round_half_up(col, 9)
+
+
+def round6(col: str | Column) -> Column:
+    """Large doubles (path lengths, sums over many edges) are compared at 6 places."""
+    return round_half_up(col, 6)
 
 
 def md5_bucket(cols: list[str], buckets: int = 100) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopweave.functions.core import round9
+from shopweave.functions.core import round6, round9
 from shopweave.operators import features as FE
 from shopweave.operators import graph as G
 from shopweave.operators import rank as R
@@ -35,11 +35,42 @@ _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
 
 
+def portable_rounding(sql: str) -> str:
+    """Rewrite every ``round(expr, p)`` into ``(floor((expr) * 1ep + 0.5) / 1ep)``.
+
+    The same formula as ``round_half_up`` on the Spark side, so both engines
+    round exact binary halves the same way.
+    """
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k, comma = 0, j + len("round("), -1
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        expr = portable_rounding(sql[j + len("round("):comma])
+        places = int(sql[comma + 1:k].strip())
+        out.append(f"(floor(({expr}) * 1e{places} + 0.5) / 1e{places})")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         _QUERIES[name] = fn
         if sql is not None:
-            _SQL[name] = sql
+            _SQL[name] = portable_rounding(sql)
         return fn
 
     return deco
@@ -462,14 +493,14 @@ def q_home_clusters(spark, sf):
 @register("cut_weight", base_ctes() + _sim_norm_ctes() + """,
 lab as (select e.weight, coalesce(a.cluster, 0) as cs, coalesce(b.cluster, 0) as cd
         from simn e left join cl a on e.src = a.id left join cl b on e.dst = b.id)
-select round(sum(case when cs <> cd then weight else 0.0 end), 9) as cut_weight,
-       round(sum(weight), 9) as total_weight,
+select round(sum(case when cs <> cd then weight else 0.0 end), 6) as cut_weight,
+       round(sum(weight), 6) as total_weight,
        cast(sum(case when cs <> cd then 1 else 0 end) as bigint) as cut_edges, count(*) as edges from lab""")
 def q_cut_weight(spark, sf):
     from shopweave.operators.clusters import cut_weight
 
     c = cut_weight(_sim_normalized(spark, sf), _home_clusters(spark, sf))
-    return c.select(round9("cut_weight").alias("cut_weight"), round9("total_weight").alias("total_weight"),
+    return c.select(round6("cut_weight").alias("cut_weight"), round6("total_weight").alias("total_weight"),
                     "cut_edges", "edges")
 
 
@@ -527,11 +558,11 @@ _SAMPLE_SOURCES = "select id as source from samp"
 
 
 @register("sssp", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_SEED_SOURCES) + f"""
-select source, id, round(dist, 9) as dist from d{SSSP_SQL_ROUNDS}""")
+select source, id, round(dist, 6) as dist from d{SSSP_SQL_ROUNDS}""")
 def q_sssp(spark, sf):
     src = spark.range(1).select(F.lit(SEED_USER).cast("long").alias("source"))
     d = _sssp(spark, sf, src)
-    return d.select("source", "id", round9("dist").alias("dist"))
+    return d.select("source", "id", round6("dist").alias("dist"))
 
 
 @register("cluster_samples", base_ctes() + _sim_norm_ctes() + _samples_sql() + """
@@ -541,14 +572,14 @@ def q_cluster_samples(spark, sf):
 
 
 @register("sssp_many", base_ctes() + _sim_norm_ctes() + _samples_sql() + _sssp_ctes(_SAMPLE_SOURCES) + f"""
-select source, id, round(dist, 9) as dist from d{SSSP_SQL_ROUNDS}""")
+select source, id, round(dist, 6) as dist from d{SSSP_SQL_ROUNDS}""")
 def q_sssp_many(spark, sf):
     from shopweave.operators.clusters import cluster_samples
 
     sim, clusters = _materialised(spark, sf)
     sources = cluster_samples(clusters, SAMPLES_PER_CLUSTER).select(F.col("id").alias("source"))
     d = _sssp(spark, sf, sources, sim)
-    return d.select("source", "id", round9("dist").alias("dist"))
+    return d.select("source", "id", round6("dist").alias("dist"))
 
 
 @register("silhouette", base_ctes() + _sim_norm_ctes() + _samples_sql() + _sssp_ctes(_SAMPLE_SOURCES) + f""",
@@ -559,7 +590,7 @@ own as (select id as source, cluster as own from samp),
 ab as (select p.source, o.own, max(case when p.cluster = o.own then p.mean end) as a,
               min(case when p.cluster <> o.own then p.mean end) as b
        from per p join own o on p.source = o.source group by p.source, o.own)
-select source as id, own as cluster, round(a, 9) as a, round(b, 9) as b,
+select source as id, own as cluster, round(a, 6) as a, round(b, 6) as b,
        round((b - a) / greatest(a, b), 9) as coefficient from ab""")
 def q_silhouette(spark, sf):
     from shopweave.operators.clusters import cluster_samples, silhouette
@@ -567,7 +598,7 @@ def q_silhouette(spark, sf):
     sim, clusters = _materialised(spark, sf)
     samples = cluster_samples(clusters, SAMPLES_PER_CLUSTER).select("id")
     s = silhouette(sim, clusters, samples, unreachable="drop")
-    return s.select("id", "cluster", *[round9(c).alias(c) for c in ["a", "b", "coefficient"]])
+    return s.select("id", "cluster", round6("a").alias("a"), round6("b").alias("b"), round9("coefficient").alias("coefficient"))
 
 
 # --------------------------------------------------------------------------
