@@ -220,3 +220,14 @@ def test_pregel_shortest_paths(spark):
                  update=F.least(F.coalesce(F.col("old"), F.lit(float("inf"))), F.col("msg")),
                  max_iter=20, active_only=True)
     assert {r["id"]: r["value"] for r in got.collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
+
+
+def test_rank_salted_and_broadcast_paths_agree(spark, monkeypatch):
+    n = G.normalize_out_weights(edges(spark, TOY))
+    e = n.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
+    small = {r["id"]: r["rank"] for r in R.personal_rank(e, "2", 0.85, 6).collect()}
+    monkeypatch.setattr(R, "STATE_BROADCAST_ROWS", 0)
+    salted = {r["id"]: r["rank"] for r in R.personal_rank(e, "2", 0.85, 6).collect()}
+    assert small.keys() == salted.keys()
+    for k, v in small.items():
+        assert salted[k] == pytest.approx(v, abs=1e-15)
