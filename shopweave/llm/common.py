@@ -13,11 +13,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import shopweave.llm
 from shopweave.session import ensure_checkpoint_dir
 
+#: Tasks carry this subpackage's functions with them, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(shopweave.llm)
+
 #: White space of the contracts: space and \t \n \v \f \r. bytes.split() cuts at exactly these.
 BLANK = r"[\x20\x09-\x0D]"
 

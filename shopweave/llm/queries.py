@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shopweave.llm import exact_dedup, quality
+from shopweave.llm import bpe, exact_dedup, langid, quality
 from shopweave.llm.common import documents
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(documents(spark, sf_dir), TOKENIZER)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -19,6 +26,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 OP7_SQL = r"""
 with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
 select doc_id, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id) as keep_id,
@@ -29,7 +40,7 @@ from t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op7_exact_dedup, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
