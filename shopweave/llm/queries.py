@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopweave.llm import bpe, exact_dedup, langid, quality
+from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, quality, sharding
 from shopweave.llm.common import documents
 
 
@@ -22,10 +22,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(sharding.shuffled_shards(documents(spark, sf_dir)))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.mix_rows(documents(spark, sf_dir))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -40,8 +52,8 @@ from t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op7_exact_dedup, op9_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": budget.ORACLE_SQL}
