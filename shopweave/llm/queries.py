@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, quality, sharding
+from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, minhash, quality, sharding
 from shopweave.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(sharding.shuffled_shards(documents(spark, sf_dir)))
 
@@ -51,9 +55,23 @@ from t
 """
 
 
+OP3_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i : i + 2], ' ') end as g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as nb from s a join s b on a.g = b.g and a.doc_id != b.doc_id group by all),
+l as (select p.a, p.b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * nb >= 85 * (x.n + y.n - nb)),
+reach as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+c as (select a, min(b) as low from reach group by a)
+select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(c.low, doc_id)) as component_id, least(doc_id, coalesce(c.low, doc_id)) = doc_id as kept
+from documents d left join n using (doc_id) left join c on c.a = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": budget.ORACLE_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": budget.ORACLE_SQL}
