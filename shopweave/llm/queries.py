@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, minhash, quality, sharding
+from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, minhash, quality, repeats, sharding
 from shopweave.llm.common import documents
 
 
@@ -46,6 +46,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 OP7_SQL = r"""
 with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
 select doc_id, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id) as keep_id,
@@ -70,8 +74,8 @@ from documents d left join n using (doc_id) left join c on c.a = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": OP3_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": budget.ORACLE_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": budget.ORACLE_SQL, "op10_repeats": repeats.ORACLE_SQL}
