@@ -227,3 +227,17 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(listed), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256), a row per row of ``docs``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Vocabulary.shipped(shipped.value))
+        for batch in pieces(batches, "text", 4 << 20):
+            ids = encoder.encode(batch.column("text").to_pylist())
+            decoded = [sha(encoder.v.decode(x.tolist())) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), id_list(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, minhash, quality, repeats, sharding
+from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, minhash, mixing_lm, quality, repeats, sharding
 from shopweave.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op4_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(sharding.shuffled_shards(documents(spark, sf_dir)))
 
@@ -74,7 +78,7 @@ from documents d left join n using (doc_id) left join c on c.a = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid, op10_repeats)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_mixing_lm, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
