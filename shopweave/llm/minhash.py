@@ -223,10 +223,13 @@ def components_of(docs: DataFrame, width: int, percent: int, block: int = BLOCK)
 
 
 def node_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(node, grp, blocks, n_shingles, shingles): the full sets of the candidate nodes, from whole texts."""
+    """(node, grp, blocks, n_shingles, shingles): the full sets of the candidate nodes, from whole texts.
+
+    Candidates are a share of the texts, so this is a shuffle at every size.
+    """
     text = keyed(docs)
     m = members.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "node", "grp", "blocks", "n_shingles")
-    found = text.join(m, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("m"))).select("node", "grp", "blocks", "n_shingles", "text")
+    found = text.join(m.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("m"))).select("node", "grp", "blocks", "n_shingles", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: set[int] = set()  # a repeated row's set is sent once by a task
@@ -282,4 +285,4 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """The rows of ``docs`` that name their component, with all their columns."""
     gone = components_of(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).distinct()
     mark = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__m")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__m")), "left_anti")
