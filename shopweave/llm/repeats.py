@@ -220,7 +220,7 @@ def passage_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, s
     recurring = every.join(often, "anchor").groupBy("place").agg(F.collect_set("anchor").alias("recurring"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
     chosen = rows.select("place", "doc_id", "mark").join(groups.select("place", "copies"), "place").join(recurring, "place")
     chosen = chosen.select("place", "copies", "recurring", "hot", F.col("doc_id").alias("id"), F.col("mark").alias("m"))
-    texts = read_rows(docs).join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("m")))
+    texts = read_rows(docs).join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("m")))
     texts = shared.table(texts.select("place", "copies", "recurring", "hot", "text"), "texts")
 
     found = shared.table(stretches(texts, window, phrase), "stretches")
