@@ -228,7 +228,7 @@ def passage_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, s
     places = found.filter("place is not null").select("place", "at", "variant").join(located(found, shards, window), "variant")
     moved = places.select("place", F.explode(F.transform("spans", lambda s: s + F.col("at") * F.lit((1 << 32) + 1))).alias("span"))
     spans = moved.groupBy("place").agg(F.collect_set("span").alias("spans"))
-    return rows, groups.filter("copies > 1").select("sha", "copies"), texts.filter("copies = 1").select("place", "text").join(spans, "place")
+    return rows, groups.filter("copies > 1").select("sha", "copies"), texts.filter("copies = 1").select("place", "text").join(spans.hint("merge"), "place")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, hot: int = HOT) -> DataFrame:
