@@ -3,9 +3,9 @@
 Words are runs of ASCII letters, digits and bytes from 0x80 on, in lower case. A
 template of n words is looked for in windows of n words and a fifth more: the
 window's words that the template has (with multiplicity) bound what an alignment
-can match, so windows under ``MIN_COVERAGE`` can't hold it. The others are taken
-from the highest bound down, leaving out what overlaps a taken one, and aligned:
-common ends match first; then words that stand once in both pieces are anchors, a
+can match, so windows under ``MIN_COVERAGE`` can't hold it. The others are aligned
+from the highest bound down; when a copy is found, the words before and after it are
+searched in the same way. Alignment: common ends match first; then words that stand once in both pieces are anchors, a
 longest increasing subsequence of them is kept, and the gaps between are aligned
 in the same way. Coverage is the share of the template's words that match.
 
@@ -135,18 +135,18 @@ class Template:
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(first word, word after the last, words matched) of each copy found, in order."""
         size = len(self.words) + max(2, len(self.words) // 5)
-        bounds = self.bounds(words, size)
-        taken: list[tuple[int, int]] = []
-        found = []
-        for i in sorted((i for i, n in enumerate(bounds) if n >= self.needed), key=lambda i: (-bounds[i], i)):
-            if any(i < y and x < i + size for x, y in taken):
-                continue
-            pairs = align(words[i : i + size], self.words)
-            if len(pairs) >= self.needed:
-                start, end = i + pairs[0][0], i + pairs[-1][0] + 1
-                if not any(start < y and x < end for x, y in taken):
-                    taken.append((start, end))
+        ranges, found = [(0, len(words))], []
+        while ranges:  # a copy splits its range in two
+            low, high = ranges.pop()
+            part = words[low:high]
+            bounds = self.bounds(part, size)
+            for i in sorted((i for i, n in enumerate(bounds) if n >= self.needed), key=lambda i: (-bounds[i], i)):
+                pairs = align(part[i : i + size], self.words)
+                if len(pairs) >= self.needed:
+                    start, end = low + i + pairs[0][0], low + i + pairs[-1][0] + 1
                     found.append((start, end, len(pairs)))
+                    ranges += [(low, start), (end, high)]
+                    break
         return sorted(found)
 
 
