@@ -125,7 +125,8 @@ def cutoffs(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCH
     inside = ranged.join(broken.select(*keys, "range", (F.col("upto") - F.col("n_range")).alias("base")), [*keys, "range"])
     by_key = inside.groupBy(*keys, "rest", "base", "key").agg(F.sum("n").alias("n"))
     within = by_key.withColumn("upto", F.col("base") + F.sum("n").over(Window.partitionBy(*keys).orderBy("key"))).filter("upto <= rest").groupBy(*keys).agg(F.max("key").alias("part_top"))
-    return plan.join(whole, keys, "left").join(within, keys, "left").select(*keys, "n_rows", "n_words", "share", "full_epochs", F.coalesce("part_top", "whole_top").alias("cutoff"))
+    cut = plan.join(whole, keys, "left").join(within, keys, "left").select(*keys, "n_rows", "n_words", "share", "full_epochs", F.coalesce("part_top", "whole_top").alias("cutoff"))
+    return shared.table(cut, "cutoffs")  # read plainly, so that Spark can split a leaf with many rows in a join
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, weights: dict = WEIGHTS, seed: int = SEED) -> DataFrame:
