@@ -89,11 +89,12 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 def quality_rules(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """(doc_id, measures, base_failed, kept), a row per row of ``docs``.
 
-    The verdict is joined by host; a host with a large share of the rows is split
-    by Spark's skew handling, as both sides of the join are plain shuffles.
+    The verdict is joined by host. Verdicts are a written table, so both sides of the
+    join are plain and Spark can split a host that has a large share of the rows.
     """
-    measured = Shared(docs.sparkSession, "quality").table(document_measures(docs), "measures")
-    verdicts = host_verdicts(measured, max_rate).select("host", "host_kept")
+    shared = Shared(docs.sparkSession, "quality")
+    measured = shared.table(document_measures(docs), "measures")
+    verdicts = shared.table(host_verdicts(measured, max_rate).select("host", "host_kept"), "verdicts")
     joined = measured.withColumn("host", null_key("source")).join(verdicts, "host", "left")
     return joined.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
