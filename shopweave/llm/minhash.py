@@ -184,8 +184,9 @@ def link_groups(rows: DataFrame, percent: int, keys: list[str]) -> DataFrame:
 def candidate_groups(rows: DataFrame, shared: Shared) -> DataFrame:
     """(node, grp): nodes that share a band value, directly or by way of others."""
     values = rows.filter("node is not null").select("node", F.explode("bands").alias("value"))
-    ends = values.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    stars = values.join(ends.select("value", "low"), "value").filter("node != low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    ends = values.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("value", "low")
+    ends = shared.table(ends, "ends")  # read plainly, so that Spark can split a value that very many nodes have
+    stars = values.join(ends, "value").filter("node != low").select(F.col("low").alias("u"), F.col("node").alias("v"))
     return components(stars.distinct(), shared, "candidates").withColumnRenamed("root", "grp")
 
 
@@ -217,7 +218,8 @@ def components_of(docs: DataFrame, width: int, percent: int, block: int = BLOCK)
         final = small.unionByName(across(sets.filter("blocks > 1"), parts, percent, block, shared))
 
     joined = rows.join(final, "node", "left").select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("part"))
-    names = joined.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("named"))
+    joined = shared.table(joined, "parted")
+    names = shared.table(joined.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("named")), "names")
     out = joined.join(names, "part", "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("named")))
     return out.select("doc_id", "mark", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
