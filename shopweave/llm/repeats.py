@@ -216,7 +216,7 @@ def passage_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, s
     groups = shared.table(long_enough.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("place")), "groups")
 
     every = long_enough.select("place", F.explode("anchors").alias("anchor"))
-    often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = shared.table(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
     recurring = every.join(often, "anchor").groupBy("place").agg(F.collect_set("anchor").alias("recurring"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
     chosen = rows.select("place", "doc_id", "mark").join(groups.select("place", "copies"), "place").join(recurring, "place")
     chosen = chosen.select("place", "copies", "recurring", "hot", F.col("doc_id").alias("id"), F.col("mark").alias("m"))
