@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Vertex-id prefixes: users and shops share one integer id space in the data,
-# so graph vertices carry their kind in the id.
+# Vertex ids: users and shops share one integer id space in the data, so graph
+# vertices carry their kind in the id. Results name vertices by prefix (u7, s3);
+# loops use folded longs (user 2i, shop 2i + 1), which join and shuffle cheaper.
 USER_PREFIX = "u"
 SHOP_PREFIX = "s"
 
-# Largest row count a side may have to be broadcast explicitly.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
 
 def user_vertex(col: str | Column) -> Column:
     return F.concat(F.lit(USER_PREFIX), F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
@@ -23,10 +21,32 @@ def shop_vertex(col: str | Column) -> Column:
 
 
 def vertex_kind(id_col: str | Column) -> Column:
+    """Kind of a named vertex (u7, s3)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.when(c.startswith(SHOP_PREFIX), F.lit("shop")).otherwise(F.lit("user"))
 
 
+def fold_user(col: str | Column) -> Column:
+    return (F.col(col) if isinstance(col, str) else col).cast("long") * 2
+
+
+def fold_shop(col: str | Column) -> Column:
+    return (F.col(col) if isinstance(col, str) else col).cast("long") * 2 + 1
+
+
+def folded_kind(id_col: str | Column) -> Column:
+    """Kind of a folded vertex id."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.when(F.pmod(c, F.lit(2)) == 1, F.lit("shop")).otherwise(F.lit("user"))
+
+
+def folded_name(id_col: str | Column) -> Column:
+    """Name (u7, s3) of a folded vertex id."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    number = F.floor(c / 2).cast("string")
+    return F.when(F.pmod(c, F.lit(2)) == 1, F.concat(F.lit(SHOP_PREFIX), number)).otherwise(F.concat(F.lit(USER_PREFIX), number))
+
+
 def epoch_seconds(ts: str | Column) -> Column:
     """Seconds since 1970-01-01 of a wall-clock (TIMESTAMP_NTZ) value, independent of the session time zone."""
     c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
@@ -36,19 +56,27 @@ def epoch_seconds(ts: str | Column) -> Column:
     )
 
 
-def time_weight(ts: str | Column, start: str, as_of: str, mode: str = "recent") -> Column:
+def time_weight(ts: str | Column, start: str, as_of: str, mode: str = "recent", before_start: str = "drop") -> Column:
     """Linear time weight of an event.
 
     ``recent``: 1 - age/span clipped to [0, 1] (newer events weigh more).
     ``age``:    1 + age/span, the formula as the source job evaluates it
                 (older events weigh more, from 1 to 2).
     age = as_of - ts and span = as_of - start, both in whole seconds.
+
+    ``before_start``, for ``recent``: an event before ``start`` weighs 0, so edges
+    built from such events alone are dropped ("drop"), or fails the job ("error").
     """
+    if before_start not in ("drop", "error"):
+        raise ValueError(f"unknown before_start {before_start!r}")
     as_of_s = epoch_seconds(F.lit(as_of))
     age = (as_of_s - epoch_seconds(ts)).cast("double")
     span = (as_of_s - epoch_seconds(F.lit(start))).cast("double")
     if mode == "recent":
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - age / span))
+        weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - age / span))
+        if before_start == "error":
+            return F.when(age > span, F.raise_error(F.lit(f"an event lies before {start}")).cast("double")).otherwise(weight)
+        return weight
     if mode == "age":
         return F.lit(1.0) + age / span
     raise ValueError(f"unknown time-weight mode {mode!r}")
@@ -58,10 +86,12 @@ def round_half_up(col: str | Column, places: int) -> Column:
     """floor(x·10^p + 0.5) / 10^p: plain IEEE operations, so SQL engines agree bit for bit.
 
     (``round`` differs between engines on exact binary halves such as 21/1024.)
+    Infinities, NaN and values too large to have such places pass unchanged.
     """
-    c = F.col(col) if isinstance(col, str) else col
+    c = (F.col(col) if isinstance(col, str) else col).cast("double")
     scale = float(10**places)
-    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    plain = F.isnan(c) | (F.abs(c) >= F.lit(2.0**52 / scale))
+    return F.when(plain, c).otherwise(F.floor(F.when(plain, F.lit(0.0)).otherwise(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
 
 
 def round9(col: str | Column) -> Column:
@@ -74,19 +104,13 @@ def round6(col: str | Column) -> Column:
     return round_half_up(col, 6)
 
 
-def md5_bucket(cols: list[str], buckets: int = 100) -> Column:
-    """Deterministic bucket in [0, buckets) of a row key, independent of partitioning."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+def md5_bucket(cols: list[str], buckets: int = 100, salt: str = "") -> Column:
+    """Deterministic bucket in [0, buckets) of a row key, independent of partitioning; another ``salt``, another draw."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols], *([F.lit(salt)] if salt else []))
     return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose row count is checked to be small.
-
-    Meant for dimension tables read from storage (shops, cities), where the
-    count is a cheap scan. Beyond the bound the plain DataFrame is returned and
-    the optimizer plans a shuffle join. Derived tables are not counted here:
-    joins to them are left to AQE, which broadcasts from measured sizes.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def md5_fraction(col: str, salt: str = "") -> Column:
+    """Deterministic pseudo-random number in [0, 1) of an id (md5, same in SQL)."""
+    h = F.md5(F.concat_ws("|", F.col(col).cast("string"), F.lit(salt)).cast("binary"))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))

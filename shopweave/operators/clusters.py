@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopweave.functions.core import broadcast_if_small
-from shopweave.session import ensure_checkpoint_dir
+from shopweave.functions.core import md5_fraction
+from shopweave.operators.messages import EdgeTable, message_rounds
+from shopweave.operators.skew import ROWS_PER_SALT, skew_join
 
 
-def home_city_clusters(user_shop: DataFrame, shop: DataFrame) -> DataFrame:
+def home_city_clusters(user_shop: DataFrame, shop: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """A deterministic clustering: each user's cluster is the location of its heaviest shop.
 
-    (id, cluster); ties in weight go to the smaller shop id.
+    (id, cluster); ties in weight go to the smaller shop id. Hash aggregations: the
+    largest weight of a user, then the smallest shop that has it.
     """
-    best = F.max_by(F.col("dst"), F.struct(F.col("weight"), -F.col("dst")))
-    top = user_shop.groupBy(F.col("src").alias("id")).agg(best.alias("shop_id"))
-    loc = broadcast_if_small(shop.select("shop_id", F.col("location_id").alias("cluster")))
-    return top.join(loc, "shop_id").select("id", F.col("cluster").cast("int"))
+    edges = user_shop.select(F.col("src").alias("id"), F.col("dst").alias("shop_id"), "weight")
+    top = edges.groupBy("id").agg(F.max("weight").alias("best"))
+    home = skew_join(edges, top, "id", rows_per_salt=rows_per_salt).filter("weight = best").groupBy("id").agg(F.min("shop_id").alias("shop_id"))
+    return home.join(shop.select("shop_id", F.col("location_id").alias("cluster")), "shop_id").select("id", F.col("cluster").cast("int"))
 
 
-def label_edges(edges: DataFrame, assignments: DataFrame, default: int = 0) -> DataFrame:
-    """Attach the cluster of both endpoints; vertices without a label get ``default``."""
+def label_edges(edges: DataFrame, assignments: DataFrame, default: int = 0, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Attach the cluster of both endpoints; vertices without a label get ``default``.
+
+    Edges of a hub are spread over salts on either side.
+    """
     a_src = assignments.select(F.col("id").alias("src"), F.col("cluster").alias("c_src"))
     a_dst = assignments.select(F.col("id").alias("dst"), F.col("cluster").alias("c_dst"))
-    e = edges.join(a_src, "src", "left").join(a_dst, "dst", "left")
+    e = skew_join(edges.select("src", "dst", "weight"), a_src, "src", "left", rows_per_salt)
+    e = skew_join(e, a_dst, "dst", "left", rows_per_salt)
     return e.select(
         "src", "dst", "weight",
         F.coalesce("c_src", F.lit(default)).alias("c_src"),
@@ -53,88 +59,34 @@ def to_distances(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", (F.lit(1.0) / F.col("weight")).alias("weight"))
 
 
-# Largest edge count for which shortest paths broadcast the edge table.
-SSSP_BROADCAST_EDGES = 5_000_000
-
-
-def shortest_paths(
-    edges: DataFrame,
-    sources: DataFrame,
-    max_rounds: int | None = None,
-    broadcast_edges: int = SSSP_BROADCAST_EDGES,
-) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Directed shortest distances from every ``sources(source)`` vertex: (source, id, dist).
 
-    Bellman-Ford over a frontier: each round only the (source, vertex) pairs
-    improved in the previous round send along their out-edges; the loop ends
-    when nothing improves. Unreachable vertices are absent (distance +inf).
-    All sources share one state keyed by (source, id).
-
-    Layout: with at most ``broadcast_edges`` (deduplicated) edges, the edge
-    table is broadcast and state and frontier stay partitioned by ``source``,
-    so a round relaxes and aggregates each source inside its own task with no
-    shuffle of candidates. Beyond the bound, edges are partitioned by ``src``
-    (checkpointed once) and the frontier is shuffled to them each round.
+    Bellman-Ford over a frontier, as message rounds: a round sends only from the
+    (source, vertex) pairs that improved in the round before; the loop ends when
+    nothing improves. Unreachable vertices are absent (distance +inf). All sources
+    share one state keyed by (source, id); of parallel edges only the shortest is kept.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Of parallel edges only the shortest matters.
-    e = (
-        edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
-        .repartition(n, "src")
-        .groupBy("src", "dst")
-        .agg(F.min("w").alias("w"))
-        .persist()
+    table = EdgeTable(edges.groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("w")), rows_per_salt)
+    start = sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("value"))
+    out = message_rounds(table, start, F.col("value") + F.col("w"), F.min, True, max_rounds=max_rounds)
+    table.close()
+    return out.withColumnRenamed("value", "dist")
+
+
+def distance_summary(dist: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(source, cluster, reached, nearest, farthest, total) of path lengths by the cluster of the vertex reached."""
+    labelled = dist.join(assignments, "id")
+    return labelled.groupBy("source", "cluster").agg(
+        F.count(F.lit(1)).alias("reached"), F.min("dist").alias("nearest"), F.max("dist").alias("farthest"), F.sum("dist").alias("total")
     )
-    local = e.count() <= broadcast_edges
-    key = ["source"] if local else ["source", "id"]
-    e_join = F.broadcast(e) if local else e.hint("shuffle_hash")
-
-    def pin(df: DataFrame) -> tuple[DataFrame, int]:
-        out = df.repartition(n, *key).persist()
-        return out, out.count()
-
-    state, _ = pin(sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist")))
-    frontier = state
-    saved = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
-    if local:  # joins on (source, id) may then reuse the partitioning by source
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    try:
-        k = 0
-        while max_rounds is None or k < max_rounds:
-            k += 1
-            cand = (
-                frontier.join(e_join, frontier.id == e.src)
-                .select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("cand"))
-                .groupBy("source", "id")
-                .agg(F.min("cand").alias("cand"))
-            )
-            # One pass yields the next state and the improved pairs; the
-            # checkpoint cuts lineage every round (state and frontier both
-            # derive from it, so plans would otherwise grow without bound).
-            better = F.col("dist").isNull() | (F.col("cand") < F.col("dist"))
-            step = (
-                cand.join(state, ["source", "id"], "full")
-                .select("source", "id",
-                        F.when(F.col("cand").isNotNull() & better, F.col("cand")).otherwise(F.col("dist")).alias("dist"),
-                        (F.col("cand").isNotNull() & better).alias("better"))
-                .checkpoint(eager=True)
-            )
-            improved, n_improved = pin(step.filter("better").select("source", "id", "dist"))
-            if n_improved == 0:
-                improved.unpersist()
-                break
-            old_state, old_frontier = state, frontier
-            state, _ = pin(step.select("source", "id", "dist"))
-            old_state.unpersist()
-            if old_frontier is not old_state:
-                old_frontier.unpersist()
-            frontier = improved
-    finally:
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", saved)
-    e.unpersist()
-    return state
+
+
+def graph_labels(edges: DataFrame, assignments: DataFrame, default: int = 0) -> DataFrame:
+    """(id, cluster) of all vertices: every labelled one, and unlabelled endpoints in ``default``."""
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    missing = ends.join(assignments.select("id"), "id", "left_anti").select("id", F.lit(default).alias("cluster"))
+    return assignments.select("id", "cluster").unionByName(missing)
 
 
 def silhouette(
@@ -142,9 +94,12 @@ def silhouette(
     assignments: DataFrame,
     samples: DataFrame,
     unreachable: str = "inf",
+    default: int = 0,
 ) -> DataFrame:
     """Graph silhouette per sample: (id, cluster, a, b, coefficient).
 
+    ``samples(id)`` are given by the caller. Vertices are all labelled ones and, in
+    cluster ``default``, endpoints without a label; isolated ones count too.
     Distances are shortest paths over 1/weight. a = mean distance from the
     sample to the vertices of its own cluster, itself included at 0 (divides by
     n, not n-1); b = the smallest such mean over the other clusters;
@@ -154,40 +109,32 @@ def silhouette(
     (as in the source job, which then yields NaN); "drop" – means are taken
     over reached vertices only.
     """
-    dist = shortest_paths(to_distances(edges), samples.select(F.col("id").alias("source")))
-    verts = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    members = verts.join(assignments, "id")
+    if unreachable not in ("inf", "drop"):
+        raise ValueError(f"unknown unreachable policy {unreachable!r}")
+    members = graph_labels(edges, assignments, default)
+    own = samples.select("id").distinct().join(members, "id").select(F.col("id").alias("source"), F.col("cluster").alias("own"))
+    dist = shortest_paths(to_distances(edges), own.select("source"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    per = (
-        dist.join(members, "id")
-        .groupBy("source", "cluster")
-        .agg(F.sum("dist").alias("s"), F.count(F.lit(1)).alias("reached"))
-        .join(sizes, "cluster")  # one row per cluster; AQE broadcasts it by measured size
-    )
+    per = distance_summary(dist, members).join(sizes, "cluster")
     if unreachable == "inf":
-        mean = F.when(F.col("reached") < F.col("size"), F.lit(float("inf"))).otherwise(F.col("s") / F.col("size"))
-    elif unreachable == "drop":
-        mean = F.col("s") / F.col("reached")
+        mean = F.when(F.col("reached") < F.col("size"), F.lit(float("inf"))).otherwise(F.col("total") / F.col("size"))
     else:
-        raise ValueError(f"unknown unreachable policy {unreachable!r}")
+        mean = F.col("total") / F.col("reached")
     per = per.select("source", "cluster", mean.alias("mean"))
-    own = samples.join(assignments, "id").select(F.col("id").alias("source"), F.col("cluster").alias("own"))
-    j = per.join(own, "source")
-    agg = j.groupBy("source", "own").agg(
+    agg = own.join(per, "source").groupBy("source", "own").agg(
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean"))).alias("a"),
         F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean"))).alias("b"),
     )
-    if unreachable == "inf":
-        b = F.coalesce(F.col("b"), F.lit(float("inf")))
-    else:
-        b = F.col("b")
+    b = F.coalesce(F.col("b"), F.lit(float("inf"))) if unreachable == "inf" else F.col("b")
     a = F.col("a")
-    coeff = (b - a) / F.greatest(a, b)
+    top = F.greatest(a, b)
+    coeff = F.when(top == 0, F.lit(float("nan"))).otherwise((b - a) / F.when(top == 0, F.lit(1.0)).otherwise(top))
     return agg.select(F.col("source").alias("id"), F.col("own").alias("cluster"), a.alias("a"), b.alias("b"),
                       coeff.alias("coefficient"))
 
 
 def mean_silhouette(per_sample: DataFrame) -> DataFrame:
+    """One row (silhouette, samples): the mean coefficient over the samples."""
     return per_sample.agg(F.avg("coefficient").alias("silhouette"), F.count(F.lit(1)).alias("samples"))
 
 
@@ -197,13 +144,12 @@ def hash_rank(id_col: str, draw: int) -> F.Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 
 
-def cluster_samples(assignments: DataFrame, per_cluster: int = 3) -> DataFrame:
+def cluster_samples(assignments: DataFrame, per_cluster: int) -> DataFrame:
     """``per_cluster`` draws with replacement from each cluster: (id, cluster), distinct.
 
     Draw j picks the member with the smallest md5 key for j (ties: smaller
-    id). Each draw is a ``min_by`` aggregation, partial before the shuffle,
-    so even a cluster holding a third of all vertices is never gathered into
-    one task; the sample size is bounded by clusters × draws.
+    id), by aggregations that combine before the shuffle, so a cluster holding
+    a third of all vertices is never gathered into one task.
     """
     draws = [
         F.min_by(F.col("id"), F.struct(hash_rank("id", j), F.col("id"))).alias(f"d{j}") for j in range(per_cluster)
@@ -217,22 +163,30 @@ def cluster_sizes(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
+def sample_members(assignments: DataFrame, fraction: float = 0.05, salt: str = "") -> DataFrame:
+    """The members whose md5 key (of id and ``salt``) lies under ``fraction``: (id, cluster).
+
+    A row's fate depends on its id alone, so the sample is alike on every layout.
+    """
+    return assignments.filter(md5_fraction("id", salt) < fraction)
+
+
 def power_iteration_clusters(pairs: DataFrame, k: int, max_iter: int = 10, init_mode: str = "random") -> DataFrame:
     """Power iteration clustering of a symmetric weighted graph: (id, cluster).
 
     Input: each unordered pair once with a non-negative weight. It is
-    repartitioned by ``src`` first because random initialisation depends on
-    the partition layout; a fixed layout makes runs repeatable.
+    repartitioned by (src, dst), which spreads a hub's edges; random
+    initialisation depends on the partition layout, and a fixed layout makes
+    runs repeatable.
     """
     from pyspark.ml.clustering import PowerIterationClustering
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode=init_mode, weightCol="weight")
     data = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
-    return pic.assignClusters(data.repartition(n, "src")).select(F.col("id").cast("long"), F.col("cluster").cast("int"))
-
+    return pic.assignClusters(data.repartition(n, "src", "dst")).select(F.col("id").cast("long"), F.col("cluster").cast("int"))
 
-def sample_members(assignments: DataFrame, fraction: float, seed: int, with_replacement: bool = True) -> DataFrame:
-    """Random sample of cluster members, e.g. silhouette samples."""
-    return assignments.sample(withReplacement=with_replacement, fraction=fraction, seed=seed)
 
+def label_check(assignments: DataFrame, k: int) -> DataFrame:
+    """(id, labels, in_range) per vertex: how many labels it has, and whether all lie in 0..k-1."""
+    return assignments.groupBy("id").agg(F.count("cluster").alias("labels"), F.min(F.col("cluster").between(0, k - 1)).alias("in_range"))

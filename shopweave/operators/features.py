@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopweave.functions.core import broadcast_if_small
-
 PAIR = ["user_id", "shop_id"]
 
 
@@ -67,7 +65,7 @@ def pair_features(
     Equivalent to full outer joins of pay counts, labels and view counts on
     (user, shop), written as one tagged union and one aggregation: a single
     shuffle on the pair key instead of three joins. Shop attributes are then
-    attached with a broadcast join when the shop table is checked small.
+    joined; Spark broadcasts them by their measured size or shuffles.
 
     ``task``: "classification" → ``bought_after`` 0/1; "regression" →
     ``after_buy_count``. ``missing_shop``: "drop" (inner join) or "keep"
@@ -86,7 +84,7 @@ def pair_features(
         F.sum("v").cast("long").alias("num_view"),
         F.sum("a").cast("long").alias("after"),
     )
-    attrs = broadcast_if_small(shop_attributes(shop))
+    attrs = shop_attributes(shop)
     how = "inner" if missing_shop == "drop" else "left"
     joined = counts.join(attrs, "shop_id", how)
     shop_cols = [F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in

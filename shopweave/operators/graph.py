@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopweave.functions.core import broadcast_if_small, shop_vertex, time_weight, user_vertex, vertex_kind
+from shopweave.functions.core import fold_shop, fold_user, shop_vertex, time_weight, user_vertex, vertex_kind
+from shopweave.operators.skew import ROWS_PER_SALT, skew_join
 
 # Fixed event weights of the source job: a purchase counts 1, a view 0.5.
 PAY_WEIGHT = 1.0
@@ -24,11 +25,13 @@ def weighted_events(
     mode: str = "recent",
     pay_weight: float = PAY_WEIGHT,
     view_weight: float = VIEW_WEIGHT,
+    before_start: str = "drop",
 ) -> DataFrame:
     """Bag union of purchase and view events with their time weight: (user_id, shop_id, weight)."""
-    out = pay.select("user_id", "shop_id", (F.lit(pay_weight) * time_weight("ts", start, as_of, mode)).alias("weight"))
+    time = time_weight("ts", start, as_of, mode, before_start)
+    out = pay.select("user_id", "shop_id", (F.lit(pay_weight) * time).alias("weight"))
     if view is not None:
-        v = view.select("user_id", "shop_id", (F.lit(view_weight) * time_weight("ts", start, as_of, mode)).alias("weight"))
+        v = view.select("user_id", "shop_id", (F.lit(view_weight) * time).alias("weight"))
         out = out.unionByName(v)
     return out
 
@@ -38,33 +41,66 @@ def sum_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).filter(F.col("weight") != 0)
 
 
+def pair_weights(events: DataFrame) -> DataFrame:
+    """Summed (user_id, shop_id, weight) of weighted events; zero-weight pairs are dropped."""
+    return events.groupBy("user_id", "shop_id").agg(F.sum("weight").alias("weight")).filter(F.col("weight") != 0)
+
+
+def _named(ids: str):
+    """How users and shops are written as vertices: "name" (u7, s3), "fold" (2i, 2i + 1) or "raw" (the bare ids)."""
+    if ids == "name":
+        return user_vertex("user_id"), shop_vertex("shop_id")
+    if ids == "fold":
+        return fold_user("user_id"), fold_shop("shop_id")
+    if ids == "raw":
+        return F.col("user_id"), F.col("shop_id")
+    raise ValueError(f"unknown vertex form {ids!r}")
+
+
+def mirror(pairs: DataFrame, forward: str, backward: str, ids: str = "name") -> DataFrame:
+    """Two edges of each pair, user→shop with weight ``forward`` and shop→user with ``backward``, in one pass."""
+    u, s = _named(ids)
+    both = F.array(
+        F.struct(u.alias("src"), s.alias("dst"), F.col(forward).alias("weight")),
+        F.struct(s.alias("src"), u.alias("dst"), F.col(backward).alias("weight")),
+    )
+    return pairs.select(F.explode(both).alias("e")).select("e.src", "e.dst", "e.weight")
+
+
 def user_shop_edges(events: DataFrame, both_directions: bool = True, prefixed: bool = True) -> DataFrame:
     """Summed (src, dst, weight) edges from weighted events.
 
+    Events are aggregated once on the bare ids; directions and names come last.
     ``both_directions``: user→shop and shop→user (recommendation graph);
     otherwise user→shop only (similarity input). ``prefixed``: string ids
     ``u<id>``/``s<id>``; otherwise the raw long ids.
     """
-    if prefixed:
-        u, s = user_vertex("user_id"), shop_vertex("shop_id")
-    else:
-        u, s = F.col("user_id"), F.col("shop_id")
-    fwd = events.select(u.alias("src"), s.alias("dst"), "weight")
+    pairs = pair_weights(events)
+    ids = "name" if prefixed else "raw"
     if both_directions:
-        fwd = fwd.unionByName(events.select(s.alias("src"), u.alias("dst"), "weight"))
-    return sum_edges(fwd)
+        return mirror(pairs, "weight", "weight", ids)
+    u, s = _named(ids)
+    return pairs.select(u.alias("src"), s.alias("dst"), "weight")
 
 
-def normalize_out_weights(edges: DataFrame) -> DataFrame:
+def normalize_out_weights(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """w'(s→t) = w(s→t) / Σ_x w(s→x). Parallel edges stay separate.
 
-    The out-sum is a partial-aggregated groupBy on ``src`` joined back on
-    ``src``: a hot source is summed map-side, and AQE's skew-join split handles
-    its many edges on the join, where a window over ``src`` would put all of
-    them in one task.
+    The out-sum is a partial-aggregated groupBy on ``src``; it is joined back with the
+    edges of a heavy source spread over salts.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
-    return edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("weight"))
+    joined = skew_join(edges.select("src", "dst", "weight"), out, "src", rows_per_salt=rows_per_salt)
+    return joined.select("src", "dst", (F.col("weight") / F.col("_out")).alias("weight"))
+
+
+def normalized_pairs(pairs: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(user_id, shop_id, by_user, by_shop): a pair's weight over its user's and over its shop's total."""
+    users = pairs.groupBy("user_id").agg(F.sum("weight").alias("_user"))
+    shops = pairs.groupBy("shop_id").agg(F.sum("weight").alias("_shop"))
+    first = skew_join(pairs.select("user_id", "shop_id", "weight"), users, "user_id", rows_per_salt=rows_per_salt)
+    both = skew_join(first, shops, "shop_id", rows_per_salt=rows_per_salt)
+    return both.select("user_id", "shop_id", (F.col("weight") / F.col("_user")).alias("by_user"), (F.col("weight") / F.col("_shop")).alias("by_shop"))
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -108,8 +144,7 @@ def user_cities(pay: DataFrame, view: DataFrame | None, shop: DataFrame) -> Data
     events = pay.select("user_id", "shop_id")
     if view is not None:
         events = events.unionByName(view.select("user_id", "shop_id"))
-    city = broadcast_if_small(shop.select("shop_id", "city"))
-    pairs = events.join(city, "shop_id").select("user_id", "city").distinct()
+    pairs = events.distinct().join(shop.select("shop_id", "city"), "shop_id").select("user_id", "city").distinct()
     return pairs.groupBy("user_id").agg(F.array_sort(F.collect_set("city")).alias("cities"))
 
 
@@ -120,16 +155,19 @@ def city_shops(shop: DataFrame, cities: list[str] | str) -> DataFrame:
     return shop.filter(F.col("city").isin(*cities))
 
 
+def visited_shops(cities: DataFrame, shop: DataFrame, user_id: int) -> DataFrame:
+    """(shop_id): shops in the cities one user has visited."""
+    mine = cities.filter(F.col("user_id") == user_id).select(F.explode("cities").alias("city"))
+    return shop.join(mine, "city", "left_semi").select("shop_id")
+
+
 def seed_shops(cities: DataFrame, shop: DataFrame, user_id: int) -> DataFrame:
     """Shop vertices in the cities one user has visited."""
-    mine = cities.filter(F.col("user_id") == user_id).select(F.explode("cities").alias("city"))
-    return shop.join(mine, "city", "left_semi").select(shop_vertex("shop_id").alias("id"))
+    return visited_shops(cities, shop, user_id).select(shop_vertex("shop_id").alias("id"))
 
 
 def restrict_shops(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     """Keep edges whose endpoints both pass: user vertices always, shop vertices if in ``allowed(id)``."""
-    # Derived and bounded by the shop count: AQE turns the join into a
-    # broadcast from the measured size of this aggregate.
     ok = allowed.select("id").distinct()
     src_ok = ok.select(F.col("id").alias("src"), F.lit(True).alias("_src_ok"))
     dst_ok = ok.select(F.col("id").alias("dst"), F.lit(True).alias("_dst_ok"))

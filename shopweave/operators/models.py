@@ -7,16 +7,14 @@ checked against SQL.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopweave.functions.core import md5_bucket
 from shopweave.schemas import FEATURE_COLUMNS
+from shopweave.session import stored
 
 # Fixed model settings of the source job.
-SPLIT_SEED = 1234
 FOREST_SEED = 5043
 FOREST_TREES = 32
 FOREST_DEPTH = 4
@@ -26,7 +24,6 @@ LR_ITER = 10
 LR_REG = 0.3
 LR_ELASTIC_NET = 0.8
 SAMPLE_FRACTION = 0.2
-TRAIN_FRACTION = 0.8
 
 
 def assemble(df: DataFrame, cols: list[str] | None = None, out: str = "features") -> DataFrame:
@@ -38,24 +35,44 @@ def assemble(df: DataFrame, cols: list[str] | None = None, out: str = "features"
     return v.drop(*[f"_{c}" for c in cols])
 
 
-def random_split(df: DataFrame, train: float = TRAIN_FRACTION, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
-    tr, te = df.randomSplit([train, 1.0 - train], seed)
-    return tr, te
+KEYS = ["user_id", "shop_id"]
 
 
-def hash_split(df: DataFrame, keys: list[str], train_pct: int = 80) -> DataFrame:
+def hash_split(df: DataFrame, keys: list[str], train_pct: int = 80, salt: str = "") -> DataFrame:
     """Deterministic train/test flag from an md5 bucket of the key (independent of partitioning)."""
-    b = md5_bucket(keys, 100)
+    b = md5_bucket(keys, 100, salt)
     return df.withColumn("bucket", b).withColumn("is_train", F.col("bucket") < train_pct)
 
 
-def sample_split(df: DataFrame, fraction: float = SAMPLE_FRACTION, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
-    """Sample without replacement, then split 80/20 (the regression job's data reduction)."""
-    return random_split(df.sample(False, fraction, seed), TRAIN_FRACTION, seed)
+def split_parts(df: DataFrame, keys: list[str], train_pct: int = 80, salt: str = "") -> tuple[DataFrame, DataFrame]:
+    """(train, held out) by ``hash_split``: a row's side depends on its key alone, so the parts never overlap."""
+    marked = hash_split(df, keys, train_pct, salt).drop("bucket")
+    return marked.filter("is_train").drop("is_train"), marked.filter("not is_train").drop("is_train")
+
+
+def fit_sample(rows: DataFrame, keys: list[str], fraction: float = SAMPLE_FRACTION) -> DataFrame:
+    """``fraction`` of the rows, by an md5 bucket of the key apart from the split's.
+
+    Only rows used to fit are sampled (the source job's data reduction); held-out rows are all scored.
+    """
+    return rows.filter(md5_bucket(keys, 1000, "fit") < int(1000 * fraction))
+
+
+def sample_split(df: DataFrame, keys: list[str], fraction: float = SAMPLE_FRACTION) -> tuple[DataFrame, DataFrame]:
+    """Sample without replacement, then split 80/20 (the source job's order of steps)."""
+    return split_parts(fit_sample(df, keys, fraction), keys)
+
 
+def index_labels(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
+    """Labels as 0, 1, ... by falling frequency, ties by value (the source job's label index)."""
+    from pyspark.ml.feature import StringIndexer
 
-def classifier_predictions(features_cls: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
-    """Random forest (gini, depth 4, 32 trees) on the 8 features; predictions on the 20 % split.
+    text = df.withColumn("_label", F.col(label).cast("string"))
+    return StringIndexer(inputCol="_label", outputCol=out, stringOrderType="frequencyDesc").fit(text).transform(text).drop("_label")
+
+
+def classifier_predictions(features_cls: DataFrame) -> DataFrame:
+    """Random forest (gini, depth 4, 32 trees) on the 8 features; predictions on the 20 % held out.
 
     The label is the 0/1 ``bought_after`` cast to double (class 1 = bought).
     Output: user_id, shop_id, label, prediction, p_buy.
@@ -63,14 +80,12 @@ def classifier_predictions(features_cls: DataFrame, seed: int = SPLIT_SEED) -> D
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
-    # Persisted once: both splits and every tree level read it.
-    data = assemble(features_cls).withColumn("label", F.col("bought_after").cast("double")).persist()
-    train, test = random_split(data, TRAIN_FRACTION, seed)
+    data = stored(features_cls.withColumn("label", F.col("bought_after").cast("double")), "classify")
+    train, test = split_parts(data, KEYS)
     rf = RandomForestClassifier(
         impurity="gini", maxDepth=FOREST_DEPTH, numTrees=FOREST_TREES, featureSubsetStrategy="auto", seed=FOREST_SEED
     )
-    model = rf.fit(train)
-    pred = model.transform(test)
+    pred = rf.fit(assemble(train)).transform(assemble(test))
     return pred.select(
         "user_id", "shop_id", "label", "prediction", vector_to_array("probability")[1].alias("p_buy")
     )
@@ -79,26 +94,41 @@ def classifier_predictions(features_cls: DataFrame, seed: int = SPLIT_SEED) -> D
 def roc_auc_evaluator(pred: DataFrame, score: str = "p_buy", label: str = "label") -> float:
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC")
+    ev = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=0)
     return ev.evaluate(pred.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label)))
 
 
+def rmse_evaluator(pred: DataFrame, prediction: str, label: str = "label") -> float:
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    ev = RegressionEvaluator(predictionCol=prediction, labelCol=label, metricName="rmse")
+    return ev.evaluate(pred.select(F.col(prediction).cast("double").alias(prediction), F.col(label).cast("double").alias(label)))
+
+
 def auc(pred: DataFrame, score: str, label: str) -> DataFrame:
     """Exact area under ROC with ties counted half: one row (auc, positives, negatives).
 
-    Scores are first grouped (a distributed aggregation); the running count
-    of negatives below each score is a window over the distinct scores only,
-    so use it for scores with a modest number of distinct values (counts,
-    binned probabilities).
+    Scores are grouped by a distributed aggregation. The number of negatives below
+    a score is found in two steps: distinct scores are range-partitioned and
+    written with their range, ranges are summed and added up (a row per range),
+    and within a range a window adds up its scores. No task sees all scores.
     """
-    g = pred.groupBy(F.col(score).alias("s")).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg"),
+    is_pos = F.col(label) == 1
+    g = pred.groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.sum(F.when(is_pos, 1).otherwise(0)).cast("long").alias("pos"),
+        F.sum(F.when(is_pos, 0).otherwise(1)).cast("long").alias("neg"),
     )
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return g.agg(
-        (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+    n = int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = stored(g.repartitionByRange(n, "s").withColumn("part", F.spark_partition_id()), "auc")
+    rows_before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = g.groupBy("part").agg(F.sum("neg").alias("part_neg"))
+    parts = parts.select("part", F.coalesce(F.sum("part_neg").over(rows_before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = g.withColumn("in_part", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(parts, "part")
+    wins = F.sum(F.col("pos") * (F.col("base") + F.col("in_part") + F.col("neg") * 0.5))
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return below.agg(
+        F.try_divide(wins, pairs).alias("auc"),
         F.sum("pos").cast("long").alias("positives"),
         F.sum("neg").cast("long").alias("negatives"),
     )
@@ -119,55 +149,47 @@ def join_predictions(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("user_
     return a.join(b, list(keys))
 
 
-@dataclass
-class RegressionRun:
-    train: DataFrame
-    predictions: DataFrame  # test split with rf_prediction and gbt_prediction
-
-
-def regression_predictions(features_reg: DataFrame, seed: int = SPLIT_SEED) -> RegressionRun:
-    """Forest and GBT regressors of ``after_buy_count`` on a 20 % sample, split 80/20.
+def regression_predictions(features_reg: DataFrame, fit_fraction: float = SAMPLE_FRACTION) -> DataFrame:
+    """Forest and GBT regressors of ``after_buy_count``; predictions on all of the 20 % held out.
 
-    Features go through a ``VectorIndexer`` (up to 8 categories). The GBT
-    prediction is added beside the forest's on the same test rows.
+    ``fit_fraction`` of the training rows are used to fit (the source job samples 20 %).
+    Features go through a ``VectorIndexer`` (up to 8 categories). Output: the features,
+    label, rf_prediction and gbt_prediction side by side.
     """
     from pyspark.ml.feature import VectorIndexer
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    data = assemble(features_reg).withColumn("label", F.col("after_buy_count").cast("double")).persist()
-    indexer = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=MAX_CATEGORIES).fit(data)
-    data = indexer.transform(data)
-    train, test = sample_split(data, SAMPLE_FRACTION, seed)
-    train = train.persist()
+    data = stored(features_reg.withColumn("label", F.col("after_buy_count").cast("double")), "regress")
+    train, test = split_parts(data, KEYS)
+    fit = assemble(stored(fit_sample(train, KEYS, fit_fraction), "fit"))
+    indexer = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=MAX_CATEGORIES, handleInvalid="keep").fit(fit)
+    fit = indexer.transform(fit)
     rf = RandomForestRegressor(labelCol="label", featuresCol="indexed", featureSubsetStrategy="auto",
-                               seed=FOREST_SEED, predictionCol="rf_prediction")
-    rf_model = rf.fit(train)
+                               seed=FOREST_SEED, predictionCol="rf_prediction").fit(fit)
     gbt = GBTRegressor(labelCol="label", featuresCol="indexed", maxIter=GBT_ITER, seed=FOREST_SEED,
-                       predictionCol="gbt_prediction")
-    gbt_model = gbt.fit(train)
-    pred = gbt_model.transform(rf_model.transform(test))
-    return RegressionRun(train, pred)
+                       predictionCol="gbt_prediction").fit(fit)
+    pred = gbt.transform(rf.transform(indexer.transform(assemble(test))))
+    return stored(pred.drop("features", "indexed"), "predictions")
 
 
-def stack_logistic(pred: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
-    """Logistic regression over [rf, gbt] predictions, counts as classes; test rows with lr_prediction."""
+def stack_logistic(pred: DataFrame) -> DataFrame:
+    """Logistic regression over [rf, gbt] predictions, counts as classes; held-out rows with lr_prediction."""
     from pyspark.ml.classification import LogisticRegression
 
-    data = assemble(pred.drop("features"), ["rf_prediction", "gbt_prediction"], "lr_features")
-    train, test = random_split(data, TRAIN_FRACTION, seed)
+    train, test = split_parts(pred, KEYS, salt="stack")
+    names = ["rf_prediction", "gbt_prediction"]
     lr = LogisticRegression(maxIter=LR_ITER, regParam=LR_REG, elasticNetParam=LR_ELASTIC_NET,
                             featuresCol="lr_features", labelCol="label", predictionCol="lr_prediction",
                             probabilityCol="lr_probability", rawPredictionCol="lr_raw")
-    return lr.fit(train).transform(test)
+    return lr.fit(assemble(train, names, "lr_features")).transform(assemble(test, names, "lr_features"))
 
 
-def stack_gbt(pred: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
-    """GBT over the 8 features plus both base predictions; test rows with gbt2_prediction."""
+def stack_gbt(pred: DataFrame) -> DataFrame:
+    """GBT over the 8 features plus both base predictions; held-out rows with gbt2_prediction."""
     from pyspark.ml.regression import GBTRegressor
 
     cols = FEATURE_COLUMNS + ["rf_prediction", "gbt_prediction"]
-    data = assemble(pred.drop("features"), cols, "gbt2_features")
-    train, test = random_split(data, TRAIN_FRACTION, seed)
+    train, test = split_parts(pred, KEYS, salt="stack")
     gbt = GBTRegressor(labelCol="label", featuresCol="gbt2_features", maxIter=GBT_ITER, seed=FOREST_SEED,
                        predictionCol="gbt2_prediction")
-    return gbt.fit(train).transform(test)
+    return gbt.fit(assemble(train, cols, "gbt2_features")).transform(assemble(test, cols, "gbt2_features"))

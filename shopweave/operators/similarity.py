@@ -11,36 +11,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopweave.functions.core import broadcast_if_small
 from shopweave.operators import graph as G
+from shopweave.operators.skew import ROWS_PER_SALT, skew_join
 
 
-def shop_hubs(user_shop: DataFrame) -> DataFrame:
+def shop_hubs(user_shop: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Heaviest user per shop: (shop_id, hub, hub_weight); ties go to the smaller user id.
 
-    ``max_by`` aggregates partially before the shuffle, so a very popular shop
-    is reduced map-side instead of being gathered into one task.
+    Two hash aggregations that combine on the map side: the largest weight of a shop,
+    then the smallest user that has it.
     """
-    best = F.max_by(F.struct(F.col("src").alias("hub"), F.col("weight").alias("hub_weight")),
-                    F.struct(F.col("weight"), -F.col("src")))
-    return user_shop.groupBy(F.col("dst").alias("shop_id")).agg(best.alias("b")).select("shop_id", "b.hub", "b.hub_weight")
+    edges = user_shop.select(F.col("src").alias("hub"), F.col("dst").alias("shop_id"), "weight")
+    top = edges.groupBy("shop_id").agg(F.max("weight").alias("hub_weight"))
+    best = skew_join(edges, top, "shop_id", rows_per_salt=rows_per_salt).filter("weight = hub_weight")
+    return best.groupBy("shop_id").agg(F.min("hub").alias("hub"), F.max("hub_weight").alias("hub_weight"))
 
 
-def hub_similarity(user_shop: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
-    """Similarity edges (src, dst, weight, via_shop) around hub users, both directions."""
+def hub_similarity(user_shop: DataFrame, hubs: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Similarity edges (src, dst, weight, via_shop) around hub users, both directions.
+
+    A popular shop's edges are spread over salts for the join with its hub.
+    """
     if hubs is None:
-        hubs = shop_hubs(user_shop)
-    # One row per shop: AQE broadcasts it from its measured size after the
-    # aggregation (a counted pre-check would recompute the whole pipeline);
-    # beyond the threshold it stays a shuffle join, split by AQE if skewed.
-    e = user_shop.join(hubs, user_shop.dst == hubs.shop_id).select(
-        F.col("src").alias("user"), "hub", (F.col("weight") * F.col("hub_weight")).alias("w"), "shop_id"
+        hubs = shop_hubs(user_shop, rows_per_salt)
+    edges = user_shop.select(F.col("src").alias("user"), F.col("dst").alias("shop_id"), "weight")
+    e = skew_join(edges, hubs, "shop_id", rows_per_salt=rows_per_salt).filter("user != hub")
+    w = F.col("weight") * F.col("hub_weight")
+    both = F.array(
+        F.struct(F.col("user").alias("src"), F.col("hub").alias("dst"), w.alias("weight")),
+        F.struct(F.col("hub").alias("src"), F.col("user").alias("dst"), w.alias("weight")),
     )
-    fwd = e.select(F.col("user").alias("src"), F.col("hub").alias("dst"), F.col("w").alias("weight"),
-                   F.col("shop_id").alias("via_shop"))
-    rev = e.select(F.col("hub").alias("src"), F.col("user").alias("dst"), F.col("w").alias("weight"),
-                   F.col("shop_id").alias("via_shop"))
-    return fwd.unionByName(rev).filter(F.col("src") != F.col("dst"))
+    return e.select(F.explode(both).alias("e"), F.col("shop_id").alias("via_shop")).select("e.src", "e.dst", "e.weight", "via_shop")
 
 
 def similarity_graph(
@@ -54,7 +55,7 @@ def similarity_graph(
 ) -> DataFrame:
     """Logs → (city filter) → time weights → user→shop sums → normalise → hub similarity."""
     if city is not None:
-        shops = broadcast_if_small(G.city_shops(shop, city).select("shop_id"))
+        shops = G.city_shops(shop, city).select("shop_id")
         pay = pay.join(shops, "shop_id", "left_semi")
         view = view.join(shops, "shop_id", "left_semi") if view is not None else None
     events = G.weighted_events(pay, view, start, as_of, mode)

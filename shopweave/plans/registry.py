@@ -7,6 +7,7 @@ Doubles are rounded to 9 places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from shopweave.functions.core import round6, round9
 from shopweave.operators import features as FE
 from shopweave.operators import graph as G
 from shopweave.operators import rank as R
-from shopweave.plans.recommend import recommendation_graph
+from shopweave.plans.recommend import city_graph, named, recommend_shops, recommendation_graph
+from shopweave.session import ensure_checkpoint_dir, stored
+from shopweave.sources import files as IO
 from shopweave.sources.tables import base_ctes, pay_log, shop_table, view_log
 
 # Fixed parameters of the registered queries.
@@ -328,9 +331,8 @@ def q_edges_union(spark, sf):
         view.select("user_id", "shop_id", (F.lit(G.VIEW_WEIGHT) * G.time_weight("ts", START, AS_OF)).alias("weight"))
     )
     u = G.union_edges(pe, ve)
-    return u.groupBy("src", "dst").agg(
-        round9(F.sum("weight")).alias("weight"), F.count(F.lit(1)).alias("n_lists")
-    ).filter(F.col("weight") != 0)
+    merged = u.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_lists"))
+    return merged.filter("weight != 0").select("src", "dst", round9("weight").alias("weight"), "n_lists")
 
 
 @register("out_degrees", base_ctes() + _graph_ctes("recent") + """,
@@ -346,7 +348,7 @@ def q_out_degrees(spark, sf):
 select src, dst, round(weight, 9) as weight from sub""")
 def q_city_subgraph(spark, sf):
     pay, view, shop = _logs(spark, sf)
-    e = G.city_subgraph(recommendation_graph(pay, view, START, AS_OF), G.user_cities(pay, view, shop), shop, SEED_USER)
+    e = city_graph(pay, view, shop, SEED_USER, START, AS_OF)
     return e.select("src", "dst", round9("weight").alias("weight"))
 
 
@@ -356,8 +358,8 @@ def q_city_subgraph(spark, sf):
 
 def _rank_query(spark, sf, weighted: bool) -> DataFrame:
     pay, view, shop = _logs(spark, sf)
-    e = G.city_subgraph(recommendation_graph(pay, view, START, AS_OF), G.user_cities(pay, view, shop), shop, SEED_USER)
-    return R.personal_rank(e, f"u{SEED_USER}", d=DAMPING, max_iter=ROUNDS, weighted=weighted)
+    e = city_graph(pay, view, shop, SEED_USER, START, AS_OF, ids="fold")
+    return named(R.personal_rank(e, 2 * SEED_USER, d=DAMPING, max_iter=ROUNDS, weighted=weighted))
 
 
 def _rank_sql(weighted: bool, tail: str) -> str:
@@ -367,8 +369,8 @@ def _rank_sql(weighted: bool, tail: str) -> str:
 
 _RANK_TAIL = (f"select id, case when id like 's%' then 'shop' else 'user' end as kind, "
               f"round(rank, 9) as rank from r{ROUNDS}")
-_TOP_TAIL = (f"select id, round(rank, 9) as rank from r{ROUNDS} where id like 's%' "
-             f"order by round(rank, 9) desc, id limit {TOP_K}")
+_TOP_TAIL = (f"select id, round(rank, 9) as rank from (select * from r{ROUNDS} where id like 's%' "
+             f"order by rank desc, id limit {TOP_K}) best")
 
 
 @register("rank_weighted", _rank_sql(True, _RANK_TAIL))
@@ -385,12 +387,52 @@ def q_rank_unweighted(spark, sf):
 
 @register("top_shops", _rank_sql(True, _TOP_TAIL))
 def q_top_shops(spark, sf):
-    return R.top_shops(_rank_query(spark, sf, True), TOP_K)
+    return R.top_shops(_rank_query(spark, sf, True), TOP_K).select("id", round9("rank").alias("rank"))
 
 
 @register("top_shops_unweighted", _rank_sql(False, _TOP_TAIL))
 def q_top_shops_unweighted(spark, sf):
-    return R.top_shops(_rank_query(spark, sf, False), TOP_K)
+    return R.top_shops(_rank_query(spark, sf, False), TOP_K).select("id", round9("rank").alias("rank"))
+
+
+# Users served together by the many-seed query.
+SEED_USERS = [7, 19, 42]
+
+
+def _many_rank_sql() -> str:
+    seeds = " union all ".join(f"select 'u{u}' as seed" for u in SEED_USERS)
+    parts = ["t as (select src, dst, weight as p from en)",
+             f"r0 as (select seed, seed as id, {_f(1.0 - DAMPING)} as rank from ({seeds}) s "
+             f"where seed in (select src from t union select dst from t))"]
+    for k in range(1, ROUNDS + 1):
+        parts.append(f"r{k} as (select seed, id, sum(rank) as rank from (select r.seed, t.dst as id, {_f(DAMPING)} * r.rank * t.p as rank "
+                     f"from r{k - 1} r join t on r.id = t.src union all select seed, id, rank from r0) x group by seed, id)")
+    return base_ctes() + _graph_ctes("recent") + ",\n" + ",\n".join(parts) + f"""
+select seed, id, round(rank, 9) as rank, cast(pos as integer) as pos from (
+  select *, row_number() over (partition by seed order by rank desc, id) as pos from r{ROUNDS} where id like 's%') x
+where pos <= {TOP_K}"""
+
+
+@register("top_shops_many", _many_rank_sql())
+def q_top_shops_many(spark, sf):
+    from shopweave.functions.core import folded_name
+
+    pay, view, _ = _logs(spark, sf)
+    e = recommendation_graph(pay, view, START, AS_OF, ids="fold")
+    seeds = spark.createDataFrame([(2 * u,) for u in SEED_USERS], "seed long")
+    ranks = named(R.personal_rank_many(e, seeds, DAMPING, ROUNDS)).withColumn("seed", folded_name("seed"))
+    return R.top_shops_many(ranks, TOP_K).select("seed", "id", round9("rank").alias("rank"), "pos")
+
+
+@register("recommend_age_unseen", base_ctes() + _graph_ctes("age") + _subgraph_ctes() + _rank_ctes("sub", f"u{SEED_USER}", True) + f""",
+seen as (select 's' || shop_id as id from (select user_id, shop_id from pay_log union all select user_id, shop_id from view_log) x
+         where user_id = {SEED_USER})
+select id, round(rank, 9) as rank from (select * from r{ROUNDS} where id like 's%' and id not in (select id from seen)
+  order by rank desc, id limit {TOP_K}) best""")
+def q_recommend_age_unseen(spark, sf):
+    pay, view, shop = _logs(spark, sf)
+    best = recommend_shops(pay, view, shop, SEED_USER, START, AS_OF, TOP_K, DAMPING, ROUNDS, exclude_seen=True, mode="age")
+    return best.select("id", round9("rank").alias("rank"))
 
 
 # --------------------------------------------------------------------------
@@ -436,6 +478,16 @@ def _similarity(spark, sf, city=None) -> DataFrame:
     return similarity_graph(pay, view, shop, START, AS_OF, city=city)
 
 
+def _graph_and_clusters(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Normalised similarity edges and home clusters, both from one stored user-shop table."""
+    from shopweave.operators.clusters import home_city_clusters
+    from shopweave.operators.similarity import hub_similarity
+
+    user_shop = stored(_user_shop_norm(spark, sf), "user-shop")
+    sim = stored(hub_similarity(user_shop).select("src", "dst", "weight"), "similarity")
+    return stored(G.normalize_out_weights(sim), "similarity-norm"), stored(home_city_clusters(user_shop, shop_table(spark, sf)), "clusters")
+
+
 def _user_shop_norm(spark, sf) -> DataFrame:
     pay, view, _ = _logs(spark, sf)
     return G.normalize_out_weights(G.user_shop_edges(G.weighted_events(pay, view, START, AS_OF), False, prefixed=False))
@@ -499,7 +551,7 @@ select round(sum(case when cs <> cd then weight else 0.0 end), 6) as cut_weight,
 def q_cut_weight(spark, sf):
     from shopweave.operators.clusters import cut_weight
 
-    c = cut_weight(_sim_normalized(spark, sf), _home_clusters(spark, sf))
+    c = cut_weight(*_graph_and_clusters(spark, sf))
     return c.select(round6("cut_weight").alias("cut_weight"), round6("total_weight").alias("total_weight"),
                     "cut_edges", "edges")
 
@@ -522,29 +574,13 @@ def _sssp_ctes(sources_sql: str, rounds: int = SSSP_SQL_ROUNDS) -> str:
     return ",\n" + ",\n".join(parts)
 
 
-def _sssp(spark, sf, sources: DataFrame, sim: DataFrame | None = None) -> DataFrame:
-    from shopweave.operators.clusters import shortest_paths, to_distances
-
-    return shortest_paths(to_distances(sim if sim is not None else _sim_normalized(spark, sf)), sources)
-
-
-def _materialised(spark, sf):
-    """Similarity graph and home clusters, each computed once and checkpointed (both are read several times)."""
-    sim = _sim_normalized(spark, sf).checkpoint(eager=True)
-    clusters = _home_clusters(spark, sf).checkpoint(eager=True)
-    return sim, clusters
-
+# Users whose paths and silhouettes are asked for, given like the seed user.
+SAMPLE_USERS = [7, 19, 42, 77, 101, 128]
+DRAWS = 3
+MEMBER_FRACTION = 0.05
 
-SAMPLES_PER_CLUSTER = 3
 
-
-def _samples(spark, sf) -> DataFrame:
-    from shopweave.operators.clusters import cluster_samples
-
-    return cluster_samples(_home_clusters(spark, sf), SAMPLES_PER_CLUSTER)
-
-
-def _samples_sql(draws: int = SAMPLES_PER_CLUSTER) -> str:
+def _samples_sql(draws: int = DRAWS) -> str:
     parts = []
     for j in range(draws):
         key = f"cast(('0x' || substr(md5(cast(id as varchar) || '|{j}'), 1, 8)) as bigint)"
@@ -554,53 +590,90 @@ def _samples_sql(draws: int = SAMPLES_PER_CLUSTER) -> str:
 
 
 _SEED_SOURCES = f"select cast({SEED_USER} as bigint) as source"
-_SAMPLE_SOURCES = "select id as source from samp"
+_USER_SOURCES = " union all ".join(f"select cast({u} as bigint) as source" for u in SAMPLE_USERS)
+
+
+def _sources(spark, users: list[int], name: str = "source") -> DataFrame:
+    return spark.createDataFrame([(u,) for u in users], f"{name} long")
 
 
 @register("sssp", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_SEED_SOURCES) + f"""
 select source, id, round(dist, 6) as dist from d{SSSP_SQL_ROUNDS}""")
 def q_sssp(spark, sf):
-    src = spark.range(1).select(F.lit(SEED_USER).cast("long").alias("source"))
-    d = _sssp(spark, sf, src)
+    from shopweave.operators.clusters import shortest_paths, to_distances
+
+    d = shortest_paths(to_distances(_sim_normalized(spark, sf)), _sources(spark, [SEED_USER]))
     return d.select("source", "id", round6("dist").alias("dist"))
 
 
 @register("cluster_samples", base_ctes() + _sim_norm_ctes() + _samples_sql() + """
 select id, cluster from samp""")
 def q_cluster_samples(spark, sf):
-    return _samples(spark, sf)
+    from shopweave.operators.clusters import cluster_samples
 
+    return cluster_samples(_home_clusters(spark, sf), DRAWS)
 
-@register("sssp_many", base_ctes() + _sim_norm_ctes() + _samples_sql() + _sssp_ctes(_SAMPLE_SOURCES) + f"""
-select source, id, round(dist, 6) as dist from d{SSSP_SQL_ROUNDS}""")
+
+@register("member_sample", base_ctes() + _sim_norm_ctes() + f"""
+select id, cluster from cl
+where cast(('0x' || substr(md5(cast(id as varchar) || '|member'), 1, 8)) as bigint) / 4294967296.0 < {MEMBER_FRACTION}""")
+def q_member_sample(spark, sf):
+    from shopweave.operators.clusters import sample_members
+
+    return sample_members(_home_clusters(spark, sf), MEMBER_FRACTION, "member")
+
+
+@register("sssp_many", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_USER_SOURCES) + f"""
+select d.source, cl.cluster, count(*) as reached, round(min(dist), 6) as nearest, round(max(dist), 6) as farthest,
+       round(sum(dist), 6) as total
+from d{SSSP_SQL_ROUNDS} d join cl on d.id = cl.id group by d.source, cl.cluster""")
 def q_sssp_many(spark, sf):
-    from shopweave.operators.clusters import cluster_samples
+    from shopweave.operators.clusters import distance_summary, shortest_paths, to_distances
 
-    sim, clusters = _materialised(spark, sf)
-    sources = cluster_samples(clusters, SAMPLES_PER_CLUSTER).select(F.col("id").alias("source"))
-    d = _sssp(spark, sf, sources, sim)
-    return d.select("source", "id", round6("dist").alias("dist"))
+    sim, clusters = _graph_and_clusters(spark, sf)
+    per = distance_summary(shortest_paths(to_distances(sim), _sources(spark, SAMPLE_USERS)), clusters)
+    return per.select("source", "cluster", "reached", *[round6(c).alias(c) for c in ("nearest", "farthest", "total")])
 
 
-@register("silhouette", base_ctes() + _sim_norm_ctes() + _samples_sql() + _sssp_ctes(_SAMPLE_SOURCES) + f""",
-mem as (select v.id, cl.cluster from (select src as id from simn union select dst from simn) v join cl on v.id = cl.id),
-per as (select d.source, m.cluster, sum(d.dist) / count(*) as mean
-        from d{SSSP_SQL_ROUNDS} d join mem m on d.id = m.id group by d.source, m.cluster),
-own as (select id as source, cluster as own from samp),
-ab as (select p.source, o.own, max(case when p.cluster = o.own then p.mean end) as a,
-              min(case when p.cluster <> o.own then p.mean end) as b
-       from per p join own o on p.source = o.source group by p.source, o.own)
-select source as id, own as cluster, round(a, 6) as a, round(b, 6) as b,
-       round((b - a) / greatest(a, b), 9) as coefficient from ab""")
-def q_silhouette(spark, sf):
-    from shopweave.operators.clusters import cluster_samples, silhouette
+_SILHOUETTE_CTES = base_ctes() + _sim_norm_ctes() + f""",
+mem as (select id, cluster from cl union all
+        select id, 0 from (select src as id from simn union select dst from simn) v where id not in (select id from cl)),
+own as (select mem.id as source, mem.cluster as own from mem where id in ({", ".join(map(str, SAMPLE_USERS))}))""" + _sssp_ctes(
+    "select source from own") + f""",
+sizes as (select cluster, count(*) as size from mem group by cluster),
+reach as (select d.source, m.cluster, sum(d.dist) as total, count(*) as reached
+          from d{SSSP_SQL_ROUNDS} d join mem m on d.id = m.id group by d.source, m.cluster),
+per as (select r.source, r.cluster, case when r.reached < s.size then 'infinity'::double else r.total / s.size end as mean
+        from reach r join sizes s on r.cluster = s.cluster),
+ab as (select o.source, o.own, max(case when p.cluster = o.own then p.mean end) as a,
+              coalesce(min(case when p.cluster <> o.own then p.mean end), 'infinity'::double) as b
+       from own o join per p on p.source = o.source group by o.source, o.own),
+sil as (select source as id, own as cluster, a, b,
+               case when greatest(a, b) = 0 then 'nan'::double else (b - a) / greatest(a, b) end as coefficient from ab)"""
 
-    sim, clusters = _materialised(spark, sf)
-    samples = cluster_samples(clusters, SAMPLES_PER_CLUSTER).select("id")
-    s = silhouette(sim, clusters, samples, unreachable="drop")
+
+def _silhouettes(spark, sf) -> DataFrame:
+    from shopweave.operators.clusters import silhouette
+
+    sim, clusters = _graph_and_clusters(spark, sf)
+    return silhouette(sim, clusters, _sources(spark, SAMPLE_USERS, "id"), unreachable="inf")
+
+
+@register("silhouette", _SILHOUETTE_CTES + """
+select id, cluster, round(a, 6) as a, round(b, 6) as b, round(coefficient, 9) as coefficient from sil""")
+def q_silhouette(spark, sf):
+    s = _silhouettes(spark, sf)
     return s.select("id", "cluster", round6("a").alias("a"), round6("b").alias("b"), round9("coefficient").alias("coefficient"))
 
 
+@register("mean_silhouette", _SILHOUETTE_CTES + """
+select round(avg(coefficient), 9) as silhouette, count(*) as samples from sil""")
+def q_mean_silhouette(spark, sf):
+    from shopweave.operators.clusters import mean_silhouette
+
+    return mean_silhouette(_silhouettes(spark, sf)).select(round9("silhouette").alias("silhouette"), "samples")
+
+
 # --------------------------------------------------------------------------
 # Models, metrics, splits (baseline predictor num_pay has exact SQL oracles)
 # --------------------------------------------------------------------------
@@ -663,108 +736,274 @@ def q_hash_split(spark, sf):
     return hash_split(f, ["user_id", "shop_id"])
 
 
-@register("sample_split")
+def _bucket_sql(buckets: int = 100, salt: str = "") -> str:
+    tail = f", '{salt}'" if salt else ""
+    return f"cast(('0x' || substr(md5(concat_ws('|', user_id, shop_id{tail})), 1, 8)) as bigint) % {buckets}"
+
+
+# Held-out rows (20 %), and of those the rows that the stacked models hold out in turn.
+_HELD = f"{_bucket_sql()} >= 80"
+_STACK_HELD = f"{_HELD} and {_bucket_sql(salt='stack')} >= 80"
+
+
+@register("sample_split", _feat_cte("regression") + f"""
+select *, case when {_HELD} then 'test' else 'train' end as part from feat where {_bucket_sql(1000, 'fit')} < 200""")
 def q_sample_split(spark, sf):
-    from shopweave.operators.models import sample_split
+    from shopweave.operators.models import KEYS, sample_split
 
-    f = _features(spark, sf, "regression")
-    train, test = sample_split(f)
+    train, test = sample_split(_features(spark, sf, "regression"), KEYS)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@register("rf_class_predictions")
+@register("label_index", _feat_cte("regression") + """,
+c as (select cast(after_buy_count as varchar) as label, count(*) as n from feat group by 1)
+select label, cast(row_number() over (order by n desc, label) - 1 as double) as label_index, n from c""")
+def q_label_index(spark, sf):
+    from shopweave.operators.models import index_labels
+
+    rows = index_labels(_features(spark, sf, "regression").select("after_buy_count"), "after_buy_count")
+    return rows.groupBy(F.col("after_buy_count").cast("string").alias("label"), "label_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Trained models have no SQL form. What SQL does say is checked: which rows are held out,
+# their labels and counts, and that the library's metrics agree with the evaluators.
+
+@register("rf_class_predictions", _feat_cte("classification") + f"""
+select user_id, shop_id, cast(bought_after as double) as label, true as valid from feat where {_HELD}""")
 def q_rf_class_predictions(spark, sf):
     from shopweave.operators.models import classifier_predictions
 
-    return classifier_predictions(_features(spark, sf, "classification"))
+    pred = classifier_predictions(_features(spark, sf, "classification"))
+    valid = F.col("p_buy").between(0, 1) & ((F.col("p_buy") > 0.5) == (F.col("prediction") == 1.0))
+    return pred.select("user_id", "shop_id", "label", valid.alias("valid"))
 
 
-@register("rf_class_auc")
+@register("rf_class_auc", _feat_cte("classification") + f"""
+select count(*) as n, cast(sum(bought_after) as bigint) as positives, true as auc_agrees, true as better_than_chance
+from feat where {_HELD}""")
 def q_rf_class_auc(spark, sf):
-    from shopweave.operators.models import classifier_predictions, roc_auc_evaluator
+    from shopweave.operators.models import auc, classifier_predictions, roc_auc_evaluator
 
-    pred = classifier_predictions(_features(spark, sf, "classification")).persist()
+    pred = stored(classifier_predictions(_features(spark, sf, "classification")), "predictions")
     value = roc_auc_evaluator(pred)
-    out = pred.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
-    return out.withColumn("auc", F.lit(value))
+    own = auc(pred, "p_buy", "label")
+    return own.select(
+        (F.col("positives") + F.col("negatives")).alias("n"), "positives",
+        (F.abs(F.col("auc") - F.lit(value)) < 1e-9).alias("auc_agrees"), (F.col("auc") > 0.5).alias("better_than_chance"),
+    )
 
 
-def _regression(spark, sf):
+def _regression(spark, sf) -> DataFrame:
     from shopweave.operators.models import regression_predictions
 
     return regression_predictions(_features(spark, sf, "regression"))
 
 
-@register("reg_predictions")
+def _finite(name: str):
+    return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) < float("inf"))
+
+
+@register("reg_predictions", _feat_cte("regression") + f"""
+select user_id, shop_id, cast(after_buy_count as double) as label, true as rf_finite, true as gbt_finite from feat where {_HELD}""")
 def q_reg_predictions(spark, sf):
-    run = _regression(spark, sf)
-    return run.predictions.select("user_id", "shop_id", "label", "rf_prediction", "gbt_prediction")
+    p = _regression(spark, sf)
+    return p.select("user_id", "shop_id", "label", _finite("rf_prediction").alias("rf_finite"), _finite("gbt_prediction").alias("gbt_finite"))
+
+
+@register("model_residuals", _feat_cte("regression") + f"""
+select user_id, shop_id, cast(after_buy_count as double) as label, true as rf_residual, true as gbt_residual from feat where {_HELD}""")
+def q_model_residuals(spark, sf):
+    # Two models' predictions side by side, each with its residual.
+    from shopweave.operators.models import join_predictions, residuals
+
+    p = _regression(spark, sf)
+    a = residuals(p.select("user_id", "shop_id", "label", "rf_prediction"), "rf_prediction", "label", "rf_res")
+    b = residuals(p.select("user_id", "shop_id", F.col("label").alias("gbt_label"), "gbt_prediction"), "gbt_prediction", "gbt_label", "gbt_res")
+    j = join_predictions(a, b)
+    return j.select(
+        "user_id", "shop_id", "label",
+        (F.abs(F.col("rf_prediction") - F.col("rf_res") - F.col("label")) < 1e-9).alias("rf_residual"),
+        (F.abs(F.col("gbt_prediction") - F.col("gbt_res") - F.col("gbt_label")) < 1e-9).alias("gbt_residual"),
+    )
 
 
-@register("reg_rmse")
-def q_reg_rmse(spark, sf):
-    from shopweave.operators.models import rmse
+def _rmse_row(pred: DataFrame, model: str, prediction: str) -> DataFrame:
+    from shopweave.operators.models import rmse, rmse_evaluator
+
+    value = rmse_evaluator(pred, prediction)
+    agrees = F.abs(F.col("rmse") - F.lit(value)) < 1e-9
+    return rmse(pred, prediction, "label").select(F.lit(model).alias("model"), "n", agrees.alias("rmse_agrees"))
 
-    p = _regression(spark, sf).predictions.persist()
-    rf = rmse(p, "rf_prediction", "label").select(F.lit("rf").alias("model"), "rmse", "n")
-    gbt = rmse(p, "gbt_prediction", "label").select(F.lit("gbt").alias("model"), "rmse", "n")
-    return rf.unionByName(gbt)
+
+@register("reg_rmse", _feat_cte("regression") + f"""
+select model, count(*) as n, true as rmse_agrees from feat, (values ('rf'), ('gbt')) m(model) where {_HELD} group by model""")
+def q_reg_rmse(spark, sf):
+    p = _regression(spark, sf)
+    return _rmse_row(p, "rf", "rf_prediction").unionByName(_rmse_row(p, "gbt", "gbt_prediction"))
 
 
-@register("stack_lr_rmse")
+@register("stack_lr_rmse", _feat_cte("regression") + f"""
+select 'lr_stack' as model, count(*) as n, true as rmse_agrees from feat where {_STACK_HELD}""")
 def q_stack_lr_rmse(spark, sf):
-    from shopweave.operators.models import rmse, stack_logistic
+    from shopweave.operators.models import stack_logistic
 
-    p = _regression(spark, sf).predictions.persist()
-    return rmse(stack_logistic(p), "lr_prediction", "label").select(F.lit("lr_stack").alias("model"), "rmse", "n")
+    p = stored(stack_logistic(_regression(spark, sf)).select("label", "lr_prediction"), "stack")
+    return _rmse_row(p, "lr_stack", "lr_prediction")
 
 
-@register("stack_gbt_rmse")
+@register("stack_gbt_rmse", _feat_cte("regression") + f"""
+select 'gbt_stack' as model, count(*) as n, true as rmse_agrees from feat where {_STACK_HELD}""")
 def q_stack_gbt_rmse(spark, sf):
-    from shopweave.operators.models import rmse, stack_gbt
+    from shopweave.operators.models import stack_gbt
 
-    p = _regression(spark, sf).predictions.persist()
-    return rmse(stack_gbt(p), "gbt2_prediction", "label").select(F.lit("gbt_stack").alias("model"), "rmse", "n")
+    p = stored(stack_gbt(_regression(spark, sf)).select("label", "gbt2_prediction"), "stack")
+    return _rmse_row(p, "gbt_stack", "gbt2_prediction")
 
 
 # --------------------------------------------------------------------------
-# Power iteration clustering (labels depend on partition layout: rows only)
+# Power iteration clustering: which cluster a vertex gets has no SQL form; that every
+# vertex of the graph has one label in range, and what the cut is a part of, has.
 # --------------------------------------------------------------------------
 
 PIC_K = 4
 
 
-def _pic(spark, sf) -> DataFrame:
+def _pic(sim: DataFrame) -> DataFrame:
     from shopweave.operators.clusters import power_iteration_clusters
     from shopweave.operators.similarity import symmetric_pairs
 
-    return power_iteration_clusters(symmetric_pairs(_similarity(spark, sf)), PIC_K)
+    return stored(power_iteration_clusters(stored(symmetric_pairs(sim), "pairs"), PIC_K), "pic")
 
 
-@register("pic_clusters")
+@register("pic_clusters", base_ctes() + _sim_ctes() + """
+select id, cast(1 as bigint) as labels, true as in_range from (select src as id from sim union select dst from sim) v""")
 def q_pic_clusters(spark, sf):
-    return _pic(spark, sf)
+    from shopweave.operators.clusters import label_check
+
+    return label_check(_pic(_similarity(spark, sf)), PIC_K)
 
 
-@register("pic_cut_weight")
+@register("pic_cut_weight", base_ctes() + _sim_norm_ctes() + """
+select round(sum(weight), 6) as total_weight, count(*) as edges, true as cut_is_part from simn""")
 def q_pic_cut_weight(spark, sf):
     from shopweave.operators.clusters import cut_weight
 
-    return cut_weight(_sim_normalized(spark, sf), _pic(spark, sf))
+    sim = stored(_similarity(spark, sf).select("src", "dst", "weight"), "similarity")
+    c = cut_weight(G.normalize_out_weights(sim), _pic(sim))
+    part = (F.col("cut_weight") >= 0) & (F.col("cut_weight") <= F.col("total_weight") + 1e-9)
+    return c.select(round6("total_weight").alias("total_weight"), "edges", part.alias("cut_is_part"))
 
 
-@register("pic_bipartite")
+@register("pic_bipartite", base_ctes() + _sim_ctes() + """
+select 'user' as kind, src as id, cast(1 as bigint) as labels, true as in_range from un group by src
+union all select 'shop', dst, cast(1 as bigint), true from un group by dst""")
 def q_pic_bipartite(spark, sf):
     # Users and shops clustered together on the normalised user→shop graph and
     # its reverse; both id spaces are folded into one (user 2i, shop 2i+1).
-    from shopweave.operators.clusters import power_iteration_clusters
-    from shopweave.operators.similarity import symmetric_pairs
+    from shopweave.functions.core import fold_shop, fold_user, folded_kind
+    from shopweave.operators.clusters import label_check
 
     us = _user_shop_norm(spark, sf)
-    folded = us.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"), "weight")
-    labels = power_iteration_clusters(symmetric_pairs(G.bidirectional(folded)), PIC_K)
-    kind = F.when(F.col("id") % 2 == 0, F.lit("user")).otherwise(F.lit("shop"))
-    return labels.select(kind.alias("kind"), F.floor(F.col("id") / 2).cast("long").alias("id"), "cluster")
+    folded = us.select(fold_user("src").alias("src"), fold_shop("dst").alias("dst"), "weight")
+    labels = label_check(_pic(G.bidirectional(folded)), PIC_K)
+    return labels.select(folded_kind("id").alias("kind"), F.floor(F.col("id") / 2).cast("long").alias("id"), "labels", "in_range")
+
+
+# --------------------------------------------------------------------------
+# Text layouts, written to the shared folder and read again
+# --------------------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}/{name}"
+
+
+_LOG_SQL = "select user_id, shop_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from "
+
+
+def _log_text(spark, log: DataFrame) -> DataFrame:
+    path = _folder(spark, "log")
+    IO.write_log_text(log, path)
+    return IO.read_log(spark, path).select("user_id", "shop_id", F.date_format("ts", IO.TIME_FORMAT).alias("ts"))
+
+
+@register("text_pay_log", base_ctes() + _LOG_SQL + "pay_log")
+def q_text_pay_log(spark, sf):
+    return _log_text(spark, pay_log(spark, sf))
+
+
+@register("text_view_log", base_ctes() + _LOG_SQL + "view_log")
+def q_text_view_log(spark, sf):
+    return _log_text(spark, view_log(spark, sf))
+
+
+@register("text_shop", base_ctes() + """
+select shop_id, city, location_id, per_pay, score, comment_cnt, shop_level from shop_info""")
+def q_text_shop(spark, sf):
+    path = _folder(spark, "shop")
+    IO.write_shop_text(shop_table(spark, sf), path)
+    return IO.read_shop(spark, path).drop("cate1", "cate2", "cate3")
+
+
+@register("text_pair_counts", base_ctes() + f"""
+select user_id, shop_id, count(*) as count from pay_log where ts < timestamp '{SPLIT}' group by user_id, shop_id""")
+def q_text_pair_counts(spark, sf):
+    path = _folder(spark, "counts")
+    IO.write_pair_counts_text(FE.pair_counts(FE.before(pay_log(spark, sf), SPLIT)), path)
+    return IO.read_pair_counts_text(spark, path)
+
+
+@register("text_features", _features_sql("classification"))
+def q_text_features(spark, sf):
+    path = _folder(spark, "features")
+    IO.write_features_text(_features(spark, sf, "classification"), path)
+    return IO.read_features(spark, path)
+
+
+@register("text_edge_lists", base_ctes() + f""",
+pe as ({_events_sql(with_view=False)}),
+ve as (select user_id, shop_id, {_f(0.5)} * {_tw_sql()} as weight from view_log),
+x as (select 'u' || user_id as src, 's' || shop_id as dst, weight from pe
+      union all select 'u' || user_id, 's' || shop_id, weight from ve
+      union all select 's' || shop_id, 'u' || user_id, weight from pe)
+select src, dst, round(sum(weight), 9) as weight from x group by src, dst having sum(weight) <> 0""")
+def q_text_edge_lists(spark, sf):
+    # Three lists written apart, read as one and merged: bought, viewed, and bought reversed.
+    pay, view, _ = _logs(spark, sf)
+    bought = G.user_shop_edges(G.weighted_events(pay, None, START, AS_OF), both_directions=False)
+    seen = G.user_shop_edges(view.select("user_id", "shop_id", (F.lit(G.VIEW_WEIGHT) * G.time_weight("ts", START, AS_OF)).alias("weight")), both_directions=False)
+    paths = [_folder(spark, n) for n in ("bought", "seen", "reversed")]
+    for path, e in zip(paths, (bought, seen, G.reverse_edges(bought))):
+        IO.write_edges_text(e, path)
+    return IO.read_edge_lists(spark, paths, merge=True).select("src", "dst", round9("weight").alias("weight"))
+
+
+@register("text_user_cities", base_ctes() + f""",
+x as (select user_id, shop_id from pay_log union all select user_id, shop_id from view_log),
+uc as (select distinct user_id, city from x join shop_info s on x.shop_id = s.shop_id)
+select user_id, string_agg(city, ',' order by city) as cities, user_id = {SEED_USER} as is_seed,
+       case when user_id = {SEED_USER} then count(*) end as seed_cities from uc group by user_id""")
+def q_text_user_cities(spark, sf):
+    pay, view, shop = _logs(spark, sf)
+    path = _folder(spark, "cities")
+    IO.write_user_cities_text(G.user_cities(pay, view, shop), path)
+    mine = IO.cities_of(spark, path, SEED_USER).agg(F.count(F.lit(1)).alias("seed_cities")).withColumn("user_id", F.lit(SEED_USER).cast("long"))
+    uc = IO.read_user_cities(spark, path).select("user_id", F.array_join("cities", ",").alias("cities"), (F.col("user_id") == SEED_USER).alias("is_seed"))
+    return uc.join(mine, "user_id", "left").select("user_id", "cities", "is_seed", "seed_cities")
+
+
+@register("parquet_view", base_ctes() + f"""
+select s.shop_level, count(*) as pairs, cast(sum(n) as bigint) as events
+from (select user_id, shop_id, count(*) as n from pay_log where ts < timestamp '{SPLIT}' group by user_id, shop_id) p
+join shop_info s on p.shop_id = s.shop_id group by s.shop_level""")
+def q_parquet_view(spark, sf):
+    # Pair counts written as parquet by shop level, registered as a temp view and queried by name.
+    pay, _, shop = _logs(spark, sf)
+    counts = FE.pair_counts(FE.before(pay, SPLIT)).join(shop.select("shop_id", "shop_level"), "shop_id")
+    path = _folder(spark, "pairs")
+    IO.write_parquet(counts, path, ["shop_level"])
+    name = f"pair_counts_{uuid.uuid4().hex[:8]}"
+    IO.register_view(spark.read.schema(counts.schema).parquet(path), name)
+    return spark.sql(f"select shop_level, count(*) as pairs, sum(count) as events from {name} group by shop_level")
 
 
 # --------------------------------------------------------------------------

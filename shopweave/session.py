@@ -8,6 +8,7 @@ the driver's smoke run) may fall back to a fresh folder under /tmp.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,32 +60,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
 
 
-class LineageCutter:
-    """Cuts the lineage of a loop's state every ``every`` rounds.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again: for tables that are read many times."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    Between cuts the state is persisted (MEMORY_AND_DISK) so a round reads the
-    previous one once; every ``every`` rounds it is checkpointed to the shared
-    folder, which bounds both plan size and recomputation after executor loss.
-    Older persisted states are released as soon as a newer one is materialised.
+
+class RoundTables:
+    """The tables of a loop's rounds, written to the shared checkpoint folder.
+
+    A written table cuts lineage, so plans stay one round deep and a lost executor
+    costs at most one round. The table before the last is deleted with each round;
+    ``close`` deletes all but the last one, which the caller still reads.
     """
 
-    def __init__(self, spark: SparkSession, every: int = 5):
-        ensure_checkpoint_dir(spark)
-        self.every = max(1, int(every))
-        self._held: list[DataFrame] = []
-
-    def step(self, df: DataFrame, round_no: int) -> DataFrame:
-        if round_no % self.every == 0:
-            out = df.checkpoint(eager=True)
-        else:
-            out = df.persist()
-            out.count()
-        for old in self._held:
-            old.unpersist()
-        self._held = [out]
-        return out
-
-    def release(self) -> None:
-        for old in self._held:
-            old.unpersist()
-        self._held = []
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self._held: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/round-{len(self._held)}"
+        df.write.parquet(path)
+        self._held.append(path)
+        if len(self._held) > 2:
+            self._delete(self._held[-3])
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        for path in self._held[:-1][-2:]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -28,6 +28,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_log_text(log: DataFrame, path: str) -> None:
+    """A log in the layout that ``read_log`` reads."""
+    log.select("user_id", "shop_id", F.date_format("ts", TIME_FORMAT).alias("ts")).write.mode("overwrite").csv(path)
+
+
+def write_shop_text(shop: DataFrame, path: str) -> None:
+    """The shop table in the layout that ``read_shop`` reads; nulls and missing columns become blank fields."""
+    have = set(shop.columns)
+    cols = [F.col(f.name) if f.name in have else F.lit(None).cast("string").alias(f.name) for f in SHOP.fields]
+    shop.select(*cols).write.mode("overwrite").option("emptyValue", "").csv(path)
+
+
 def read_shop(spark: SparkSession, path: str) -> DataFrame:
     """Shop table: blank score / comment count fields read as null."""
     return spark.read.schema(SHOP).option("mode", "FAILFAST").csv(path)

@@ -2,8 +2,10 @@
 
 The event time is a wall-clock TIMESTAMP_NTZ in the data; watermarks need a
 TIMESTAMP, so it is turned into the instant with the same epoch seconds
-(time-zone independent). Output uses ``complete`` mode: ``append`` would hold
-back windows the watermark has not closed yet.
+(time-zone independent). Output uses ``update`` mode: a batch writes the keys whose
+count changed to a folder of its own, and the last row of a key is its count.
+``append`` would hold back windows the watermark has not closed yet, ``complete``
+would write every key in every batch.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopweave.functions.core import epoch_seconds
 from shopweave.session import ensure_checkpoint_dir
@@ -30,36 +33,46 @@ def windowed_pair_counts(events: DataFrame, window: str = "30 days", watermark:
 
 
 def stream_pay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchase events as a stream: line-item files stream in, orders are a static table."""
+    """Purchase events as a stream: line-item files stream in, orders are a static table.
+
+    The table may be one file or a folder of part files.
+    """
+    path = f"{sf_dir}/lineitem.parque[t]"  # a pattern: a stream takes a single file only by one
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").schema
-    items = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+    items = spark.readStream.schema(schema).parquet(path)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     return items.join(orders, items.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"), F.col("l_suppkey").alias("shop_id"), F.col("o_orderdate").alias("ts")
     )
 
 
-def run_to_table(result: DataFrame, out_dir: str | None = None, mode: str = "complete") -> DataFrame:
+def run_to_table(result: DataFrame, keys: list[str] | None = None, out_dir: str | None = None) -> DataFrame:
     """Run a streaming aggregate over all available input and return its final table.
 
-    Each micro-batch's complete result overwrites a parquet folder under the
-    session's shared checkpoint folder (with the stream's own checkpoint
-    beside it), so the result never passes through the driver and the query
-    can restart after a failure.
+    Each micro-batch writes its changed rows to ``epoch=<n>`` under the session's
+    shared checkpoint folder, with the stream's own checkpoint beside it. A batch
+    that fails and runs again replaces its own folder and nothing else, so no
+    earlier result is lost. The final row of each key (by default all columns but
+    ``count``) is the one of its last epoch. Without input the table is empty.
     """
     spark = result.sparkSession
     base = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     target = f"{base}/result"
+    schema = T.StructType([*result.schema.fields, T.StructField("epoch", T.LongType())])
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("epoch").parquet(target)
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     q = (
-        result.writeStream.outputMode(mode)
+        result.writeStream.outputMode("update")
         .foreachBatch(write_batch)
         .option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(target)
+    keys = keys or [c for c in result.columns if c != "count"]
+    rest = [c for c in result.columns if c not in keys]
+    last = F.max(F.struct("epoch", *rest)).alias("last")
+    return spark.read.schema(schema).parquet(target).groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{c}") for c in rest]).select(*result.columns)
