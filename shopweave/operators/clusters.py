@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopweave.functions.core import md5_fraction
 from shopweave.operators.messages import EdgeTable, message_rounds
-from shopweave.operators.skew import ROWS_PER_SALT, skew_join
+from shopweave.operators.skew import ROWS_PER_SALT, heavy_keys, skew_join
 
 
 def home_city_clusters(user_shop: DataFrame, shop: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -25,12 +25,13 @@ def home_city_clusters(user_shop: DataFrame, shop: DataFrame, rows_per_salt: int
 def label_edges(edges: DataFrame, assignments: DataFrame, default: int = 0, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Attach the cluster of both endpoints; vertices without a label get ``default``.
 
-    Edges of a hub are spread over salts on either side.
+    Edges of a hub are spread over salts on either side. Pass stored edges.
     """
+    heavy = heavy_keys(edges, "dst", rows_per_salt)
     a_src = assignments.select(F.col("id").alias("src"), F.col("cluster").alias("c_src"))
     a_dst = assignments.select(F.col("id").alias("dst"), F.col("cluster").alias("c_dst"))
     e = skew_join(edges.select("src", "dst", "weight"), a_src, "src", "left", rows_per_salt)
-    e = skew_join(e, a_dst, "dst", "left", rows_per_salt)
+    e = skew_join(e, a_dst, "dst", "left", heavy=heavy)
     return e.select(
         "src", "dst", "weight",
         F.coalesce("c_src", F.lit(default)).alias("c_src"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.functions.core import fold_shop, fold_user, shop_vertex, time_weight, user_vertex, vertex_kind
-from shopweave.operators.skew import ROWS_PER_SALT, skew_join
+from shopweave.operators.skew import ROWS_PER_SALT, heavy_keys, skew_join
 
 # Fixed event weights of the source job: a purchase counts 1, a view 0.5.
 PAY_WEIGHT = 1.0
@@ -95,11 +95,15 @@ def normalize_out_weights(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT)
 
 
 def normalized_pairs(pairs: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """(user_id, shop_id, by_user, by_shop): a pair's weight over its user's and over its shop's total."""
+    """(user_id, shop_id, by_user, by_shop): a pair's weight over its user's and over its shop's total.
+
+    Pass a stored table of pairs: it is read for both totals and both joins.
+    """
+    heavy = heavy_keys(pairs, "shop_id", rows_per_salt)
     users = pairs.groupBy("user_id").agg(F.sum("weight").alias("_user"))
     shops = pairs.groupBy("shop_id").agg(F.sum("weight").alias("_shop"))
     first = skew_join(pairs.select("user_id", "shop_id", "weight"), users, "user_id", rows_per_salt=rows_per_salt)
-    both = skew_join(first, shops, "shop_id", rows_per_salt=rows_per_salt)
+    both = skew_join(first, shops, "shop_id", heavy=heavy)
     return both.select("user_id", "shop_id", (F.col("weight") / F.col("_user")).alias("by_user"), (F.col("weight") / F.col("_shop")).alias("by_shop"))
 
 

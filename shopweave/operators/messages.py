@@ -18,17 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.operators.skew import ROWS_PER_SALT, fanned, heavy_keys, salted
-from shopweave.session import RoundTables
+from shopweave.session import RoundTables, stored
 
 
 class EdgeTable:
     """Edges (src, dst, w) spread by (src, salt) and kept for a loop's rounds."""
 
     def __init__(self, edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT):
-        spark = edges.sparkSession
-        self.heavy = heavy_keys(edges, "src", rows_per_salt).persist()
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.edges = salted(edges.select("src", "dst", "w"), self.heavy, "src", ["dst"]).repartition(n, "src", "_salt").persist()
+        base = stored(edges.select("src", "dst", "w"), "edges")
+        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        heavy = heavy_keys(base, "src", rows_per_salt)
+        self.heavy = edges.sparkSession.createDataFrame(heavy.collect(), heavy.schema)  # at most MAX_HEAVY_KEYS rows
+        self.edges = salted(base, self.heavy, "src", ["dst"]).repartition(n, "src", "_salt").persist()
 
     def send(self, active: DataFrame, keys: list[str], message: Column) -> DataFrame:
         """(*keys, id, value): the messages of the active vertices (*keys, id, value)."""
@@ -41,7 +42,6 @@ class EdgeTable:
 
     def close(self) -> None:
         self.edges.unpersist()
-        self.heavy.unpersist()
 
 
 def message_rounds(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shopweave.operators import graph as G
 from shopweave.operators.skew import ROWS_PER_SALT, skew_join
+from shopweave.session import stored
 
 
 def shop_hubs(user_shop: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -58,9 +59,13 @@ def similarity_graph(
         shops = G.city_shops(shop, city).select("shop_id")
         pay = pay.join(shops, "shop_id", "left_semi")
         view = view.join(shops, "shop_id", "left_semi") if view is not None else None
-    events = G.weighted_events(pay, view, start, as_of, mode)
-    user_shop = G.normalize_out_weights(G.user_shop_edges(events, both_directions=False, prefixed=False))
-    return hub_similarity(user_shop)
+    return hub_similarity(normalized_user_shop(pay, view, start, as_of, mode))
+
+
+def normalized_user_shop(pay: DataFrame, view: DataFrame | None, start: str, as_of: str, mode: str = "recent") -> DataFrame:
+    """User→shop edges on the bare ids, normalised per user; stored, as hubs, clusters and joins all read them."""
+    edges = stored(G.user_shop_edges(G.weighted_events(pay, view, start, as_of, mode), both_directions=False, prefixed=False), "pairs")
+    return stored(G.normalize_out_weights(edges), "user-shop")
 
 
 def symmetric_pairs(sim: DataFrame) -> DataFrame:

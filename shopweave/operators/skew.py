@@ -37,8 +37,15 @@ def fanned(small: DataFrame, heavy: DataFrame, on: str) -> DataFrame:
     return small.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), top))).drop("_salts")
 
 
-def skew_join(large: DataFrame, small: DataFrame, on: str, how: str = "inner", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Join of ``large`` to ``small`` (``how``: inner, left or left_semi) with heavy keys of ``large`` spread."""
-    heavy = heavy_keys(large, on, rows_per_salt)
+def skew_join(
+    large: DataFrame, small: DataFrame, on: str, how: str = "inner", rows_per_salt: int = ROWS_PER_SALT, heavy: DataFrame | None = None
+) -> DataFrame:
+    """Join of ``large`` to ``small`` (``how``: inner, left or left_semi) with heavy keys of ``large`` spread.
+
+    ``large`` is read several times, so pass a stored table, or ``heavy`` found from one
+    when ``large`` is itself derived by joins.
+    """
+    if heavy is None:
+        heavy = heavy_keys(large, on, rows_per_salt)
     by = [c for c in large.columns if c != on] or [on]
     return salted(large, heavy, on, by).join(fanned(small, heavy, on), [on, "_salt"], how).drop("_salt")

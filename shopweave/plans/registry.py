@@ -304,8 +304,7 @@ union all select dst as src, src as dst, round(weight, 9) as weight, 'reverse' a
 def q_edges_bidirectional(spark, sf):
     # User→shop edges normalised per user plus their reverse (numeric ids: the
     # bipartite clustering input).
-    pay, view, _ = _logs(spark, sf)
-    en = G.normalize_out_weights(G.user_shop_edges(G.weighted_events(pay, view, START, AS_OF), False, prefixed=False))
+    en = _user_shop_norm(spark, sf)
     fwd = en.select("src", "dst", round9("weight").alias("weight"), F.lit("forward").alias("direction"))
     rev = G.reverse_edges(en).select("src", "dst", round9("weight").alias("weight"), F.lit("reverse").alias("direction"))
     return fwd.unionByName(rev)
@@ -483,18 +482,20 @@ def _graph_and_clusters(spark, sf) -> tuple[DataFrame, DataFrame]:
     from shopweave.operators.clusters import home_city_clusters
     from shopweave.operators.similarity import hub_similarity
 
-    user_shop = stored(_user_shop_norm(spark, sf), "user-shop")
+    user_shop = _user_shop_norm(spark, sf)
     sim = stored(hub_similarity(user_shop).select("src", "dst", "weight"), "similarity")
     return stored(G.normalize_out_weights(sim), "similarity-norm"), stored(home_city_clusters(user_shop, shop_table(spark, sf)), "clusters")
 
 
 def _user_shop_norm(spark, sf) -> DataFrame:
+    from shopweave.operators.similarity import normalized_user_shop
+
     pay, view, _ = _logs(spark, sf)
-    return G.normalize_out_weights(G.user_shop_edges(G.weighted_events(pay, view, START, AS_OF), False, prefixed=False))
+    return normalized_user_shop(pay, view, START, AS_OF)
 
 
 def _sim_normalized(spark, sf) -> DataFrame:
-    return G.normalize_out_weights(_similarity(spark, sf).select("src", "dst", "weight"))
+    return G.normalize_out_weights(stored(_similarity(spark, sf).select("src", "dst", "weight"), "similarity"))
 
 
 def _home_clusters(spark, sf) -> DataFrame:

@@ -142,12 +142,51 @@ def test_text_layouts_round_trip(spark, scratch):
     assert back.first()["bought_after"] == 1 and back.first()["shop_id"] == 2
 
 
-def test_streaming_counts_equal_batch(spark):
+def test_events_before_start(spark):
+    pay = spark.createDataFrame([(1, 1, ts("1994-01-01 00:00:00")), (1, 2, ts("2000-01-01 00:00:00"))], LOG)
+    dropped = G.user_shop_edges(G.weighted_events(pay, None, "1995-01-01", "2001-08-02"), False)
+    assert [r["dst"] for r in dropped.collect()] == ["s2"]
+    with pytest.raises(Exception, match="before 1995-01-01"):
+        G.weighted_events(pay, None, "1995-01-01", "2001-08-02", before_start="error").collect()
+    with pytest.raises(ValueError):
+        time_weight("ts", "1995-01-01", "2001-08-02", before_start="keep")
+
+
+def test_shop_and_log_layouts_round_trip(spark, scratch):
+    shop = shop_df(spark)
+    IO.write_shop_text(shop, os.path.join(scratch, "shop"))
+    back = IO.read_shop(spark, os.path.join(scratch, "shop"))
+    assert sorted(map(tuple, back.select(*shop.columns).collect())) == sorted(map(tuple, shop.collect()))
+    log = spark.createDataFrame([(1, 2, ts("2016-06-30 12:24:00"))], LOG)
+    IO.write_log_text(log, os.path.join(scratch, "log"))
+    assert [tuple(r) for r in IO.read_log(spark, os.path.join(scratch, "log")).collect()] == [tuple(r) for r in log.collect()]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streaming_counts_equal_batch(spark, scratch, parts):
     from shopweave.sources.tables import pay_log
     from shopweave.streaming.counts import run_to_table, stream_pay_log, windowed_pair_counts
 
     sf = "/root/testdata/sf0.001"
+    if parts:  # the same table as a folder of part files
+        spark.read.parquet(f"{sf}/lineitem.parquet").repartition(parts).write.parquet(f"{scratch}/lineitem.parquet")
+        spark.read.parquet(f"{sf}/orders.parquet").write.parquet(f"{scratch}/orders.parquet")
+        sf = scratch
     streamed = run_to_table(windowed_pair_counts(stream_pay_log(spark, sf)))
     batch = windowed_pair_counts(pay_log(spark, sf))
     assert sorted(tuple(r) for r in streamed.collect()) == sorted(tuple(r) for r in batch.collect())
     assert streamed.agg(F.sum("count")).first()[0] == pay_log(spark, sf).count()
+
+
+def test_streaming_several_batches_and_no_input(spark, scratch):
+    from shopweave.streaming.counts import run_to_table, windowed_pair_counts
+
+    src = os.path.join(scratch, "in")
+    for k in range(3):  # one file per batch; the pair (1, 1) grows in each
+        spark.createDataFrame([(1, 1, ts("2000-01-01 00:00:00")), (k, 2, ts("2000-01-02 00:00:00"))], LOG).coalesce(1).write.mode("append").parquet(src)
+    log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {(r["user_id"], r["shop_id"]): r["count"] for r in run_to_table(windowed_pair_counts(log)).collect()}
+    assert got == {(1, 1): 3, (0, 2): 1, (1, 2): 1, (2, 2): 1}
+    spark.createDataFrame([], LOG).write.parquet(os.path.join(scratch, "none"))
+    empty = run_to_table(windowed_pair_counts(spark.readStream.schema(LOG).parquet(os.path.join(scratch, "none"))))
+    assert empty.count() == 0 and empty.columns == ["window_start", "user_id", "shop_id", "count"]

@@ -101,13 +101,14 @@ def test_shortest_paths_with_unreachable(spark):
     assert got == {1: 0.0, 2: 1.0, 3: 2.0}  # 4 is unreachable: absent (infinite)
 
 
-def test_shortest_paths_both_layouts_agree(spark):
-    e = edges(spark, TOY)
+@pytest.mark.parametrize("rows_per_salt", [1, 1_000_000])
+def test_shortest_paths_with_and_without_salts(spark, rows_per_salt):
+    e = edges(spark, TOY + [(1, k, 50.0) for k in range(5, 40)] + [(1, 2, 3.0)])
     src = spark.createDataFrame([(1,), (3,)], "source long")
-    a = as_map(C.shortest_paths(e, src), ("source", "id"), "dist")
-    b = as_map(C.shortest_paths(e, src, broadcast_edges=0), ("source", "id"), "dist")
-    assert a == b
-    assert a[(1, 3)] == pytest.approx(1.0)  # 1→4→3 = 0.2 + 0.8
+    got = as_map(C.shortest_paths(e, src, rows_per_salt=rows_per_salt), ("source", "id"), "dist")
+    assert got[(1, 3)] == pytest.approx(1.0)  # 1→4→3 = 0.2 + 0.8
+    assert got[(3, 39)] == pytest.approx(0.2 + 0.7 + 50)  # 3→2→1→39
+    assert len(got) == 2 * 39
 
 
 def test_cut_weight_toy(spark):
@@ -198,36 +199,149 @@ def test_power_iteration_two_cliques(spark):
     assert labels[0] != labels[10]
 
 
-def test_pregel_rank_equals_personal_rank(spark):
-    from shopweave.operators.pregel import pregel
+@pytest.mark.parametrize("weighted", [True, False])
+def test_rank_with_and_without_salts(spark, weighted):
+    e = edges(spark, [(2, k, 1.0 + k) for k in range(10, 60)] + [(k, 2, 1.0) for k in range(10, 60)])
+    plain = as_map(R.personal_rank(e, 2, 0.85, 6, weighted=weighted), ("id",), "rank")
+    salted = as_map(R.personal_rank(e, 2, 0.85, 6, weighted=weighted, rows_per_salt=3), ("id",), "rank")
+    assert plain.keys() == salted.keys()
+    for k, v in plain.items():
+        assert salted[k] == pytest.approx(v, rel=1e-12)
 
-    n = G.normalize_out_weights(edges(spark, TOY))
-    e = n.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
-    start = spark.createDataFrame([("1", 0.15)], "id string, value double")
-    restart = F.when(F.col("id") == "1", F.lit(0.15)).otherwise(F.lit(0.0))
-    got = pregel(e, start, message=F.lit(0.85) * F.col("value") * F.col("weight"), merge="sum",
-                 update=F.col("msg") + restart, max_iter=8)
-    want = {r["id"]: r["rank"] for r in R.personal_rank(e, "1", 0.85, 8).collect()}
-    assert {r["id"]: pytest.approx(r["value"], abs=1e-12) for r in got.collect()} == want
 
+def test_rank_of_folded_ids_has_kinds(spark):
+    e = edges(spark, [(14, 7, 1.0), (7, 14, 1.0)])  # user 7 and shop 3
+    ranks = R.personal_rank(e, 14, 0.85, 3)
+    assert {r["id"]: r["kind"] for r in ranks.collect()} == {14: "user", 7: "shop"}
+    assert [r["id"] for r in R.top_shops(ranks).collect()] == [7]
+    from shopweave.plans.recommend import named
 
-def test_pregel_shortest_paths(spark):
-    from shopweave.operators.pregel import pregel
+    assert {r["id"] for r in named(ranks).collect()} == {"u7", "s3"}
 
-    e = edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (4, 1, 1.0)])
-    start = spark.createDataFrame([(1, 0.0)], "id long, value double")
-    got = pregel(e, start, message=F.col("value") + F.col("weight"), merge="min",
-                 update=F.least(F.coalesce(F.col("old"), F.lit(float("inf"))), F.col("msg")),
-                 max_iter=20, active_only=True)
-    assert {r["id"]: r["value"] for r in got.collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
 
+def test_top_shops_orders_by_raw_rank(spark):
+    ranks = spark.createDataFrame([("s9", "shop", 4e-10), ("s1", "shop", 1e-12), ("s2", "shop", 1e-13)], "id string, kind string, rank double")
+    assert [r["id"] for r in R.top_shops(ranks, 2).collect()] == ["s9", "s1"]
+    many = ranks.withColumn("seed", F.lit("u1"))
+    assert [r["id"] for r in R.top_shops_many(many, 2).orderBy("pos").collect()] == ["s9", "s1"]
 
-def test_rank_salted_and_broadcast_paths_agree(spark, monkeypatch):
-    n = G.normalize_out_weights(edges(spark, TOY))
-    e = n.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
-    small = {r["id"]: r["rank"] for r in R.personal_rank(e, "2", 0.85, 6).collect()}
-    monkeypatch.setattr(R, "STATE_BROADCAST_ROWS", 0)
-    salted = {r["id"]: r["rank"] for r in R.personal_rank(e, "2", 0.85, 6).collect()}
-    assert small.keys() == salted.keys()
-    for k, v in small.items():
-        assert salted[k] == pytest.approx(v, abs=1e-15)
+
+def test_small_edges_are_kept(spark):
+    events = spark.createDataFrame([(1, 1, 3e-10), (1, 2, 0.0)], "user_id long, shop_id long, weight double")
+    assert [(r["dst"], r["weight"]) for r in G.user_shop_edges(events, False).collect()] == [("s1", 3e-10)]
+
+
+def test_rounding_passes_special_values(spark):
+    from shopweave.functions.core import round6, round9
+
+    inf = float("inf")
+    df = spark.createDataFrame([(inf,), (-inf,), (float("nan"),), (2e10,), (1.25,), (None,)], "x double")
+    got = [tuple(r) for r in df.select(round6("x"), round9("x")).collect()]
+    assert got[0] == (inf, inf) and got[1] == (-inf, -inf) and all(map(math.isnan, got[2]))
+    assert got[3] == (2e10, 2e10) and got[4] == (1.25, 1.25) and got[5] == (None, None)
+
+
+def skewed(spark, n=20_000):
+    return spark.range(n).select(F.when(F.col("id") < 0.8 * n, 7).otherwise(F.col("id")).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_heavy_keys_are_spread(spark):
+    from shopweave.operators.skew import heavy_keys, salted, skew_join
+
+    large = skewed(spark)
+    heavy = heavy_keys(large, "src", 1000)
+    assert [tuple(r) for r in heavy.collect()] == [(7, 16)]
+    sizes = salted(large, heavy, "src", ["dst"]).groupBy("src", "_salt").count().agg(F.max("count")).first()[0]
+    assert sizes < 1300
+    small = large.groupBy("src").agg(F.sum("weight").alias("total"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("false", "-1", "16")):
+            spark.conf.set(k, v)
+        plain = large.join(small, "src")
+        spread = skew_join(large, small, "src", rows_per_salt=1000)
+        assert spread.count() == plain.count() == 20_000
+        assert largest_task(plain) >= 16_000 and largest_task(spread) < 6_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_skewed_graph_operators_agree(spark):
+    e = skewed(spark, 2000)
+    want = as_map(G.normalize_out_weights(e))
+    assert as_map(G.normalize_out_weights(e, rows_per_salt=50)) == want and want[(7, 0)] == pytest.approx(1 / 1600)
+    us = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1.0 / (F.col("dst") + 1)).alias("weight"))
+    hubs = {r["shop_id"]: (r["hub"], r["hub_weight"]) for r in S.shop_hubs(us, rows_per_salt=50).collect()}
+    assert hubs[7] == (0, 1.0) and hubs[1999] == (1999, 1 / 2000)
+    assert sorted(map(tuple, S.hub_similarity(us, rows_per_salt=50).collect())) == sorted(map(tuple, S.hub_similarity(us).collect()))
+    labels = spark.range(2000).select("id", (F.col("id") % 3).cast("int").alias("cluster"))
+    assert sorted(map(tuple, C.label_edges(e, labels, rows_per_salt=50).collect())) == sorted(map(tuple, C.label_edges(e, labels).collect()))
+
+
+def test_one_scan_per_table(spark):
+    from shopweave.plans import registry
+
+    df = registry.queries()["edges_normalized"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 0  # the pairs were aggregated once, into a stored table
+
+
+def test_silhouette_counts_isolated_and_unlabelled(spark):
+    e = edges(spark, [(1, 2, 1.0), (2, 1, 1.0), (1, 9, 1.0), (9, 1, 1.0)])  # 9 has no label: cluster 0
+    a = spark.createDataFrame([(1, 0), (2, 1), (5, 0), (6, 1)], "id long, cluster int")  # 5 and 6 are isolated
+    got = {r["id"]: r for r in C.silhouette(e, a, spark.createDataFrame([(1,), (5,)], "id long")).collect()}
+    assert set(got) == {1, 5}
+    assert math.isinf(got[1]["a"]) and math.isinf(got[1]["b"]) and math.isnan(got[1]["coefficient"])
+    drop = {r["id"]: r for r in C.silhouette(e, a, spark.createDataFrame([(1,), (5,)], "id long"), "drop").collect()}
+    assert drop[1]["a"] == pytest.approx(0.5) and drop[1]["b"] == pytest.approx(1.0)  # 1 and 9 in cluster 0; 2 in 1
+    assert drop[5]["a"] == 0.0 and drop[5]["b"] is None
+    labels = {r["id"]: r["cluster"] for r in C.graph_labels(e, a).collect()}
+    assert labels == {1: 0, 2: 1, 5: 0, 6: 1, 9: 0}
+    per = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id long, coefficient double")
+    assert tuple(C.mean_silhouette(per).first()) == (0.375, 2)
+
+
+def test_member_sample_is_a_share(spark):
+    a = spark.range(4000).select("id", (F.col("id") % 3).cast("int").alias("cluster"))
+    s1 = sorted(r["id"] for r in C.sample_members(a, 0.05).collect())
+    assert s1 == sorted(r["id"] for r in C.sample_members(a.repartition(5), 0.05).collect())
+    assert 120 < len(s1) < 290
+    assert C.sample_members(a, 0.0).count() == 0 and C.sample_members(a, 1.0).count() == 4000
+
+
+def test_auc_over_many_scores(spark):
+    from shopweave.operators.models import auc, roc_auc_evaluator
+
+    df = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("s"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).cast("double").alias("y"))
+    df = df.withColumn("s", F.col("s") + 0.2 * F.col("y"))
+    r = auc(df, "s", "y").first()
+    assert r["auc"] == pytest.approx(roc_auc_evaluator(df, "s", "y"), abs=1e-12)
+    assert auc(df.filter("y = 1"), "s", "y").first()["auc"] is None
+
+
+def test_splits_depend_on_keys_alone(spark):
+    from shopweave.operators.models import KEYS, split_parts
+
+    df = spark.range(2000).select(F.col("id").alias("user_id"), (F.col("id") % 7).alias("shop_id"))
+    train, test = split_parts(df, KEYS)
+    again, _ = split_parts(df.repartition(7), KEYS)
+    key = lambda d: {tuple(r) for r in d.collect()}
+    assert key(train) == key(again) and not key(train) & key(test) and len(key(train)) + len(key(test)) == 2000
+
+
+def test_round_tables_are_deleted(spark, scratch):
+    import os
+    from shopweave.session import RoundTables
+
+    rounds = RoundTables(spark, "t")
+    for k in range(4):
+        last = rounds.write(spark.range(k + 1))
+    rounds.close()
+    assert last.count() == 4
+    path = rounds.base.removeprefix("file:")
+    assert sorted(d for d in os.listdir(path) if not d.startswith(".")) == ["round-3"]

@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from shopweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-SQL_CHECKED = sorted(E.oracle_sql())
-ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()))
+SQL_CHECKED = sorted(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -35,11 +35,8 @@ def _rows(records):
     return sorted((tuple(_norm(x) for x in r) for r in records), key=repr)
 
 
-def test_every_query_has_sql_or_is_model_or_clustering():
-    assert set(ROWS_ONLY) <= {
-        "sample_split", "rf_class_predictions", "rf_class_auc", "reg_predictions", "reg_rmse",
-        "stack_lr_rmse", "stack_gbt_rmse", "pic_clusters", "pic_cut_weight", "pic_bipartite",
-    }
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(SQL_CHECKED) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", SQL_CHECKED)
@@ -54,12 +51,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_queries_run(spark, name):
-    df = E.queries()[name](spark, SF)
-    assert len(df.collect()) > 0
-
-
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
