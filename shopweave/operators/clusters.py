@@ -115,7 +115,7 @@ def silhouette(
     members = graph_labels(edges, assignments, default)
     own = samples.select("id").distinct().join(members, "id").select(F.col("id").alias("source"), F.col("cluster").alias("own"))
     dist = shortest_paths(to_distances(edges), own.select("source"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cluster_sizes(members)
     per = distance_summary(dist, members).join(sizes, "cluster")
     if unreachable == "inf":
         mean = F.when(F.col("reached") < F.col("size"), F.lit(float("inf"))).otherwise(F.col("total") / F.col("size"))

@@ -27,14 +27,6 @@ SHOP = T.StructType(
     ]
 )
 
-PAIR_COUNT = T.StructType(
-    [
-        T.StructField("user_id", T.LongType(), False),
-        T.StructField("shop_id", T.LongType(), False),
-        T.StructField("count", T.LongType(), False),
-    ]
-)
-
 EDGE = T.StructType(
     [
         T.StructField("src", T.StringType(), False),
