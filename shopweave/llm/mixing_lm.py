@@ -19,7 +19,7 @@ counts first; tasks learn side by side, and their weights are averaged by how mu
 gate saw. Model and word counts are then fixed, so a text's score doesn't depend on
 the task that computes it. The model has a fixed size (``SLOTS`` per predictor).
 
-The base score needs each word's count. The ``HEAD`` most frequent words go to every
+The base score needs each word's count. The most frequent words, ``HEAD`` at most, go to every
 task; the rest of a text's words are joined to the counts by a shuffle.
 
 Null text is empty: just the end symbol. Rows with a null ``doc_id`` are scored but
@@ -51,10 +51,10 @@ LEVELS = np.array([1, 2, 4, 10, 40, 200])  # of how well a context is known
 GATES = (len(LEVELS) + 1) ** 2
 SHARES = np.array([0.0, 0.03, 0.15, 0.5])  # of a text's own earlier words, by expert
 HEAD = 200_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 COUNTED_WORDS = 300_000
 CELLS = (64, 33)  # last byte (low bits), log odds from -8 to 8 by halves
-BATCH = 512
+BATCH = 1024
 END = b"\n"
 LN10 = math.log(10)
 Z = np.uint64
@@ -91,18 +91,25 @@ class Bits:
     def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(8):
             node = (self.flat | Z(256)) >> Z(8 - k)
-            bit = (self.flat >> Z(7 - k) & Z(1)).astype(np.int64)
-            slots = np.stack([((c ^ node * SPREAD[8 + i]) * STEP >> Z(64 - SLOT_BITS)).astype(np.int64) + i * SLOTS for i, c in enumerate(self.contexts)])
-            yield slots, bit
+            bit = self.flat >> Z(7 - k) & Z(1)
+            slots = np.empty((CONTEXTS, len(node)), np.int32)
+            for i, c in enumerate(self.contexts):
+                slots[i] = (c ^ node * SPREAD[8 + i]) * STEP >> Z(64 - SLOT_BITS)
+                slots[i] += i * SLOTS
+            yield slots, bit.astype(np.float32)
 
 
 def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32)
+    n0, n1 = n0.astype(np.float32), n1.astype(np.float32)
+    return np.clip(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))), -8, 8)
 
 
 def known(n: np.ndarray) -> np.ndarray:
     """How well a context is known, from 0 on."""
-    return np.searchsorted(LEVELS, n, side="right").astype(np.int8)
+    out = np.zeros(n.shape, np.int8)
+    for level in LEVELS:
+        out += n >= level
+    return out
 
 
 def gate_of(longer: np.ndarray, longest: np.ndarray) -> np.ndarray:
@@ -113,8 +120,16 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def mix(st: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Log odds weighted by the gate's weights (a row per context)."""
+    out = st[0] * weights[0][gate]
+    for c in range(1, CONTEXTS):
+        out += st[c] * weights[c][gate]
+    return out
+
+
 def cell(last: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    return last * CELLS[1] + np.rint((np.clip(mixed, -8, 8) + 8) * 2).astype(np.int64)
+    return last * CELLS[1] + np.rint((np.clip(mixed, -8, 8) + 8) * 2).astype(np.int32)
 
 
 def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +147,7 @@ def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1:
                 a, b = n0[slots] - (1 - bit), n1[slots] - bit  # without this occurrence
                 gate = gate_of(known(a[2] + b[2]), known(a[3] + b[3]))
                 st = odds(np.maximum(a, 0), np.maximum(b, 0))
-                mixed = np.einsum("cn,nc->n", st, weights[gate])
+                mixed = mix(st, weights.T.astype(np.float32), gate)
                 err = (bit - squash(mixed)) * mass
                 for c in range(CONTEXTS):
                     pull[:, c] += np.bincount(gate, err * st[c], GATES)
@@ -151,10 +166,16 @@ class Model:
 
     def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, maps: np.ndarray):
         self.odds, self.known = odds(n0, n1), known(n0 + n1)
-        self.weights = weights.astype(np.float32)
+        self.weights = np.ascontiguousarray(weights.T.astype(np.float32))
         centre = squash((np.arange(CELLS[1]) / 2 - 8)[None].repeat(CELLS[0], 0).ravel())
         self.map = (maps[0] + 8 * centre) / (maps[1] + 8)
 
+    def bit_probability(self, bits: Bits, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The refined probability of each bit as it is."""
+        mixed = mix(self.odds[slots], self.weights, gate_of(self.known[slots[2]], self.known[slots[3]]))
+        q = np.clip((squash(mixed.astype(np.float64)) + self.map[cell(bits.last, mixed)]) / 2, 1e-7, 1 - 1e-7)
+        return np.where(bit == 1, q, 1 - q)
+
     def costs(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word."""
         if not words:
@@ -162,12 +183,7 @@ class Model:
         bits = Bits(words)
         total = np.zeros(len(bits.flat))
         for slots, bit in bits.levels():
-            gate = gate_of(self.known[slots[2]], self.known[slots[3]])
-            mixed = np.einsum("cn,nc->n", self.odds[slots], self.weights[gate])
-            p = squash(mixed.astype(np.float64))
-            refined = (p + self.map[cell(bits.last, mixed)]) / 2
-            q = np.clip(refined, 1e-7, 1 - 1e-7)
-            total += np.log(np.where(bit == 1, q, 1 - q))
+            total += np.log(self.bit_probability(bits, slots, bit))
         return np.add.reduceat(total, bits.start)
 
 
@@ -176,8 +192,10 @@ def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndar
     size = np.diff(np.append(start, len(word)))
     text = np.repeat(np.arange(len(start)), size)
     nth = np.arange(len(word)) - start[text]
-    order = np.lexsort((word, text))
-    same = np.append(False, (word[order][1:] == word[order][:-1]) & (text[order][1:] == text[order][:-1]))
+    key = text << 32 | word
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.append(False, key[1:] == key[:-1])
     run = np.arange(len(word)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(word))))
     before = np.empty(len(word))
     before[order] = run
@@ -185,8 +203,9 @@ def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndar
     static = np.exp(costs)
     logs = np.empty((len(SHARES), len(start)))
     for e, share in enumerate(SHARES):
-        s = np.where(nth > 0, share, 0.0)
-        logs[e] = np.add.reduceat(np.log(np.maximum((1 - s) * static + s * own, 1e-300)), start)
+        mixed = np.maximum((1 - share) * static + share * own, 1e-300)
+        mixed[start] = static[start]  # nothing comes before a text's first word
+        logs[e] = np.add.reduceat(np.log(mixed), start)
     return np.logaddexp.reduce(logs, 0) - math.log(len(SHARES))
 
 
@@ -229,15 +248,27 @@ def slot_counts(counts: DataFrame, ends: int) -> tuple[np.ndarray, np.ndarray]:
     return sums[0], sums[1]
 
 
+def least_head_count(counts: DataFrame, head: int) -> int:
+    """A count that at most ``head`` words reach, from a histogram by eighths of powers of two."""
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    room, least = head, 1 << 62
+    for r in counts.groupBy(step).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        if (room := room - r["words"]) < 0:
+            break
+        least = r["least"]
+    return least
+
+
 def add_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray) -> None:
+    """Adds the words' bits to ``sums`` (zeros in the first row, ones in the second)."""
+    flat = sums.reshape(-1)
     for k in range(0, len(words), 1 << 14):
         bits = Bits(words[k : k + (1 << 14)])
-        n = times[k : k + (1 << 14)][bits.word]
+        n = times[k : k + (1 << 14)][bits.word].astype(np.float64)
         for slots, bit in bits.levels():
+            ones = bit.astype(np.int64) * sums.shape[1]
             for row in slots:
-                for value in (0, 1):
-                    pick = bit == value
-                    np.add.at(sums[value], row[pick], n[pick])
+                np.add.at(flat, row + ones, n)
 
 
 def train(counts: DataFrame, ends: int) -> Model:
@@ -308,7 +339,7 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, vocabulary = n_words + ends, distinct + (ends > 0)
     model = train(counts, ends)
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    top = counts.filter(F.col("n") >= least_head_count(counts, head)).toArrow()
     frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
     if ends:
         frequent[END] = ends

@@ -203,10 +203,7 @@ def test_lm_is_a_probability():
         bits = mixing_lm.Bits([s])
         total = 0.0
         for slots, bit in bits.levels():
-            gate = mixing_lm.gate_of(model.known[slots[2]], model.known[slots[3]])
-            mixed = np.einsum("cn,nc->n", model.odds[slots], model.weights[gate])
-            q = (mixing_lm.squash(mixed) + model.map[mixing_lm.cell(bits.last, mixed)]) / 2
-            total += np.log(np.where(bit == 1, q, 1 - q))[0]
+            total += np.log(model.bit_probability(bits, slots, bit))[0]
         first.append(math.exp(total))
     assert abs(sum(first) - 1) < 1e-6
     assert model.costs(words).min() > model.costs([b"zq"])[0]
