@@ -14,8 +14,8 @@ text takes over as it goes on.
 Nothing is sampled. Word counts of all training texts are summed by one shuffle;
 contexts don't reach over a space, so the slot counts of all training bytes follow
 exactly from the distinct words and their counts. Weights and maps are learned online
-in one pass over the distinct words, with each word's own occurrence taken out of the
-counts first; tasks learn side by side, and their weights are averaged by how much each
+in one pass over the distinct words, each weighted by its full count, with its own occurrence
+taken out of the counts first; tasks learn side by side, and their weights are averaged by how much each
 gate saw. Model and word counts are then fixed, so a text's score doesn't depend on
 the task that computes it. The model has a fixed size (``SLOTS`` per predictor).
 
@@ -133,31 +133,38 @@ def cell(last: np.ndarray, mixed: np.ndarray) -> np.ndarray:
 
 
 def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One online pass: (weights by gate, what each gate saw, map sums of bits and of all)."""
+    """One online pass: (weights by gate, what each gate saw, map sums of bits and of all).
+
+    Every occurrence counts alike: a batch moves a gate's weights by its pull over the curvature of
+    all that the gate has seen so far, so a word of any mass makes a bounded step.
+    """
     weights = np.full((GATES, CONTEXTS), 0.3)
     seen = np.zeros(GATES)
+    curve = np.zeros((GATES, CONTEXTS, CONTEXTS))
     maps = np.zeros((2, CELLS[0] * CELLS[1]))
-    step = 0
     for words, times in batches:
         for k in range(0, len(words), BATCH):
             bits = Bits(words[k : k + BATCH])
-            mass = np.minimum(times[k : k + BATCH], 1000.0)[bits.word]
+            mass = times[k : k + BATCH][bits.word]
             pull, held = np.zeros((GATES, CONTEXTS)), np.zeros(GATES)
             for slots, bit in bits.levels():
                 a, b = n0[slots] - (1 - bit), n1[slots] - bit  # without this occurrence
                 gate = gate_of(known(a[2] + b[2]), known(a[3] + b[3]))
                 st = odds(np.maximum(a, 0), np.maximum(b, 0))
                 mixed = mix(st, weights.T.astype(np.float32), gate)
-                err = (bit - squash(mixed)) * mass
+                p = squash(mixed.astype(np.float64))
+                err, bend = (bit - p) * mass, np.maximum(p * (1 - p), 0.01) * mass
                 for c in range(CONTEXTS):
                     pull[:, c] += np.bincount(gate, err * st[c], GATES)
+                    for d in range(c + 1):
+                        curve[:, c, d] += np.bincount(gate, bend * st[c] * st[d], GATES)
                 held += np.bincount(gate, mass, GATES)
                 where = cell(bits.last, mixed)
                 maps[0] += np.bincount(where, bit * mass, maps.shape[1])
                 maps[1] += np.bincount(where, mass, maps.shape[1])
-            step += 1
-            weights += (0.02 + 0.3 / (1 + step / 50)) * pull / np.maximum(held, 1)[:, None]
             seen += held
+            both = curve + np.tril(curve, -1).transpose(0, 2, 1) + (1 + 0.02 * seen)[:, None, None] * np.eye(CONTEXTS)
+            weights += np.linalg.solve(both, pull[..., None])[..., 0]
     return weights, seen, maps
 
 

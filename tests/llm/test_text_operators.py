@@ -209,6 +209,16 @@ def test_lm_is_a_probability():
     assert model.costs(words).min() > model.costs([b"zq"])[0]
 
 
+def test_lm_learns_from_every_occurrence():
+    words, times = [b"the", b"of", b"rare"], np.array([5e8, 2e5, 3.0])
+    sums = np.zeros((2, mixing_lm.CONTEXTS * mixing_lm.SLOTS))
+    mixing_lm.add_bits(sums, words, times)
+    weights, seen, maps = mixing_lm.learn(iter([(words, times)]), *sums)
+    want = sum(8 * (len(w) + 1) * n for w, n in zip(words, times))
+    assert abs(seen.sum() / want - 1) < 1e-9 and abs(maps[1].sum() / want - 1) < 1e-9
+    assert np.isfinite(weights).all() and np.abs(weights).max() < 10
+
+
 def test_lm_own_words_count():
     costs, word, start = np.log(np.array([0.1, 0.2, 0.1, 0.1])), np.array([0, 1, 0, 0]), np.array([0])
     want = 0.0
