@@ -17,10 +17,16 @@ exactly from the distinct words and their counts. Weights and maps are learned o
 in one pass over the distinct words, each weighted by its full count, with its own occurrence
 taken out of the counts first; tasks learn side by side, and their weights are averaged by how much each
 gate saw. Model and word counts are then fixed, so a text's score doesn't depend on
-the task that computes it. The model has a fixed size (``SLOTS`` per predictor).
+the task that computes it.
 
-The base score needs each word's count. The most frequent words, ``HEAD`` at most, go to every
-task; the rest of a text's words are joined to the counts by a shuffle.
+The tables grow with the input. Contexts of up to three bytes are bounded by the alphabet: they are counted
+exactly, and their table has two slots or more for each. What the whole-word predictor sees after three bytes
+is shared only by words that begin alike, so distinct words are dealt by their first three bytes to shards,
+more of them the more words there are, and each shard counts its own words into a table with a slot for each of
+their bits. A word's cost is worked out once, in its shard.
+
+The most frequent words, ``HEAD`` at most, go to every task with their counts and costs; the rest of a text's
+words are joined to them by a shuffle on a 64-bit hash.
 
 Null text is empty: just the end symbol. Rows with a null ``doc_id`` are scored but
 neither held out nor learned from. Texts of any length are scored whole. Without
@@ -33,29 +39,33 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.llm.common import Shared, pieces, to_bytes
 from shopweave.llm.langid import held_out
-from shopweave.llm.words import SPREAD, STEP
+from shopweave.llm.words import SPREAD, STEP, flat_words
 
 HELD_OUT_MOD = 10
-SLOT_BITS = 20
+SLOT_BITS = 20  # where no other size is given
 SLOTS = 1 << SLOT_BITS
 CONTEXTS = 4
+SHORT = 3  # contexts of so many bytes at most are in the table of all words; longer ones in a shard's
+SHARD_BITS = 1 << 22  # bits of the distinct words in a shard
 LEVELS = np.array([1, 2, 4, 10, 40, 200])  # of how well a context is known
 GATES = (len(LEVELS) + 1) ** 2
 SHARES = np.array([0.0, 0.03, 0.15, 0.5])  # of a text's own earlier words, by expert
 HEAD = 200_000
-CACHED_WORDS = 600_000
 COUNTED_WORDS = 300_000
 CELLS = (64, 33)  # last byte (low bits), log odds from -8 to 8 by halves
 BATCH = 1024
 END = b"\n"
+END_HASH = 2
 LN10 = math.log(10)
 Z = np.uint64
 
@@ -65,16 +75,32 @@ def units(words: list[bytes]) -> list[bytes]:
     return [w if w == END else w + b" " for w in words]
 
 
+class Sizes(NamedTuple):
+    """Slots by predictor, as powers of two: each of the short contexts, and the whole word."""
+
+    short: int = SLOT_BITS
+    long: int = SLOT_BITS
+
+    def slots(self) -> int:
+        return (SHORT << self.short) + (1 << self.long)
+
+
+def slot_of(context: np.ndarray, node: np.ndarray, row: int, sizes: Sizes) -> np.ndarray:
+    size = sizes.short if row < SHORT else sizes.long
+    return ((context ^ node * SPREAD[8 + row]) * STEP >> Z(64 - size)).astype(np.int64) + (row << sizes.short)
+
+
 class Bits:
     """The bits of many words: for each of eight levels, slots by context (rows) and the bit."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], sizes: Sizes = Sizes()):
+        self.sizes = sizes
         coded = units(words)
         flat = np.frombuffer(b"".join(coded), np.uint8).astype(Z)
         sizes = np.array([len(u) for u in coded], np.int64)
         self.start = np.cumsum(sizes) - sizes
         self.word = np.repeat(np.arange(len(words)), sizes)
-        nth = np.arange(len(flat)) - self.start[self.word]
+        self.nth = nth = np.arange(len(flat)) - self.start[self.word]
         back = [np.append(np.full(k, 32, Z), flat[:-k]) if len(flat) > k else np.full(len(flat), 32, Z) for k in (1, 2, 3)]
         for k, b in enumerate(back, 1):
             b[nth < k] = 32
@@ -84,6 +110,7 @@ class Bits:
         prefix[1:] = total[:-1]
         prefix -= np.repeat(np.append(Z(0), total)[self.start], sizes)
         orders = [back[0], back[0] | back[1] << Z(8), back[0] | back[1] << Z(8) | back[2] << Z(16), prefix * Z(2) + nth.astype(Z)]
+        self.orders = orders[:SHORT]
         self.contexts = [(c + Z(1)) * SPREAD[k] for k, c in enumerate(orders)]
         self.last = back[0].astype(np.int64) & (CELLS[0] - 1)
         self.flat = flat
@@ -92,10 +119,8 @@ class Bits:
         for k in range(8):
             node = (self.flat | Z(256)) >> Z(8 - k)
             bit = self.flat >> Z(7 - k) & Z(1)
-            slots = np.empty((CONTEXTS, len(node)), np.int32)
-            for i, c in enumerate(self.contexts):
-                slots[i] = (c ^ node * SPREAD[8 + i]) * STEP >> Z(64 - SLOT_BITS)
-                slots[i] += i * SLOTS
+            slots = np.stack([slot_of(c, node, i, self.sizes) for i, c in enumerate(self.contexts)])
+            slots[SHORT] = np.where(self.nth < SHORT, slots[SHORT - 1], slots[SHORT])  # the word so far is short
             yield slots, bit.astype(np.float32)
 
 
@@ -132,7 +157,7 @@ def cell(last: np.ndarray, mixed: np.ndarray) -> np.ndarray:
     return last * CELLS[1] + np.rint((np.clip(mixed, -8, 8) + 8) * 2).astype(np.int32)
 
 
-def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1: np.ndarray, sizes: Sizes = Sizes()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One online pass: (weights by gate, what each gate saw, map sums of bits and of all).
 
     Every occurrence counts alike: a batch moves a gate's weights by its pull over the curvature of
@@ -144,7 +169,7 @@ def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1:
     maps = np.zeros((2, CELLS[0] * CELLS[1]))
     for words, times in batches:
         for k in range(0, len(words), BATCH):
-            bits = Bits(words[k : k + BATCH])
+            bits = Bits(words[k : k + BATCH], sizes)
             mass = times[k : k + BATCH][bits.word]
             pull, held = np.zeros((GATES, CONTEXTS)), np.zeros(GATES)
             for slots, bit in bits.levels():
@@ -169,17 +194,18 @@ def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1:
 
 
 class Model:
-    """Fixed tables: the predictors' log odds and familiarity, the weights, the maps."""
+    """Fixed tables: the predictors' counts, the weights, the maps."""
 
-    def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, maps: np.ndarray):
-        self.odds, self.known = odds(n0, n1), known(n0 + n1)
+    def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, maps: np.ndarray, sizes: Sizes = Sizes()):
+        self.n0, self.n1, self.sizes = n0, n1, sizes
         self.weights = np.ascontiguousarray(weights.T.astype(np.float32))
         centre = squash((np.arange(CELLS[1]) / 2 - 8)[None].repeat(CELLS[0], 0).ravel())
         self.map = (maps[0] + 8 * centre) / (maps[1] + 8)
 
     def bit_probability(self, bits: Bits, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """The refined probability of each bit as it is."""
-        mixed = mix(self.odds[slots], self.weights, gate_of(self.known[slots[2]], self.known[slots[3]]))
+        a, b = self.n0[slots], self.n1[slots]
+        mixed = mix(odds(a, b), self.weights, gate_of(known(a[2] + b[2]), known(a[3] + b[3])))
         q = np.clip((squash(mixed.astype(np.float64)) + self.map[cell(bits.last, mixed)]) / 2, 1e-7, 1 - 1e-7)
         return np.where(bit == 1, q, 1 - q)
 
@@ -187,15 +213,15 @@ class Model:
         """Natural log probability of each word."""
         if not words:
             return np.zeros(0)
-        bits = Bits(words)
+        bits = Bits(words, self.sizes)
         total = np.zeros(len(bits.flat))
         for slots, bit in bits.levels():
             total += np.log(self.bit_probability(bits, slots, bit))
         return np.add.reduceat(total, bits.start)
 
 
-def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Natural log probability of each text from its words' costs; ``word`` numbers equal words alike."""
+def own_share(word: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How often each word stands earlier in its text, as a share of the words there; -1 for a text's first word. ``word`` numbers equal words alike."""
     size = np.diff(np.append(start, len(word)))
     text = np.repeat(np.arange(len(start)), size)
     nth = np.arange(len(word)) - start[text]
@@ -206,18 +232,36 @@ def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndar
     run = np.arange(len(word)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(word))))
     before = np.empty(len(word))
     before[order] = run
-    own = before / np.maximum(nth, 1)
-    static = np.exp(costs)
-    logs = np.empty((len(SHARES), len(start)))
+    return np.where(nth == 0, -1, before / np.maximum(nth, 1))
+
+
+def expert_logs(logs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By expert: natural log of each word's probability with the text's own words mixed in."""
+    out = np.empty((len(SHARES), len(logs)))
+    static = np.exp(logs)
     for e, share in enumerate(SHARES):
-        mixed = np.maximum((1 - share) * static + share * own, 1e-300)
-        mixed[start] = static[start]  # nothing comes before a text's first word
-        logs[e] = np.add.reduceat(np.log(mixed), start)
-    return np.logaddexp.reduce(logs, 0) - math.log(len(SHARES))
+        with np.errstate(divide="ignore"):
+            mixed = np.log((1 - share) * static + share * np.maximum(own, 0))
+        out[e] = np.where(own < 0, logs, np.where(own == 0, logs + math.log(1 - share), mixed)) if share else logs
+    return out
+
+
+def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text from its words' costs; ``word`` numbers equal words alike."""
+    return np.logaddexp.reduce(np.add.reduceat(expert_logs(costs, own_share(word, start)), start, axis=1), 0) - math.log(len(SHARES))
+
+
+def expert_columns(logs: Column, own: Column) -> list[Column]:
+    """The same as ``expert_logs``, in SQL."""
+    out = []
+    for share in SHARES.tolist():
+        mixed = F.log((1 - share) * F.exp(logs) + share * own)
+        out.append(F.when(own < 0, logs).when(own == 0, logs + math.log(1 - share)).otherwise(mixed) if share else logs)
+    return out
 
 
 def word_counts(texts: DataFrame, shared: Shared) -> DataFrame:
-    """(word, n): all words of the training texts; tasks add up before the shuffle."""
+    """(word, n): all words and how often the training texts have them; tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -226,33 +270,81 @@ def word_counts(texts: DataFrame, shared: Shared) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         for batch in pieces(batches, "text", 4 << 20):
-            for t in to_bytes(batch.column("text")):
-                held.update(t.lower().split())
+            for learned, t in zip(batch.column("learned").to_pylist(), to_bytes(batch.column("text"))):
+                if learned:
+                    held.update(t.lower().split())
+                else:
+                    held.update(dict.fromkeys(t.lower().split(), 0))
             if len(held) > COUNTED_WORDS:
                 yield out()
                 held = Counter()
         yield out()
 
-    counts = texts.filter("learned").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return shared.table(counts.sortWithinPartitions(F.xxhash64("word"), "word"), "counts")  # a mixed order to learn in, alike on every run
+    counts = texts.select("learned", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return shared.table(counts, "counts")
 
 
-def slot_counts(counts: DataFrame, ends: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of zeros and ones by slot, over all training words; at most CONTEXTS * SLOTS rows come to the driver."""
+def short_table(counts: DataFrame, ends: int) -> tuple[np.ndarray, int]:
+    """Counts of zeros and ones (rows) by slot of the short contexts, and its size as a power of two.
+
+    (context, byte) pairs are counted exactly; the alphabet bounds how many come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, CONTEXTS * SLOTS))
         for batch in batches:
-            add_bits(sums, batch.column(0).to_pylist(), batch.column(1).to_numpy())
-        at = np.flatnonzero(sums.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at].astype(np.int64)), pa.array(sums[1, at].astype(np.int64))], ["slot", "n0", "n1"])
-
-    table = counts.mapInArrow(run, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    sums = np.zeros((2, CONTEXTS * SLOTS))
-    sums[:, table.column("slot").to_numpy()] = [table.column("n0").to_numpy(), table.column("n1").to_numpy()]
+            bits = Bits(batch.column(0).to_pylist())
+            keys = np.concatenate([Z(k << 32) | c << Z(8) | bits.flat for k, c in enumerate(bits.orders)])
+            keys, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, np.tile(batch.column(1).to_numpy()[bits.word], SHORT), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    table = counts.filter("n > 0").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = table.column("key").to_numpy().astype(Z), table.column("n").to_numpy().astype(float)
     if ends:
-        add_bits(sums, [END], np.array([ends]))
-    return sums[0], sums[1]
+        first = Bits([END])
+        keys = np.append(keys, [Z(k << 32) | c[0] << Z(8) | first.flat[0] for k, c in enumerate(first.orders)])
+        n = np.append(n, [float(ends)] * SHORT)
+    order, context, byte = keys >> Z(32), keys >> Z(8) & Z(0xFFFFFF), keys & Z(255)
+    nodes = [(byte | Z(256)) >> Z(8 - k) for k in range(8)]
+    distinct = np.zeros(SHORT, np.int64)
+    for node in nodes:
+        distinct += np.bincount((np.unique(order << Z(32) | context << Z(8) | node) >> Z(32)).astype(np.int64), minlength=SHORT)
+    sizes = Sizes(int(2 * distinct.max() + 1).bit_length())
+    sums = np.zeros((2, SHORT << sizes.short))
+    for row in range(SHORT):
+        at = np.flatnonzero(order == row)
+        for k, node in enumerate(nodes):
+            slots = slot_of((context[at] + Z(1)) * SPREAD[row], node[at], row, sizes)
+            np.add.at(sums, ((byte[at] >> Z(7 - k) & Z(1)).astype(np.int64), slots), n[at])
+    return sums.astype(np.float32), sizes.short
+
+
+class Shard:
+    """Words that begin alike, in a mixed order, with the tables of all their contexts."""
+
+    def __init__(self, words: list[bytes], times: np.ndarray, short: np.ndarray, short_size: int):
+        learned = times > 0
+        self.words, self.times = words, times
+        self.learned = [w for w, yes in zip(words, learned.tolist()) if yes], times[learned].astype(float)
+        n_bits = 8 * sum(len(w) + 1 for w in self.learned[0])
+        self.sizes = Sizes(short_size, max(1, n_bits.bit_length()))
+        sums = np.zeros((2, self.sizes.slots()))
+        add_bits(sums, *self.learned, self.sizes, short=False)
+        self.n0, self.n1 = (np.concatenate([a, b[len(a) :].astype(np.float32)]) for a, b in zip(short, sums))
+
+
+def in_shards(counts: DataFrame) -> DataFrame:
+    """The words, a partition for each shard, in a mixed order that is alike on every run."""
+    n_bits = 8 * (counts.agg(F.sum(F.length("word") + 1)).first()[0] or 0)
+    return counts.repartition(1 + n_bits // SHARD_BITS, F.substring("word", 1, SHORT)).sortWithinPartitions(F.xxhash64("word"), "word")
+
+
+def read_shard(batches: Iterator[pa.RecordBatch], short: tuple[np.ndarray, int]) -> Shard:
+    words, times = [], [np.zeros(0, np.int64)]
+    for b in batches:
+        words += b.column(0).to_pylist()
+        times.append(b.column(1).to_numpy())
+    return Shard(words, np.concatenate(times), *short)
 
 
 def least_head_count(counts: DataFrame, head: int) -> int:
@@ -266,73 +358,96 @@ def least_head_count(counts: DataFrame, head: int) -> int:
     return least
 
 
-def add_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray) -> None:
-    """Adds the words' bits to ``sums`` (zeros in the first row, ones in the second)."""
+def add_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray, sizes: Sizes = Sizes(), short: bool = True) -> None:
+    """Adds the words' bits to ``sums`` (zeros in the first row, ones in the second), those of short contexts too if ``short``."""
     flat = sums.reshape(-1)
     for k in range(0, len(words), 1 << 14):
-        bits = Bits(words[k : k + (1 << 14)])
+        bits = Bits(words[k : k + (1 << 14)], sizes)
         n = times[k : k + (1 << 14)][bits.word].astype(np.float64)
+        deep = np.flatnonzero(bits.nth >= SHORT)
         for slots, bit in bits.levels():
             ones = bit.astype(np.int64) * sums.shape[1]
-            for row in slots:
+            for row in slots[:SHORT] if short else ():
                 np.add.at(flat, row + ones, n)
+            np.add.at(flat, (slots[SHORT] + ones)[deep], n[deep])
 
 
-def train(counts: DataFrame, ends: int) -> Model:
-    n0, n1 = slot_counts(counts, ends)
-    shipped = counts.sparkSession.sparkContext.broadcast((n0.astype(np.float32), n1.astype(np.float32)))
+def train(shards: DataFrame, short: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by gate, map sums): the shards learn side by side."""
+    shipped = shards.sparkSession.sparkContext.broadcast(short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = ((b.column(0).to_pylist(), b.column(1).to_numpy().astype(float)) for b in batches)
-        learned = np.concatenate([x.ravel() for x in learn(words, *shipped.value)])
-        yield pa.RecordBatch.from_arrays([pa.array([learned.tobytes()], pa.binary())], ["learned"])
+        shard = read_shard(batches, shipped.value)
+        if shard.learned[0]:
+            learned = np.concatenate([x.ravel() for x in learn(iter([shard.learned]), shard.n0, shard.n1, shard.sizes)])
+            yield pa.RecordBatch.from_arrays([pa.array([learned.tobytes()], pa.binary())], ["learned"])
 
     cells = CELLS[0] * CELLS[1]
     weights, seen, maps = np.zeros((GATES, CONTEXTS)), np.zeros(GATES), np.zeros((2, cells))
-    for r in counts.mapInArrow(run, "learned binary").toLocalIterator():  # a fixed size per task
+    for r in shards.mapInArrow(run, "learned binary").collect():  # a fixed size per shard
         x = np.frombuffer(bytes(r["learned"]))
         w, s, m = np.split(x, [GATES * CONTEXTS, GATES * CONTEXTS + GATES])
         weights += w.reshape(GATES, CONTEXTS) * s[:, None]
         seen += s
         maps += m.reshape(2, cells)
-    weights = np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], 0.3)
-    return Model(n0, n1, weights, maps)
-
-
-class Scorer:
-    """Scores texts with a bounded cache of words."""
-
-    def __init__(self, model: Model, head: dict[bytes, int]):
-        self.model, self.head = model, head
-        self.at: dict[bytes, int] = {}
-        self.cost = np.zeros(0)
-        self.log = np.zeros(0)  # log10 of the count of a head word and a tenth, else nan
-
-    def look_up(self, tokens: list[bytes]) -> np.ndarray:
-        new = list(set(tokens) - self.at.keys())
-        if len(self.at) + len(new) > CACHED_WORDS:
-            self.at, self.cost, self.log, new = {}, np.zeros(0), np.zeros(0), list(set(tokens))
-        for k in range(0, len(new), 1 << 14):
-            part = new[k : k + (1 << 14)]
-            self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
-            self.cost = np.concatenate([self.cost, self.model.costs(part)])
-            self.log = np.concatenate([self.log, np.log10(np.array([self.head.get(w, np.nan) for w in part]) + 0.1)])
-        return np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
-
-    def score(self, texts: list[bytes]) -> tuple[list, list, list, list, list, list]:
-        """(tokens, bytes, head words, sum of their logs, words not in the head, log10 probability) by text."""
-        split = [[*t.lower().split(), END] for t in texts]
-        flat = [w for words in split for w in words]
-        at = self.look_up(flat)
-        ends = np.cumsum([len(words) for words in split])
-        starts = np.append(0, ends[:-1])
-        score = text_logs(self.cost[at], at, starts) / LN10
-        logs = self.log[at]
-        common = ~np.isnan(logs)
-        tails = [[flat[i] for i in (np.flatnonzero(~common[a:b]) + a).tolist()] for a, b in zip(starts.tolist(), ends.tolist())]
-        n_head, sums = np.add.reduceat(common.astype(np.int64), starts), np.add.reduceat(np.where(common, logs, 0), starts)
-        sizes = [sum(map(len, words)) + len(words) - 1 for words in split]
-        return [len(words) for words in split], sizes, n_head.tolist(), sums.tolist(), tails, score.tolist()
+    return np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], 0.3), maps
+
+
+def word_costs(shards: DataFrame, short: tuple[np.ndarray, int], learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(word, n, cost): the words with their hash, training count and natural log probability."""
+    shipped = shards.sparkSession.sparkContext.broadcast((short, learned))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, learned = shipped.value
+        shard = read_shard(batches, short)
+        model = Model(shard.n0, shard.n1, *learned, shard.sizes)
+        for k in range(0, len(shard.words), 1 << 14):
+            part = shard.words[k : k + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat_words(part).hash.view(np.int64)), pa.array(shard.times[k : k + len(part)]), pa.array(model.costs(part))], ["word", "n", "cost"])
+
+    return shards.mapInArrow(run, "word long, n long, cost double")
+
+
+class Head:
+    """The most frequent words by hash."""
+
+    def __init__(self, table: pa.Table, ends: int, end_cost: float):
+        words = np.append(table.column("word").to_numpy().view(Z), Z(END_HASH))
+        order = np.argsort(words)
+        self.words = words[order]
+        self.n = np.append(table.column("n").to_numpy(), ends)[order]
+        self.cost = np.append(table.column("cost").to_numpy(), end_cost)[order]
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word and end symbol, first of each text, bytes of each text)."""
+    w = flat_words(texts, lower=True)
+    nth = np.arange(len(texts))
+    words = np.full(len(w.hash) + len(texts), Z(END_HASH))
+    words[np.arange(len(w.hash)) + np.repeat(nth, np.diff(w.first))] = w.hash
+    size = np.append(0, np.cumsum(w.end - w.start))
+    return words, w.first[:-1] + nth, size[w.first[1:]] - size[w.first[:-1]] + np.diff(w.first) + 1
+
+
+def score_texts(texts: list[bytes], head: Head) -> tuple[dict, dict]:
+    """Of each text: sums over its words in the head. Of each other word: its text, its hash and its share in the text so far."""
+    words, start, n_bytes = tokens(texts)
+    distinct, number = np.unique(words, return_inverse=True)
+    at = head.find(distinct)[number]
+    own = own_share(number, start)
+    common = at >= 0
+    n = head.n[at]
+    add = lambda x: np.add.reduceat(np.where(common, x, 0), start, axis=-1)
+    size = np.diff(np.append(start, len(words)))
+    sums = {"n_tokens": size, "n_bytes": n_bytes, "n_head": add((n > 0).astype(np.int64)), "head_sum": add(np.log10(n + 0.1))}
+    sums |= {f"log{e}": x for e, x in enumerate(add(expert_logs(head.cost[at], own)))}
+    rest = np.flatnonzero(~common)
+    return sums, {"text": np.repeat(np.arange(len(texts)), size)[rest], "word": words[rest].view(np.int64), "own": own[rest]}
 
 
 def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
@@ -343,33 +458,51 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), (~held & F.col("doc_id").isNotNull()).alias("learned"), F.col("text").cast("string").alias("text"))
     counts = word_counts(texts, shared)
     ends = texts.filter("learned").count()
-    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n_words, distinct = counts.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, vocabulary = n_words + ends, distinct + (ends > 0)
-    model = train(counts, ends)
-    top = counts.filter(F.col("n") >= least_head_count(counts, head)).toArrow()
-    frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
-    if ends:
-        frequent[END] = ends
-    shipped = spark.sparkContext.broadcast((vars(model), frequent))
-    fields = {"n_tokens": pa.int64(), "n_bytes": pa.int64(), "n_head": pa.int64(), "head_sum": pa.float64(), "tail": pa.list_(pa.binary()), "score": pa.float64()}
+    short = short_table(counts, ends)
+    shards = in_shards(counts)
+    learned = train(shards, short)
+    words = shared.table(word_costs(shards, short, learned), "words")
+    nothing = Shard([], np.zeros(0, np.int64), *short)
+    end_cost = Model(nothing.n0, nothing.n1, *learned, nothing.sizes).costs([END])[0]
+    known_words = words.filter("n > 0")
+    frequent = Head(known_words.filter(F.col("n") >= least_head_count(known_words, head)).toArrow(), ends, end_cost)
+    shipped = spark.sparkContext.broadcast(vars(frequent))
+    logs = [f"log{e}" for e in range(len(SHARES))]
+    kinds = {"place": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_bytes": pa.int64(), "n_head": pa.int64(), "head_sum": pa.float64()}
+    kinds |= {c: pa.float64() for c in logs} | {"word": pa.int64(), "own": pa.float64()}
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, frequent = shipped.value
-        model = Model.__new__(Model)
-        vars(model).update(state)
-        scorer = Scorer(model, frequent)
+        frequent = Head.__new__(Head)
+        vars(frequent).update(shipped.value)
+        place = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, "text", 2 << 20):
-            columns = scorer.score(to_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, fields.values()))], ["doc_id", "held_out", *fields])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_head long, head_sum double, tail array<binary>, score double"
-    rows = shared.table(texts.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("place", F.monotonically_increasing_id()), "rows")
-    tail = rows.select("place", F.explode("tail").alias("word")).join(counts, "word", "left")
-    tail = tail.groupBy("place").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_sum"), F.count("n").alias("n_tail"))
+            of_text, of_word = score_texts(to_bytes(batch.column("text")), frequent)
+            of_text |= {"place": place + np.arange(batch.num_rows), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
+            of_word["place"] = place + of_word.pop("text")
+            place += batch.num_rows
+            for columns in (of_text, of_word):
+                n = len(columns["place"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], schema=schema)
+
+    named = "place long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_head long, head_sum double, " + ", ".join(f"{c} double" for c in logs) + ", word long, own double"
+    both = shared.table(texts.select("doc_id", "held_out", "text").mapInArrow(run, named), "rows")  # texts, and their words that aren't in the head
+    rows = both.filter("n_tokens is not null").drop("word", "own")
+    tail = both.filter("word is not null").select("place", "word", "own").join(words, "word")
+    tail = tail.groupBy("place").agg(
+        F.sum(F.log10(F.col("n") + 0.1)).alias("tail_sum"),
+        F.count(F.when(F.col("n") > 0, 1)).alias("n_tail"),
+        *[F.sum(x).alias(f"tail_{c}") for c, x in zip(logs, expert_columns(F.col("cost"), F.col("own")))],
+    )
     per_token = math.log10(total + 0.1 * (vocabulary + 1))
     if not ends:  # (0 + 0.1) / (0 + 0.1 * 1)
         per_token = -1.0
-    return rows.drop("tail").join(tail, "place", "left").select(
+    each = [F.col(c) + F.coalesce(f"tail_{c}", F.lit(0.0)) for c in logs]
+    best = F.greatest(*each)
+    whole = (best + F.log(sum((F.exp(x - best) for x in each), F.lit(0.0)) / len(logs))) / LN10
+    return rows.join(tail, "place", "left").withColumn("score", whole).select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -219,6 +219,20 @@ def test_lm_learns_from_every_occurrence():
     assert np.isfinite(weights).all() and np.abs(weights).max() < 10
 
 
+def test_lm_tables_grow(spark):
+    rng = np.random.default_rng(3)
+    words = sorted({bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(6, 14, 60_000)})
+    few, many = (spark.createDataFrame([(w, 1) for w in part], "word binary, n long") for part in (words[::60], words))
+    assert mixing_lm.in_shards(few).rdd.getNumPartitions() == 1 < mixing_lm.in_shards(many).rdd.getNumPartitions()
+    loads = []
+    for part, counts in ((words[::60], few), (words, many)):
+        short = mixing_lm.short_table(counts, 0)
+        shard = mixing_lm.Shard(part, np.ones(len(part), np.int64), *short)
+        used = shard.n0 + shard.n1 > 0
+        loads += [used[: mixing_lm.SHORT << shard.sizes.short].mean(), used[mixing_lm.SHORT << shard.sizes.short :].mean()]
+    assert max(loads) <= 0.6
+
+
 def test_lm_own_words_count():
     costs, word, start = np.log(np.array([0.1, 0.2, 0.1, 0.1])), np.array([0, 1, 0, 0]), np.array([0])
     want = 0.0
