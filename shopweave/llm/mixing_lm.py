@@ -6,10 +6,12 @@ predictors see the last byte, two, three, or the whole word so far; each hashes
 context and the bits so far to a slot of a table of counts. Their log odds are
 combined by weights that a gate picks (how well the two longest contexts are known),
 and the result is refined by an adaptive map from odds and last byte to a learned
-probability. While a text is scored, its earlier words count too: with a share given by
+probability. That spells a word; a second predictor sees the word before (or that the text begins):
+the counts of what followed it in training, less a discount each, and the mass taken off goes to
+the words as spelled. While a text is scored, its earlier words count too: with a share given by
 their frequency so far, they are mixed into the next word's probability. A text's
-probability is the equal mixture over several such shares, so the share that suits the
-text takes over as it goes on.
+probability is the equal mixture over several such shares, each with and without the word before, so
+what suits the text takes over as it goes on.
 
 Nothing is sampled. Word counts of all training texts are summed by one shuffle;
 contexts don't reach over a space, so the slot counts of all training bytes follow
@@ -25,8 +27,9 @@ is shared only by words that begin alike, so distinct words are dealt by their f
 more of them the more words there are, and each shard counts its own words into a table with a slot for each of
 their bits. A word's cost is worked out once, in its shard.
 
-The most frequent words, ``HEAD`` at most, go to every task with their counts and costs; the rest of a text's
-words are joined to them by a shuffle on a 64-bit hash.
+Pairs of a word and the next are counted over all training texts by a shuffle. The most frequent words, ``HEAD``
+at most, go to every task with their counts and costs, and so do the most frequent pairs; the rest of a text's
+words and pairs are joined to them by shuffles on 64-bit hashes.
 
 Null text is empty: just the end symbol. Rows with a null ``doc_id`` are scored but
 neither held out nor learned from. Texts of any length are scored whole. Without
@@ -49,7 +52,7 @@ from pyspark.sql import functions as F
 
 from shopweave.llm.common import Shared, pieces, to_bytes
 from shopweave.llm.langid import held_out
-from shopweave.llm.words import SPREAD, STEP, flat_words
+from shopweave.llm.words import SPREAD, STEP, flat_words, mix64
 
 HELD_OUT_MOD = 10
 SLOT_BITS = 20  # where no other size is given
@@ -60,12 +63,14 @@ SHARD_BITS = 1 << 22  # bits of the distinct words in a shard
 LEVELS = np.array([1, 2, 4, 10, 40, 200])  # of how well a context is known
 GATES = (len(LEVELS) + 1) ** 2
 SHARES = np.array([0.0, 0.03, 0.15, 0.5])  # of a text's own earlier words, by expert
+EXPERTS = 2 * len(SHARES)  # each share without and with the word before
 HEAD = 200_000
+HEAD_PAIRS = 1_000_000
 COUNTED_WORDS = 300_000
 CELLS = (64, 33)  # last byte (low bits), log odds from -8 to 8 by halves
 BATCH = 1024
 END = b"\n"
-END_HASH = 2
+BEGIN_HASH, END_HASH = 1, 2
 LN10 = math.log(10)
 Z = np.uint64
 
@@ -408,20 +413,74 @@ def word_costs(shards: DataFrame, short: tuple[np.ndarray, int], learned: tuple[
     return shards.mapInArrow(run, "word long, n long, cost double")
 
 
+def pair_counts(texts: DataFrame, shared: Shared) -> DataFrame:
+    """(pair, before, n): how often the training texts have each pair of a word (or their begin) and the next (or their end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 16 << 20):
+            words, start, _ = tokens(to_bytes(batch.column("text")))
+            before = befores(words, start)
+            pairs, at, n = np.unique(pair_hash(before, words), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(n)], ["pair", "before", "n"])
+
+    found = texts.filter("learned").select("text").mapInArrow(run, "pair long, before long, n long")
+    return shared.table(found.groupBy("pair", "before").agg(F.sum("n").alias("n")), "pairs")
+
+
+def discount(pairs: DataFrame) -> float:
+    """What is taken off each pair's count, between 0 and 1, from how many pairs stand once and twice."""
+    once, twice = pairs.agg(F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
+    return (once + 0.5) / (once + 2 * twice + 1)
+
+
 class Head:
-    """The most frequent words by hash."""
+    """The most frequent words and pairs by hash."""
 
-    def __init__(self, table: pa.Table, ends: int, end_cost: float):
-        words = np.append(table.column("word").to_numpy().view(Z), Z(END_HASH))
+    def __init__(self, table: pa.Table, pairs: pa.Table, begin: tuple[int, int], end: tuple[int, float], off: float):
+        words = np.append(table.column("word").to_numpy().view(Z), [Z(BEGIN_HASH), Z(END_HASH)])
         order = np.argsort(words)
         self.words = words[order]
-        self.n = np.append(table.column("n").to_numpy(), ends)[order]
-        self.cost = np.append(table.column("cost").to_numpy(), end_cost)[order]
+        self.n = np.append(table.column("n").to_numpy(), [begin[0], end[0]])[order]
+        self.cost = np.append(table.column("cost").to_numpy(), [0.0, end[1]])[order]
+        self.followers = np.append(table.column("followers").to_numpy(), [begin[1], 0])[order]
+        order = np.argsort(pairs.column("pair").to_numpy().view(Z))
+        self.pairs, self.met = pairs.column("pair").to_numpy().view(Z)[order], pairs.column("n").to_numpy()[order]
+        self.off = off
+
+
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+def befores(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The word before each; the begin before a text's first."""
+    out = np.empty_like(words)
+    out[1:] = words[:-1]
+    out[start] = BEGIN_HASH
+    return out
 
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """The place of each word, or -1."""
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
+
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(before * SPREAD[0] + word * SPREAD[1])
+
+
+def paired_logs(logs: np.ndarray, n: np.ndarray, followers: np.ndarray, met: np.ndarray, off: float) -> np.ndarray:
+    """Natural log of each word's probability after the word before, which stands ``n`` times with ``followers`` different words and ``met`` times with this one."""
+    left = np.where(n > 0, off * followers / np.maximum(n, 1), 1)
+    share = np.maximum(met - off, 0) / np.maximum(n, 1)
+    with np.errstate(divide="ignore"):
+        both = np.log(left * np.exp(logs) + share)
+        return np.where(share > 0, both, logs + np.log(left))
+
+
+def paired_column(logs: Column, n: Column, followers: Column, met: Column, off: float) -> Column:
+    """The same as ``paired_logs``, in SQL."""
+    left = F.when(n > 0, off * followers / n).otherwise(1.0)
+    return F.when(met > 0, F.log(left * F.exp(logs) + (met - off) / n)).otherwise(logs + F.log(left))
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -435,22 +494,46 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def score_texts(texts: list[bytes], head: Head) -> tuple[dict, dict]:
-    """Of each text: sums over its words in the head. Of each other word: its text, its hash and its share in the text so far."""
+    """Of each text: sums over the words that the head tells all about. Of each other word: its text, its share in the text so far, what is known and the hashes of the rest."""
     words, start, n_bytes = tokens(texts)
+    before = befores(words, start)
+    pair = pair_hash(before, words)
     distinct, number = np.unique(words, return_inverse=True)
-    at = head.find(distinct)[number]
+    at = find(head.words, distinct)[number]
+    at_before = np.append(0, at[:-1])
+    at_before[start] = find(head.words, np.array([BEGIN_HASH], Z))[0]
+    at_pair = find(head.pairs, pair)
     own = own_share(number, start)
-    common = at >= 0
-    n = head.n[at]
-    add = lambda x: np.add.reduceat(np.where(common, x, 0), start, axis=-1)
+    n, cost, n_before, followers = head.n[at], head.cost[at], head.n[at_before], head.followers[at_before]
+    met = head.met[at_pair] if len(head.met) else np.zeros(len(words), np.int64)
+    common, plain = at >= 0, (at >= 0) & (at_before >= 0)
+    whole = plain & (at_pair >= 0)
+    add = lambda x, where: np.add.reduceat(np.where(where, x, 0), start, axis=-1)
     size = np.diff(np.append(start, len(words)))
-    sums = {"n_tokens": size, "n_bytes": n_bytes, "n_head": add((n > 0).astype(np.int64)), "head_sum": add(np.log10(n + 0.1))}
-    sums |= {f"log{e}": x for e, x in enumerate(add(expert_logs(head.cost[at], own)))}
-    rest = np.flatnonzero(~common)
-    return sums, {"text": np.repeat(np.arange(len(texts)), size)[rest], "word": words[rest].view(np.int64), "own": own[rest]}
-
-
-def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
+    sums = {"n_tokens": size, "n_bytes": n_bytes, "n_head": add((n > 0).astype(np.int64), common), "head_sum": add(np.log10(n + 0.1), common)}
+    logs = np.concatenate([expert_logs(cost, own), expert_logs(paired_logs(cost, n_before, followers, met, head.off), own)])
+    sums |= {f"log{e}": x for e, x in enumerate(add(logs, whole))}
+    rest = np.flatnonzero(~whole)
+    known = lambda x, where: pa.array(x[rest], mask=~where[rest])
+    # a key that needn't be looked up is null, or where it meets others in a join a hash that no table has
+    words_of = {"word": known(np.where(common, pair, words).view(np.int64), ~plain), "before": known(np.where(at_before >= 0, pair, before).view(np.int64), ~plain)}
+    words_of |= {"pair": np.where(at_pair >= 0, ~pair, pair).view(np.int64)[rest], "met": known(met, at_pair >= 0), "own": own[rest]}
+    words_of |= {"cost": known(cost, common), "n_before": known(n_before, at_before >= 0), "followers": known(followers, at_before >= 0)}
+    return sums, {"text": np.repeat(np.arange(len(texts)), size)[rest], **words_of}
+
+
+def looked_up(rest: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The words that the head doesn't tell all about, with what the tables say; ``n`` is null for a word of the head."""
+    columns = ["place", "own", "pair", "met", "cost", "n_before", "followers"]
+    w = words.select("word", "n", F.col("cost").alias("w_cost"))
+    b = words.select(F.col("word").alias("before"), F.col("n").alias("b_n"), F.col("followers").alias("b_followers"))
+    rare = rest.filter("word is not null").join(w, "word", "left").join(b, "before", "left")
+    rare = rare.select("place", "own", "pair", "met", F.coalesce("cost", "w_cost").alias("cost"), F.coalesce("n_before", "b_n").alias("n_before"), F.coalesce("followers", "b_followers").alias("followers"), "n")
+    both = rest.filter("word is null").select(*columns, F.lit(None).cast("long").alias("n")).unionByName(rare)
+    return both.join(pairs.select("pair", F.col("n").alias("p_n")), "pair", "left").withColumn("met", F.coalesce("met", "p_n", F.lit(0)))
+
+
+def score(docs: DataFrame, head: int = HEAD, head_pairs: int = HEAD_PAIRS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): a row per row of ``docs``."""
     spark = docs.sparkSession
     shared = Shared(spark, "lm")
@@ -463,15 +546,21 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     short = short_table(counts, ends)
     shards = in_shards(counts)
     learned = train(shards, short)
-    words = shared.table(word_costs(shards, short, learned), "words")
+    pairs = pair_counts(texts, shared)
+    off = discount(pairs)
+    followers = shared.table(pairs.groupBy(F.col("before").alias("word")).agg(F.count(F.lit(1)).alias("followers")), "followers")
+    begin = followers.filter(F.col("word") == BEGIN_HASH).agg(F.coalesce(F.sum("followers"), F.lit(0))).first()[0]
+    words = shared.table(word_costs(shards, short, learned).join(followers, "word", "left").fillna(0, ["followers"]), "words")
     nothing = Shard([], np.zeros(0, np.int64), *short)
     end_cost = Model(nothing.n0, nothing.n1, *learned, nothing.sizes).costs([END])[0]
     known_words = words.filter("n > 0")
-    frequent = Head(known_words.filter(F.col("n") >= least_head_count(known_words, head)).toArrow(), ends, end_cost)
+    frequent_pairs = pairs.filter(F.col("n") >= least_head_count(pairs, head_pairs)).select("pair", "n")
+    frequent = Head(known_words.filter(F.col("n") >= least_head_count(known_words, head)).toArrow(), frequent_pairs.toArrow(), (ends, begin), (ends, end_cost), off)
     shipped = spark.sparkContext.broadcast(vars(frequent))
-    logs = [f"log{e}" for e in range(len(SHARES))]
+    logs = [f"log{e}" for e in range(EXPERTS)]
     kinds = {"place": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_bytes": pa.int64(), "n_head": pa.int64(), "head_sum": pa.float64()}
-    kinds |= {c: pa.float64() for c in logs} | {"word": pa.int64(), "own": pa.float64()}
+    kinds |= {c: pa.float64() for c in logs} 
+    kinds |= {c: pa.int64() for c in ("word", "before", "pair", "met", "n_before", "followers")} | {"own": pa.float64(), "cost": pa.float64()}
     schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,16 +574,18 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
             place += batch.num_rows
             for columns in (of_text, of_word):
                 n = len(columns["place"])
-                yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], schema=schema)
-
-    named = "place long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_head long, head_sum double, " + ", ".join(f"{c} double" for c in logs) + ", word long, own double"
-    both = shared.table(texts.select("doc_id", "held_out", "text").mapInArrow(run, named), "rows")  # texts, and their words that aren't in the head
-    rows = both.filter("n_tokens is not null").drop("word", "own")
-    tail = both.filter("word is not null").select("place", "word", "own").join(words, "word")
+                yield pa.RecordBatch.from_arrays([(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t)) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], schema=schema)
+
+    named = "place long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_head long, head_sum double, " + ", ".join(f"{c} double" for c in logs) + ", word long, before long, pair long, met long, n_before long, followers long, own double, cost double"
+    both = shared.table(texts.select("doc_id", "held_out", "text").mapInArrow(run, named), "rows")  # texts, and their words that the head doesn't tell all about
+    rows = both.filter("n_tokens is not null").select("place", "doc_id", "held_out", "n_tokens", "n_bytes", "n_head", "head_sum", *logs)
+    rest = both.filter("own is not null").select("place", "word", "before", "pair", "met", "n_before", "followers", "own", "cost")
+    tail = looked_up(rest, words, pairs).withColumn("paired", paired_column(F.col("cost"), F.col("n_before"), F.col("followers"), F.col("met"), off))
+    tail_logs = [*expert_columns(F.col("cost"), F.col("own")), *expert_columns(F.col("paired"), F.col("own"))]
     tail = tail.groupBy("place").agg(
         F.sum(F.log10(F.col("n") + 0.1)).alias("tail_sum"),
         F.count(F.when(F.col("n") > 0, 1)).alias("n_tail"),
-        *[F.sum(x).alias(f"tail_{c}") for c, x in zip(logs, expert_columns(F.col("cost"), F.col("own")))],
+        *[F.sum(x).alias(f"tail_{c}") for c, x in zip(logs, tail_logs)],
     )
     per_token = math.log10(total + 0.1 * (vocabulary + 1))
     if not ends:  # (0 + 0.1) / (0 + 0.1 * 1)

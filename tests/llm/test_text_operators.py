@@ -233,6 +233,28 @@ def test_lm_tables_grow(spark):
     assert max(loads) <= 0.6
 
 
+def test_lm_prefers_fluent_order(spark, docs):
+    rng = np.random.default_rng(4)
+    phrases = ["a cold wind blew from the far north", "we sold nine old boats at the lake", "her dog likes to sleep near our door"]
+    fluent = lambda: " ".join(phrases[k] for k in rng.integers(0, 3, 6))
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    learned = [i for i in range(400) if i not in held]
+    text = fluent()
+    shuffled = " ".join(rng.permutation(text.split()))
+    table = spark.createDataFrame([(i, fluent()) for i in learned] + [(held[0], text), (held[1], shuffled)], "doc_id long, text string")
+    got = {r.doc_id: r for r in mixing_lm.score(table).filter("held_out").collect()}
+    assert got[held[0]].score > 0.5 * got[held[1]].score
+    few = {r.doc_id: r for r in mixing_lm.score(table, head=3, head_pairs=2).filter("held_out").collect()}  # most words and pairs go through the joins
+    assert all(abs(few[i].score - got[i].score) < 1e-6 for i in held[:2])
+
+
+def test_lm_pairs_are_a_probability():
+    spelled, met = np.log(np.array([0.5, 0.3, 0.15, 0.05])), np.array([3, 0, 1, 0])
+    for n, followers in ((4, 2), (0, 0)):
+        logs = mixing_lm.paired_logs(spelled, np.full(4, n), np.full(4, followers), met if n else met * 0, 0.7)
+        assert abs(np.exp(logs).sum() - 1) < 1e-12
+
+
 def test_lm_own_words_count():
     costs, word, start = np.log(np.array([0.1, 0.2, 0.1, 0.1])), np.array([0, 1, 0, 0]), np.array([0])
     want = 0.0
