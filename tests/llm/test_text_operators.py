@@ -88,6 +88,26 @@ def test_license_spans(spark, docs):
     assert licenses.scan(docs).count() == 0
 
 
+def test_licenses_are_told_apart(spark):
+    cases = {
+        "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-NC 3.0.": "CC-BY-NC-3.0",
+        "Released under the BSD License": "BSD", "Released under the Frog License": None, "Licensed under the MIT License": "MIT", "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 1.1.": "Apache-1.1", "Licensed under the Apache License, Version 7.0.": None,
+        licenses.TEMPLATES["BSD-2-Clause"]: "BSD-2-Clause", licenses.TEMPLATES["BSD-3-Clause"]: "BSD-3-Clause", licenses.TEMPLATES["0BSD"]: "0BSD", licenses.TEMPLATES["ISC"]: "ISC",
+        licenses.TEMPLATES["LGPL-2.1"]: "LGPL-2.1", licenses.TEMPLATES["GPL-3.0"]: "GPL-3.0", licenses.TEMPLATES["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL"): "other",
+    }
+    table = spark.createDataFrame([(i, f"some words {t} more words") for i, t in enumerate(cases)], "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(table).collect():
+        found.setdefault(r.doc_id, set()).add(licenses.FORM.sub("", r.license))
+    for i, (text, want) in enumerate(cases.items()):
+        if want == "other":
+            assert "GPL-3.0" not in {r.license for r in licenses.scan(table.filter(f"doc_id = {i}")).collect()}
+        else:
+            assert found.get(i, set()) == ({want} if want else set()), text[:80]
+
+
 @settings(max_examples=150, deadline=None)
 @given(a=st.lists(st.sampled_from([b"a", b"b", b"c", b"d", b"e"]), max_size=12), b=st.lists(st.sampled_from([b"a", b"b", b"c", b"d", b"f"]), max_size=12))
 def test_alignment_is_a_common_subsequence(a, b):
