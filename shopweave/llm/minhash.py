@@ -191,7 +191,10 @@ def candidate_groups(rows: DataFrame, shared: Shared) -> DataFrame:
 
 
 def components_of(docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id, kept): a row per row of ``docs``."""
+    """(doc_id, mark, n_shingles, component_id, kept): a row per row of ``docs``.
+
+    One row of a component is kept: the first by doc_id, nulls last, then by the text's hash. Rows alike in both stay or go together.
+    """
     shared = Shared(docs.sparkSession, "near")
     rows = shared.table(signed(docs, width, percent), "rows")
     groups = candidate_groups(rows, shared)
@@ -219,9 +222,12 @@ def components_of(docs: DataFrame, width: int, percent: int, block: int = BLOCK)
 
     joined = rows.join(final, "node", "left").select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("part"))
     joined = shared.table(joined, "parted")
-    names = shared.table(joined.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("named")), "names")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))  # null ids last
+    names = joined.filter("part is not null").groupBy("part").agg(first.alias("first"))
+    names = shared.table(names.select("part", F.col("first.doc_id").alias("named"), F.col("first.mark").alias("named_mark")), "names")
     out = joined.join(names, "part", "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("named")))
-    return out.select("doc_id", "mark", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("part").isNull() | (F.col("doc_id").eqNullSafe(F.col("named")) & (F.col("mark") == F.col("named_mark")))
+    return out.select("doc_id", "mark", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def node_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:

@@ -72,6 +72,18 @@ def test_near_duplicates_with_null_and_repeated_ids(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(None, None, None), (5, 5, 8), (5, 5, None)])
+def test_one_row_of_a_near_group_is_kept(spark, ids):
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join([*base, *f"end number {k}".split()]) for k in range(3)]
+    docs = frame(spark, [(i, t, "en", "src1") for i, t in zip(ids, texts)] + [(None, "quite another text that stands alone", "en", "src1"), (None, None, None, None)])
+    got = minhash.near_duplicates(docs, 3, 80).collect()
+    group = [r for r in got if r.n_shingles > 50]
+    assert {r.component_id for r in group} == {ids[0]} and [r.doc_id for r in group if r.kept] == [ids[0]]
+    kept = [r.text for r in minhash.drop_near_copies(docs, 3, 80).collect()]
+    assert len(kept) == 3 and sum(t in texts for t in kept) == 1
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 900, np.uint64))
