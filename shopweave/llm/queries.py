@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopweave.llm import bpe, budget, exact_dedup, langid, licenses, minhash, mixing_lm, quality, repeats, sharding
+from shopweave.llm import bag_search, bpe, budget, decontaminate, exact_dedup, langid, licenses, minhash, mixing_lm, prefix_trie, quality, repeats, sharding
 from shopweave.llm.common import documents
 
 
@@ -54,6 +54,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(decontaminate.removal_spans(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node_key")
+
+
 OP7_SQL = r"""
 with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
 select doc_id, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id) as keep_id,
@@ -78,8 +90,9 @@ from documents d left join n using (doc_id) left join c on c.a = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_mixing_lm, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid, op10_repeats)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_mixing_lm, op5_sharding, op6_licenses, op7_exact_dedup, op8_mixing, op9_langid, op10_repeats, op11_search, op12_decontaminate, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": OP3_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": budget.ORACLE_SQL, "op10_repeats": repeats.ORACLE_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": budget.ORACLE_SQL, "op10_repeats": repeats.ORACLE_SQL,
+            "op11_search": bag_search.ORACLE_SQL, "op12_decontaminate": decontaminate.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
