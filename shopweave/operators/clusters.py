@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shopweave.functions.core import md5_fraction
-from shopweave.operators.messages import EdgeTable, message_rounds
+from shopweave.operators.messages import EdgeTable
 from shopweave.operators.skew import ROWS_PER_SALT, heavy_keys, skew_join
+from shopweave.session import BucketedTable, ensure_checkpoint_dir, stored
+
+#: Width of a bucket of path rounds, in mean edges.
+DELTA_EDGES = 4.0
+#: Distances that the batches of ``path_summary`` hold at a time.
+STATE_ROWS = 200_000_000
 
 
 def home_city_clusters(user_shop: DataFrame, shop: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -55,24 +64,107 @@ def cut_weight(edges: DataFrame, assignments: DataFrame, default: int = 0) -> Da
     )
 
 
+def write_labelled_edges(edges: DataFrame, assignments: DataFrame, path: str, default: int = 0) -> DataFrame:
+    """``label_edges`` written to ``path``; returns ``cut_weight``'s row, gathered while the edges are written.
+
+    The sums are metrics of the write itself, so the edges are gone through once. They
+    come from each task's last successful run, also if executors are lost.
+    """
+    cut = F.col("c_src") != F.col("c_dst")
+    got = Observation()
+    labelled = label_edges(edges, assignments, default).observe(
+        got, F.sum(F.when(cut, F.col("weight")).otherwise(F.lit(0.0))).alias("cut_weight"), F.sum("weight").alias("total_weight"),
+        F.count_if(cut).alias("cut_edges"), F.count(F.lit(1)).alias("edges"),
+    )
+    labelled.write.mode("overwrite").parquet(path)
+    names = ["cut_weight", "total_weight", "cut_edges", "edges"]
+    return edges.sparkSession.createDataFrame([tuple(got.get[c] for c in names)], "cut_weight double, total_weight double, cut_edges long, edges long")
+
+
 def to_distances(edges: DataFrame) -> DataFrame:
     """Edge length = 1 / weight."""
     return edges.select("src", "dst", (F.lit(1.0) / F.col("weight")).alias("weight"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def shortest_edges(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> EdgeTable:
+    """The edges for path rounds: of parallel edges only the shortest is kept."""
+    return EdgeTable(edges.groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("w")), rows_per_salt)
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, delta: float | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Directed shortest distances from every ``sources(source)`` vertex: (source, id, dist).
 
-    Bellman-Ford over a frontier, as message rounds: a round sends only from the
-    (source, vertex) pairs that improved in the round before; the loop ends when
-    nothing improves. Unreachable vertices are absent (distance +inf). All sources
-    share one state keyed by (source, id); of parallel edges only the shortest is kept.
+    Unreachable vertices are absent (distance +inf). Weights must be positive. See ``bucketed_paths``.
     """
-    table = EdgeTable(edges.groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("w")), rows_per_salt)
-    start = sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("value"))
-    out = message_rounds(table, start, F.col("value") + F.col("w"), F.min, True, max_rounds=max_rounds)
-    table.close()
-    return out.withColumnRenamed("value", "dist")
+    table = shortest_edges(edges, rows_per_salt)
+    try:
+        return bucketed_paths(table, sources, delta)
+    finally:
+        table.close()
+
+
+def vertex_count(table: EdgeTable) -> int:
+    return table.base.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count()
+
+
+def bucketed_paths(table: EdgeTable, sources: DataFrame, delta: float | None = None) -> DataFrame:
+    """Shortest paths over a frontier, by buckets of distance ``delta`` wide (None: DELTA_EDGES mean edges).
+
+    All sources share one log of (source, id, dist), bucketed by (source, id). A round sends from the pairs that
+    the round before bettered below the bucket's limit, and appends the pairs that its messages better; pairs beyond the
+    limit wait until no pair below it changes. Once a source has reached every vertex, ways longer than its farthest one are not
+    sent. What a round shuffles is its frontier and its messages: the log is read in place. It holds a row for each time that a
+    pair got better.
+    """
+    spark = sources.sparkSession
+    if delta is None:
+        delta = DELTA_EDGES * (table.base.agg(F.avg("w")).first()[0] or 1.0)
+    n_ends = vertex_count(table)
+    log = BucketedTable(spark, "paths", ["source", "id"], table.tasks, "round")
+    try:
+        log.append(sources.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist"), F.lit(0).alias("round")))
+        k, limit, frontier = 0, delta, log.read()
+        while True:
+            k += 1
+            best = log.read().groupBy("source", "id").agg(F.min("dist").alias("best"))
+            farthest = best.groupBy("source").agg(F.count(F.lit(1)).alias("reached"), F.max("best").alias("farthest"))
+            useful = frontier.join(farthest.filter(F.col("reached") >= n_ends), "source", "left").select("source", F.col("id").alias("src"), "dist", "farthest")
+            sent = table.triplets(useful).withColumn("way", F.col("dist") + F.col("w")).filter("farthest is null or way < farthest")
+            near = sent.groupBy("source", F.col("dst").alias("id")).agg(F.min("way").alias("dist"))
+            better = near.join(best, ["source", "id"], "left").filter("best is null or dist < best").select("source", "id", "dist", F.lit(k).alias("round"))
+            got = Observation()
+            log.append(better.observe(got, F.count_if(F.col("dist") < limit).alias("below")))
+            frontier = log.read().filter((F.col("round") == k) & (F.col("dist") < limit))
+            if not got.get["below"]:
+                waiting = log.read().groupBy("source", "id").agg(F.min("dist").alias("dist")).filter(F.col("dist") >= limit)
+                first = waiting.agg(F.min("dist")).first()[0]
+                if first is None:
+                    return stored(log.read().groupBy("source", "id").agg(F.min("dist").alias("dist")), "distances")
+                limit = first + delta
+                frontier = waiting.filter(F.col("dist") < limit)
+    finally:
+        log.close()
+
+
+def path_summary(edges: DataFrame, sources: DataFrame, members: DataFrame, state_rows: int = STATE_ROWS, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``distance_summary`` of many sources, taken in batches.
+
+    A batch has so few sources that sources × vertices stays near ``state_rows``, the bound of what the shared folder holds of
+    distances at a time; its distances are folded to a row per (source, cluster) and appended to a stored table.
+    """
+    table = shortest_edges(edges, rows_per_salt)
+    spark = edges.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/summary-{uuid.uuid4().hex}"
+    try:
+        sources = stored(sources.select("source").distinct(), "sources")
+        batches = max(1, math.ceil(sources.count() * vertex_count(table) / state_rows))
+        for b in range(batches):
+            dist = bucketed_paths(table, sources.filter(F.pmod(F.xxhash64("source"), F.lit(batches)) == b))
+            out = distance_summary(dist, members)
+            out.write.mode("append").parquet(path)
+    finally:
+        table.close()
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def distance_summary(dist: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -96,6 +188,7 @@ def silhouette(
     samples: DataFrame,
     unreachable: str = "inf",
     default: int = 0,
+    state_rows: int = STATE_ROWS,
 ) -> DataFrame:
     """Graph silhouette per sample: (id, cluster, a, b, coefficient).
 
@@ -104,7 +197,7 @@ def silhouette(
     Distances are shortest paths over 1/weight. a = mean distance from the
     sample to the vertices of its own cluster, itself included at 0 (divides by
     n, not n-1); b = the smallest such mean over the other clusters;
-    coefficient = (b - a) / max(a, b).
+    coefficient = (b - a) / max(a, b). Samples are taken in batches (``path_summary``).
 
     ``unreachable``: "inf" – a cluster with an unreached vertex has mean +inf
     (as in the source job, which then yields NaN); "drop" – means are taken
@@ -114,9 +207,8 @@ def silhouette(
         raise ValueError(f"unknown unreachable policy {unreachable!r}")
     members = graph_labels(edges, assignments, default)
     own = samples.select("id").distinct().join(members, "id").select(F.col("id").alias("source"), F.col("cluster").alias("own"))
-    dist = shortest_paths(to_distances(edges), own.select("source"))
     sizes = cluster_sizes(members)
-    per = distance_summary(dist, members).join(sizes, "cluster")
+    per = path_summary(to_distances(edges), own.select("source"), members, state_rows).join(sizes, "cluster")
     if unreachable == "inf":
         mean = F.when(F.col("reached") < F.col("size"), F.lit(float("inf"))).otherwise(F.col("total") / F.col("size"))
     else:
@@ -172,6 +264,29 @@ def sample_members(assignments: DataFrame, fraction: float = 0.05, salt: str = "
     return assignments.filter(md5_fraction("id", salt) < fraction)
 
 
+def poisson_steps(rate: float) -> list[float]:
+    """P(n <= 0), P(n <= 1), … of a Poisson number of mean ``rate``, as far as 32 bits tell them from 1."""
+    steps, term, total, k = [], math.exp(-rate), 0.0, 0
+    while total + term < 1.0 - 2.0**-32 and k < 1000:
+        total += term
+        steps.append(total)
+        k += 1
+        term *= rate / k
+    return steps
+
+
+def bootstrap_sample(assignments: DataFrame, fraction: float = 0.05, salt: str = "") -> DataFrame:
+    """Sample with replacement: (id, cluster, copy); a member comes a Poisson number of times of mean ``fraction``.
+
+    The number is the inverse of the distribution at the md5 fraction of (id, ``salt``), so it depends on the id alone and is alike
+    on every layout. ``copy`` counts a member's rows from 1.
+    """
+    u = md5_fraction("id", salt)
+    times = sum([F.when(u >= F.lit(step), 1).otherwise(0) for step in poisson_steps(fraction)], F.lit(0))
+    drawn = assignments.select("id", "cluster", times.alias("_times")).filter("_times > 0")
+    return drawn.select("id", "cluster", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
+
+
 def power_iteration_clusters(pairs: DataFrame, k: int, max_iter: int = 10, init_mode: str = "random") -> DataFrame:
     """Power iteration clustering of a symmetric weighted graph: (id, cluster).
 

@@ -1,13 +1,13 @@
-"""Rounds of messages along edges, the common form of the graph loops.
+"""Rounds of messages along edges, the common form of the rank loops (``pregel`` has the general one).
 
-A loop is given by three Column expressions: the message that an active vertex sends
-along an edge (over ``value`` and the edge's ``w``), how messages to one vertex merge (sum or
-min), and whether a vertex keeps its old value. State may be keyed further (one row per
-source and vertex). Only vertices that have a value are stored.
+A loop is given by two Column expressions: the message that a vertex sends
+along an edge (over ``value`` and the edge's ``w``) and how messages to one vertex merge. State may be
+keyed further (one row per source and vertex). Only vertices that have a value are stored.
 
-Edges are spread by (src, salt) once and kept: a source with very many edges has as many salts
+Edges are spread by (src, salt) once, in a bucketed table: a source with very many edges has as many salts
 as its degree asks for. A round shuffles the active vertices to them (a heavy vertex once
-per salt), merges messages with partial aggregation, and writes the new state.
+per salt), while the edges stay where they are; it merges messages with partial aggregation and writes the new state.
+Everything a round reads is a written table, so a lost executor costs the tasks it ran.
 """
 
 from __future__ import annotations
@@ -18,30 +18,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.operators.skew import ROWS_PER_SALT, fanned, heavy_keys, salted
-from shopweave.session import RoundTables, stored
+from shopweave.session import BucketedTable, RoundTables, stored, tasks_for
 
 
 class EdgeTable:
-    """Edges (src, dst, w) spread by (src, salt) and kept for a loop's rounds."""
+    """Edges (src, dst, attributes…) bucketed by (src, salt) for a loop's rounds."""
 
     def __init__(self, edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT):
-        base = stored(edges.select("src", "dst", "w"), "edges")
-        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        heavy = heavy_keys(base, "src", rows_per_salt)
+        self.base = stored(edges, "edges")
+        self.tasks = tasks_for(self.base)
+        heavy = heavy_keys(self.base, "src", rows_per_salt)
         self.heavy = edges.sparkSession.createDataFrame(heavy.collect(), heavy.schema)  # at most MAX_HEAVY_KEYS rows
-        self.edges = salted(base, self.heavy, "src", ["dst"]).repartition(n, "src", "_salt").persist()
+        self.table = BucketedTable(edges.sparkSession, "edges", ["src", "_salt"], self.tasks)
+        self.table.append(salted(self.base, self.heavy, "src", ["dst"]).repartition(self.tasks, "src", "_salt"))
+        self.edges = self.table.read()
+
+    def triplets(self, senders: DataFrame) -> DataFrame:
+        """The edges of the senders (src, …), with the senders' columns."""
+        return fanned(senders, self.heavy, "src").join(self.edges, ["src", "_salt"]).drop("_salt")
 
     def send(self, active: DataFrame, keys: list[str], message: Column) -> DataFrame:
-        """(*keys, id, value): the messages of the active vertices (*keys, id, value)."""
-        senders = fanned(active.withColumnRenamed("id", "src"), self.heavy, "src")
-        return senders.join(self.edges, ["src", "_salt"]).select(*keys, F.col("dst").alias("id"), message.alias("value"))
+        """(*keys, id, value): the messages of the active vertices (*keys, id, value), over ``value`` and the edge's ``w``."""
+        return self.triplets(active.withColumnRenamed("id", "src")).select(*keys, F.col("dst").alias("id"), message.alias("value"))
 
     def has(self, vertex) -> bool:
         v = F.lit(vertex)
-        return not self.edges.filter((F.col("src") == v) | (F.col("dst") == v)).isEmpty()
+        return not self.base.filter((F.col("src") == v) | (F.col("dst") == v)).isEmpty()
 
     def close(self) -> None:
-        self.edges.unpersist()
+        self.table.close()
 
 
 def message_rounds(
@@ -49,35 +54,24 @@ def message_rounds(
     start: DataFrame,
     message: Column,
     merge: Callable[[str], Column],
-    keep_old: bool,
-    inject: DataFrame | None = None,
-    max_rounds: int | None = None,
+    inject: DataFrame,
+    rounds: int,
     stop: Callable[[DataFrame, DataFrame], bool] | None = None,
 ) -> DataFrame:
     """(*keys, id, value) after the rounds; ``start`` has the same columns.
 
-    ``keep_old``: a vertex merges messages with its old value, only vertices whose value
-    changed send in the next round, and the loop ends when none did. Otherwise the
-    merged messages (and the rows of ``inject``) are the new state and all of it sends.
-    ``stop(old, new)`` may end the loop earlier.
+    The merged messages and the rows of ``inject`` are the new state, and all of it
+    sends. ``stop(old, new)`` may end the loop earlier.
     """
     keys = [c for c in start.columns if c not in ("id", "value")]
-    rounds = RoundTables(start.sparkSession, "rounds")
-    state = rounds.write(start.withColumn("changed", F.lit(True)))
-    k = 0
-    while max_rounds is None or k < max_rounds:
-        k += 1
-        active = state.filter("changed").drop("changed") if keep_old else state.drop("changed")
-        pool = table.send(active, keys, message).withColumn("old", F.lit(None).cast("double"))
-        if keep_old:
-            pool = pool.unionByName(state.drop("changed").withColumn("old", F.col("value")))
-        if inject is not None:
-            pool = pool.unionByName(inject.select(*keys, "id", "value").withColumn("old", F.lit(None).cast("double")))
-        merged = pool.groupBy(*keys, "id").agg(merge("value").alias("value"), F.max("old").alias("old"))
-        changed = F.col("old").isNull() | (F.col("value") != F.col("old"))
-        new = rounds.write(merged.select(*keys, "id", "value", changed.alias("changed")))
-        old, state = state, new
-        if keep_old and new.filter("changed").isEmpty() or stop is not None and stop(old, new):
-            break
-    rounds.close()
+    tables = RoundTables(start.sparkSession, "rounds")
+    try:
+        state = tables.write(start)
+        for _ in range(rounds):
+            pool = table.send(state, keys, message).unionByName(inject.select(*keys, "id", "value"))
+            old, state = state, tables.write(pool.groupBy(*keys, "id").agg(merge("value").alias("value")))
+            if stop is not None and stop(old, state):
+                break
+    finally:
+        tables.close()
     return state.select(*keys, "id", "value")

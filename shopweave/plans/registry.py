@@ -95,6 +95,11 @@ def _logs(spark: SparkSession, sf: str):
 # SQL building blocks (DuckDB), mirroring the DataFrame operators.
 # --------------------------------------------------------------------------
 
+def _bucket_sql(buckets: int = 100, salt: str = "") -> str:
+    tail = f", '{salt}'" if salt else ""
+    return f"cast(('0x' || substr(md5(concat_ws('|', user_id, shop_id{tail})), 1, 8)) as bigint) % {buckets}"
+
+
 def _f(x: float) -> str:
     return f"cast({x!r} as double)"
 
@@ -423,6 +428,78 @@ def q_top_shops_many(spark, sf):
     return R.top_shops_many(ranks, TOP_K).select("seed", "id", round9("rank").alias("rank"), "pos")
 
 
+# Users that recommend_many serves: those with an id divisible by this.
+USER_STEP = 100
+
+
+def _recommend_many_sql(weighted: bool) -> str:
+    parts = [f"sd as (select distinct user_id, 'u' || user_id as seed from uc where user_id % {USER_STEP} = 0)",
+             "ok as (select distinct sd.seed, 's' || i.shop_id as id from sd join uc on uc.user_id = sd.user_id join shop_info i on i.city = uc.city)",
+             "sub as (select ok.seed, en.* from en join ok on en.src = ok.id or en.dst = ok.id)",
+             "p as (select seed, src, dst, weight as p from sub)" if weighted else
+             "p as (select seed, src, dst, 1.0 / count(*) over (partition by seed, src) as p from sub)",
+             f"r0 as (select seed, seed as id, {_f(1.0 - DAMPING)} as rank from sd)"]
+    for k in range(1, ROUNDS + 1):
+        parts.append(f"r{k} as (select seed, id, sum(rank) as rank from (select p.seed, p.dst as id, {_f(DAMPING)} * r.rank * p.p as rank "
+                     f"from r{k - 1} r join p on r.id = p.src and r.seed = p.seed union all select seed, id, rank from r0) x group by seed, id)")
+    uc = ("uc as (select distinct user_id, city from (select user_id, shop_id from pay_log union all select user_id, shop_id from view_log) x "
+          "join shop_info on x.shop_id = shop_info.shop_id)")
+    return base_ctes() + _graph_ctes("recent") + ",\n" + ",\n".join([uc, *parts]) + f"""
+select cast(substr(seed, 2) as bigint) as user_id, id, round(rank, 9) as rank, cast(pos as integer) as pos from (
+  select *, row_number() over (partition by seed order by rank desc, id) as pos from r{ROUNDS} where id like 's%') x
+where pos <= {TOP_K}"""
+
+
+def _recommend_many(spark, sf, weighted: bool) -> DataFrame:
+    from shopweave.plans.recommend import recommend_many
+
+    pay, view, shop = _logs(spark, sf)
+    users = pay.select("user_id").unionByName(view.select("user_id")).filter(F.col("user_id") % USER_STEP == 0).distinct()
+    best = recommend_many(pay, view, shop, users, START, AS_OF, TOP_K, DAMPING, ROUNDS, weighted)
+    return best.select("user_id", "id", round9("rank").alias("rank"), "pos")
+
+
+@register("recommend_many", _recommend_many_sql(True))
+def q_recommend_many(spark, sf):
+    return _recommend_many(spark, sf, True)
+
+
+@register("recommend_many_unweighted", _recommend_many_sql(False))
+def q_recommend_many_unweighted(spark, sf):
+    return _recommend_many(spark, sf, False)
+
+
+# The same results by vertex programs over triplets.
+
+@register("pregel_normalized", base_ctes() + _graph_ctes("recent") + """
+select src, dst, round(weight, 9) as weight from en""")
+def q_pregel_normalized(spark, sf):
+    from shopweave.operators.pregel import out_weight_normalized
+
+    pay, view, _ = _logs(spark, sf)
+    e = out_weight_normalized(stored(G.user_shop_edges(G.weighted_events(pay, view, START, AS_OF)), "edges"))
+    return e.select("src", "dst", round9("weight").alias("weight"))
+
+
+def _rank_by_program(spark, sf, weighted: bool) -> DataFrame:
+    from shopweave.operators.pregel import rank_program
+
+    pay, view, shop = _logs(spark, sf)
+    e = stored(city_graph(pay, view, shop, SEED_USER, START, AS_OF), "edges")
+    r = rank_program(e, f"u{SEED_USER}", DAMPING, ROUNDS, weighted).filter("rank > 0")
+    return r.select("id", R.kind_of(r).alias("kind"), round9("rank").alias("rank"))
+
+
+@register("pregel_rank", _rank_sql(True, _RANK_TAIL))
+def q_pregel_rank(spark, sf):
+    return _rank_by_program(spark, sf, True)
+
+
+@register("pregel_rank_unweighted", _rank_sql(False, _RANK_TAIL))
+def q_pregel_rank_unweighted(spark, sf):
+    return _rank_by_program(spark, sf, False)
+
+
 @register("recommend_age_unseen", base_ctes() + _graph_ctes("age") + _subgraph_ctes() + _rank_ctes("sub", f"u{SEED_USER}", True) + f""",
 seen as (select 's' || shop_id as id from (select user_id, shop_id from pay_log union all select user_id, shop_id from view_log) x
          where user_id = {SEED_USER})
@@ -557,6 +634,15 @@ def q_cut_weight(spark, sf):
                     "cut_edges", "edges")
 
 
+@register("cut_weight_written", _SQL["cut_weight"])
+def q_cut_weight_written(spark, sf):
+    # The same sums, gathered while the labelled edges are written.
+    from shopweave.operators.clusters import write_labelled_edges
+
+    c = write_labelled_edges(*_graph_and_clusters(spark, sf), _folder(spark, "labelled"))
+    return c.select(round6("cut_weight").alias("cut_weight"), round6("total_weight").alias("total_weight"), "cut_edges", "edges")
+
+
 SSSP_SQL_ROUNDS = 16
 
 
@@ -575,7 +661,7 @@ def _sssp_ctes(sources_sql: str, rounds: int = SSSP_SQL_ROUNDS) -> str:
     return ",\n" + ",\n".join(parts)
 
 
-# Users whose paths and silhouettes are asked for, given like the seed user.
+# Path and silhouette queries ask for draws from every cluster (DRAWS each), for a sample of all members, or for six users by name.
 SAMPLE_USERS = [7, 19, 42, 77, 101, 128]
 DRAWS = 3
 MEMBER_FRACTION = 0.05
@@ -592,6 +678,8 @@ def _samples_sql(draws: int = DRAWS) -> str:
 
 _SEED_SOURCES = f"select cast({SEED_USER} as bigint) as source"
 _USER_SOURCES = " union all ".join(f"select cast({u} as bigint) as source" for u in SAMPLE_USERS)
+_IN_SAMPLE = f"cast(('0x' || substr(md5(cast(id as varchar) || '|member'), 1, 8)) as bigint) / 4294967296.0 < {MEMBER_FRACTION}"
+_SAMPLE_SOURCES = f"select id as source from cl where {_IN_SAMPLE}"
 
 
 def _sources(spark, users: list[int], name: str = "source") -> DataFrame:
@@ -607,6 +695,16 @@ def q_sssp(spark, sf):
     return d.select("source", "id", round6("dist").alias("dist"))
 
 
+@register("pregel_paths", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_SEED_SOURCES) + f"""
+select id, round(dist, 6) as dist from d{SSSP_SQL_ROUNDS}""")
+def q_pregel_paths(spark, sf):
+    from shopweave.operators.clusters import to_distances
+    from shopweave.operators.pregel import path_program
+
+    d = path_program(to_distances(_sim_normalized(spark, sf)), SEED_USER)
+    return d.select("id", round6("dist").alias("dist"))
+
+
 @register("cluster_samples", base_ctes() + _sim_norm_ctes() + _samples_sql() + """
 select id, cluster from samp""")
 def q_cluster_samples(spark, sf):
@@ -616,30 +714,92 @@ def q_cluster_samples(spark, sf):
 
 
 @register("member_sample", base_ctes() + _sim_norm_ctes() + f"""
-select id, cluster from cl
-where cast(('0x' || substr(md5(cast(id as varchar) || '|member'), 1, 8)) as bigint) / 4294967296.0 < {MEMBER_FRACTION}""")
+select id, cluster from cl where {_IN_SAMPLE}""")
 def q_member_sample(spark, sf):
     from shopweave.operators.clusters import sample_members
 
     return sample_members(_home_clusters(spark, sf), MEMBER_FRACTION, "member")
 
 
-@register("sssp_many", base_ctes() + _sim_norm_ctes() + _sssp_ctes(_USER_SOURCES) + f"""
+def _poisson_sql(rate: float, salt: str) -> str:
+    from shopweave.operators.clusters import poisson_steps
+
+    u = f"cast(('0x' || substr(md5(cast(id as varchar) || '|{salt}'), 1, 8)) as bigint) / 4294967296.0"
+    return " + ".join(f"case when {u} >= {_f(step)} then 1 else 0 end" for step in poisson_steps(rate))
+
+
+@register("bootstrap_sample", base_ctes() + _sim_norm_ctes() + f""",
+n as (select id, cluster, {_poisson_sql(1.0, "boot")} as times from cl)
+select id, cluster, cast(unnest(range(1, times + 1)) as integer) as copy from n""")
+def q_bootstrap_sample(spark, sf):
+    # As many draws as members, with replacement.
+    from shopweave.operators.clusters import bootstrap_sample
+
+    return bootstrap_sample(_home_clusters(spark, sf), 1.0, "boot")
+
+
+@register("member_sample_replaced", base_ctes() + _sim_norm_ctes() + f""",
+n as (select id, cluster, {_poisson_sql(MEMBER_FRACTION, "member")} as times from cl)
+select id, cluster, cast(unnest(range(1, times + 1)) as integer) as copy from n""")
+def q_member_sample_replaced(spark, sf):
+    from shopweave.operators.clusters import bootstrap_sample
+
+    return bootstrap_sample(_home_clusters(spark, sf), MEMBER_FRACTION, "member")
+
+
+def _summary_sql(sources: str, ctes: str = "") -> str:
+    return base_ctes() + _sim_norm_ctes() + ctes + _sssp_ctes(sources) + f"""
 select d.source, cl.cluster, count(*) as reached, round(min(dist), 6) as nearest, round(max(dist), 6) as farthest,
        round(sum(dist), 6) as total
-from d{SSSP_SQL_ROUNDS} d join cl on d.id = cl.id group by d.source, cl.cluster""")
+from d{SSSP_SQL_ROUNDS} d join cl on d.id = cl.id group by d.source, cl.cluster"""
+
+
+def _rounded_summary(per: DataFrame) -> DataFrame:
+    return per.select("source", "cluster", "reached", *[round6(c).alias(c) for c in ("nearest", "farthest", "total")])
+
+
+def _draw_sources(clusters: DataFrame, name: str) -> DataFrame:
+    from shopweave.operators.clusters import cluster_samples
+
+    return cluster_samples(clusters, DRAWS).select(F.col("id").alias(name))
+
+
+def _member_sources(clusters: DataFrame, name: str) -> DataFrame:
+    from shopweave.operators.clusters import sample_members
+
+    return sample_members(clusters, MEMBER_FRACTION, "member").select(F.col("id").alias(name))
+
+
+def _path_summary(spark, sf, sources) -> DataFrame:
+    from shopweave.operators.clusters import path_summary, to_distances
+
+    sim, clusters = _graph_and_clusters(spark, sf)
+    return _rounded_summary(path_summary(to_distances(sim), sources(clusters, "source"), clusters))
+
+
+@register("sssp_many", _summary_sql("select id as source from samp", _samples_sql()))
 def q_sssp_many(spark, sf):
+    return _path_summary(spark, sf, _draw_sources)
+
+
+@register("sssp_sample", _summary_sql(_SAMPLE_SOURCES))
+def q_sssp_sample(spark, sf):
+    return _path_summary(spark, sf, _member_sources)
+
+
+@register("sssp_users", _summary_sql(_USER_SOURCES))
+def q_sssp_users(spark, sf):
     from shopweave.operators.clusters import distance_summary, shortest_paths, to_distances
 
     sim, clusters = _graph_and_clusters(spark, sf)
-    per = distance_summary(shortest_paths(to_distances(sim), _sources(spark, SAMPLE_USERS)), clusters)
-    return per.select("source", "cluster", "reached", *[round6(c).alias(c) for c in ("nearest", "farthest", "total")])
+    return _rounded_summary(distance_summary(shortest_paths(to_distances(sim), _sources(spark, SAMPLE_USERS)), clusters))
 
 
-_SILHOUETTE_CTES = base_ctes() + _sim_norm_ctes() + f""",
+def _silhouette_sql(sources: str, ctes: str = "") -> str:
+    return base_ctes() + _sim_norm_ctes() + ctes + f""",
 mem as (select id, cluster from cl union all
         select id, 0 from (select src as id from simn union select dst from simn) v where id not in (select id from cl)),
-own as (select mem.id as source, mem.cluster as own from mem where id in ({", ".join(map(str, SAMPLE_USERS))}))""" + _sssp_ctes(
+own as (select mem.id as source, mem.cluster as own from mem where id in ({sources}))""" + _sssp_ctes(
     "select source from own") + f""",
 sizes as (select cluster, count(*) as size from mem group by cluster),
 reach as (select d.source, m.cluster, sum(d.dist) as total, count(*) as reached
@@ -653,26 +813,49 @@ sil as (select source as id, own as cluster, a, b,
                case when greatest(a, b) = 0 then 'nan'::double else (b - a) / greatest(a, b) end as coefficient from ab)"""
 
 
-def _silhouettes(spark, sf) -> DataFrame:
+_SILHOUETTE_TAIL = """
+select id, cluster, round(a, 6) as a, round(b, 6) as b, round(coefficient, 9) as coefficient from sil"""
+_MEAN_TAIL = """
+select round(avg(coefficient), 9) as silhouette, count(*) as samples from sil"""
+_DRAWN = _silhouette_sql("select id as source from samp", _samples_sql())
+
+
+def _silhouettes(spark, sf, sources) -> DataFrame:
     from shopweave.operators.clusters import silhouette
 
     sim, clusters = _graph_and_clusters(spark, sf)
-    return silhouette(sim, clusters, _sources(spark, SAMPLE_USERS, "id"), unreachable="inf")
+    return silhouette(sim, clusters, sources(clusters, "id"), unreachable="inf")
 
 
-@register("silhouette", _SILHOUETTE_CTES + """
-select id, cluster, round(a, 6) as a, round(b, 6) as b, round(coefficient, 9) as coefficient from sil""")
-def q_silhouette(spark, sf):
-    s = _silhouettes(spark, sf)
+def _each_silhouette(spark, sf, sources) -> DataFrame:
+    s = _silhouettes(spark, sf, sources)
     return s.select("id", "cluster", round6("a").alias("a"), round6("b").alias("b"), round9("coefficient").alias("coefficient"))
 
 
-@register("mean_silhouette", _SILHOUETTE_CTES + """
-select round(avg(coefficient), 9) as silhouette, count(*) as samples from sil""")
-def q_mean_silhouette(spark, sf):
+def _mean_of(spark, sf, sources) -> DataFrame:
     from shopweave.operators.clusters import mean_silhouette
 
-    return mean_silhouette(_silhouettes(spark, sf)).select(round9("silhouette").alias("silhouette"), "samples")
+    return mean_silhouette(_silhouettes(spark, sf, sources)).select(round9("silhouette").alias("silhouette"), "samples")
+
+
+@register("silhouette", _DRAWN + _SILHOUETTE_TAIL)
+def q_silhouette(spark, sf):
+    return _each_silhouette(spark, sf, _draw_sources)
+
+
+@register("mean_silhouette", _DRAWN + _MEAN_TAIL)
+def q_mean_silhouette(spark, sf):
+    return _mean_of(spark, sf, _draw_sources)
+
+
+@register("silhouette_sample", _silhouette_sql(_SAMPLE_SOURCES) + _SILHOUETTE_TAIL)
+def q_silhouette_sample(spark, sf):
+    return _each_silhouette(spark, sf, _member_sources)
+
+
+@register("mean_silhouette_sample", _silhouette_sql(_SAMPLE_SOURCES) + _MEAN_TAIL)
+def q_mean_silhouette_sample(spark, sf):
+    return _mean_of(spark, sf, _member_sources)
 
 
 # --------------------------------------------------------------------------
@@ -737,9 +920,6 @@ def q_hash_split(spark, sf):
     return hash_split(f, ["user_id", "shop_id"])
 
 
-def _bucket_sql(buckets: int = 100, salt: str = "") -> str:
-    tail = f", '{salt}'" if salt else ""
-    return f"cast(('0x' || substr(md5(concat_ws('|', user_id, shop_id{tail})), 1, 8)) as bigint) % {buckets}"
 
 
 # Held-out rows (20 %), and of those the rows that the stacked models hold out in turn.
@@ -910,6 +1090,57 @@ def q_pic_bipartite(spark, sf):
     return labels.select(folded_kind("id").alias("kind"), F.floor(F.col("id") / 2).cast("long").alias("id"), "labels", "in_range")
 
 
+# The library's own form starts from a number of each id, so SQL says every value of it.
+PIC_ROUNDS = 10
+
+
+def _power_ctes() -> str:
+    parts = ["""sp as (select least(src, dst) as a, greatest(src, dst) as b, sum(weight) as weight from sim group by 1, 2),
+af as (select src, dst, sum(weight) as weight from (select a as src, b as dst, weight from sp union all select b, a, weight from sp) x where src <> dst group by 1, 2),
+sh as (select af.src, af.dst, af.weight / o.tot as w from af join (select src, sum(weight) as tot from af group by src) o on af.src = o.src),
+v0 as (select id, v / sum(v) over () as v from (select distinct src as id, cast(('0x' || substr(md5(cast(src as varchar) || '|pic'), 1, 8)) as bigint) / 4294967296.0 as v from af) x)"""]
+    for k in range(1, PIC_ROUNDS + 1):
+        parts.append(f"v{k} as (select id, u / sum(abs(u)) over () as v from (select sh.src as id, sum(sh.w * v.v) as u from sh join v{k - 1} v on v.id = sh.dst group by sh.src) x)")
+    parts.append(f"em as (select id, v * count(*) over () as x from v{PIC_ROUNDS})")
+    return ",\n" + ",\n".join(parts)
+
+
+def _line_ctes(k: int) -> str:
+    from shopweave.operators.power_iteration import KMEANS_ROUNDS
+
+    parts = ["f1 as (select min(x) as c from em)"]
+    for j in range(2, k + 1):
+        parts.append(f"f{j} as (select c from f{j - 1} union all select x as c from (select x, (select min(abs(em.x - c)) from f{j - 1}) as gap from em order by gap desc, x limit 1) y where gap > 0)")
+    parts.append(f"c0 as (select row_number() over (order by c) - 1 as j, c from f{k})")
+    for r in range(1, KMEANS_ROUNDS + 1):
+        parts.append(f"a{r} as (select id, any_value(x) as x, arg_min(j, (abs(x - c), j)) as j from em, c{r - 1} group by id)")
+        parts.append(f"c{r} as (select row_number() over (order by m) - 1 as j, m as c from (select avg(x) as m from a{r} group by j) z)")
+    parts.append(f"lb as (select id, arg_min(j, (abs(x - c), j)) as j from em, c{KMEANS_ROUNDS} group by id)")
+    return ",\n" + ",\n".join(parts)
+
+
+def _power_pairs(spark, sf) -> DataFrame:
+    from shopweave.operators.similarity import symmetric_pairs
+
+    return symmetric_pairs(_similarity(spark, sf))
+
+
+@register("pic_embedding", base_ctes() + _sim_ctes() + _power_ctes() + """
+select id, round(x, 9) as x from em""")
+def q_pic_embedding(spark, sf):
+    from shopweave.operators.power_iteration import embedding
+
+    return embedding(_power_pairs(spark, sf), PIC_ROUNDS).select("id", round9("x").alias("x"))
+
+
+@register("pic_labels", base_ctes() + _sim_ctes() + _power_ctes() + _line_ctes(PIC_K) + """
+select id, cast(j as integer) as cluster from lb""")
+def q_pic_labels(spark, sf):
+    from shopweave.operators.power_iteration import power_clusters
+
+    return power_clusters(_power_pairs(spark, sf), PIC_K, PIC_ROUNDS)
+
+
 # --------------------------------------------------------------------------
 # Text layouts, written to the shared folder and read again
 # --------------------------------------------------------------------------
@@ -937,6 +1168,34 @@ def q_text_view_log(spark, sf):
     return _log_text(spark, view_log(spark, sf))
 
 
+# Lines damaged on purpose: which, and in what way, follows from the row's md5 bucket.
+_DAMAGED = [
+    ("fields", "user_id || ',' || shop_id"), ("fields", "user_id || ',' || shop_id || ',' || t || ',x'"), ("user", "'x' || user_id || ',' || shop_id || ',' || t"),
+    ("shop", "user_id || ',,' || t"), ("time", "user_id || ',' || shop_id || ',' || replace(t, '-', '/')"), ("time", "user_id || ',' || shop_id || ',2000-13-01 00:00:00'"),
+]
+
+
+@register("text_log_checked", base_ctes() + f""",
+b as (select *, {_bucket_sql()} as bucket from pay_log)
+select coalesce(case {" ".join(f"when bucket = {k} then '{reason}'" for k, (reason, _) in enumerate(_DAMAGED))} end, 'good') as reason,
+       count(*) as lines, cast(sum(case when bucket >= {len(_DAMAGED)} then user_id end) as bigint) as users,
+       max(case when bucket >= {len(_DAMAGED)} then strftime(ts, '%Y-%m-%d %H:%M:%S') end) as last_ts
+from b group by 1""")
+def q_text_log_checked(spark, sf):
+    # A purchase log with malformed lines: good rows and quarantined lines.
+    from shopweave.functions.core import md5_bucket
+
+    rows = pay_log(spark, sf).select("user_id", "shop_id", F.date_format("ts", IO.TIME_FORMAT).alias("t"), md5_bucket(["user_id", "shop_id"]).alias("bucket"))
+    line = F.expr("case " + " ".join(f"when bucket = {k} then {text}" for k, (_, text) in enumerate(_DAMAGED)) + " else user_id || ',' || shop_id || ',' || t end")
+    path = _folder(spark, "log")
+    rows.select(line.alias("value")).write.text(path)
+    good, bad = IO.read_log_checked(spark, path)
+    bad = IO.quarantine(bad, _folder(spark, "quarantine"))
+    kept = good.agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("lines"), F.sum("user_id").alias("users"), F.max(F.date_format("ts", IO.TIME_FORMAT)).alias("last_ts"))
+    rest = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")).select("reason", "lines", F.lit(None).cast("long").alias("users"), F.lit(None).cast("string").alias("last_ts"))
+    return kept.unionByName(rest)
+
+
 @register("text_shop", base_ctes() + """
 select shop_id, city, location_id, per_pay, score, comment_cnt, shop_level from shop_info""")
 def q_text_shop(spark, sf):
@@ -1020,3 +1279,48 @@ def q_stream_pair_counts(spark, sf):
     from shopweave.streaming.counts import run_to_table, stream_pay_log, windowed_pair_counts
 
     return run_to_table(windowed_pair_counts(stream_pay_log(spark, sf), "30 days", "1 day"))
+
+
+# The same log delivered year by year, a twentieth of its pairs three years late: those rows come after
+# the watermark has closed their windows.
+LATE_YEARS = 3
+FILES_PER_YEAR = 2
+_IS_LATE = f"{_bucket_sql(20, 'late')} = 0 and year(ts) <= 1998"
+_WINDOW_START = "cast(date '1970-01-01' + cast(floor(date_diff('second', timestamp '1970-01-01', ts) / 2592000) * 30 as integer) as date)"
+
+
+def _delivered(spark, sf) -> DataFrame:
+    from shopweave.functions.core import md5_bucket
+    from shopweave.streaming.counts import counted_arrivals, stream_log_files, windowed_pair_counts
+
+    log = pay_log(spark, sf)
+    year = F.year("ts")
+    late = (md5_bucket(["user_id", "shop_id"], 20, "late") == 0) & (year <= 1998)
+    log = stored(log.select("user_id", "shop_id", "ts", (year + F.when(late, LATE_YEARS).otherwise(0)).alias("delivered")), "delivered")
+    path = _folder(spark, "arriving")
+    for (y,) in log.select("delivered").distinct().orderBy("delivered").collect():  # a row per year
+        log.filter(F.col("delivered") == y).drop("delivered").repartition(FILES_PER_YEAR).write.mode("append").parquet(path)
+    events = counted_arrivals(stream_log_files(spark, path, log.drop("delivered").schema, FILES_PER_YEAR))
+    return windowed_pair_counts(events, "30 days", "1 day")
+
+
+@register("stream_late_rows", base_ctes() + f"""
+select count(*) as arrived, cast(sum(case when {_IS_LATE} then 1 else 0 end) as bigint) as late, cast(count(distinct year(ts)) as bigint) as batches,
+       cast(count(distinct case when not ({_IS_LATE}) then {_WINDOW_START} || '|' || user_id || '|' || shop_id end) as bigint) as groups from pay_log""")
+def q_stream_late_rows(spark, sf):
+    from shopweave.streaming.counts import run_reported
+
+    table, report = run_reported(_delivered(spark, sf))
+    found = table.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("counted"), F.count(F.lit(1)).alias("groups"))
+    arrived = F.lit(report["arrived"]).cast("long")
+    return found.select(arrived.alias("arrived"), (arrived - F.col("counted")).alias("late"), F.lit(report["batches"]).cast("long").alias("batches"), "groups")
+
+
+@register("stream_closed_windows", base_ctes() + f""",
+x as (select {_WINDOW_START} as window_start, user_id, shop_id from pay_log where not ({_IS_LATE}))
+select window_start, user_id, shop_id, count(*) as count from x
+where window_start + interval 30 day <= (select max(ts) from pay_log) - interval 1 day group by 1, 2, 3""")
+def q_stream_closed_windows(spark, sf):
+    from shopweave.streaming.counts import run_closed
+
+    return run_closed(_delivered(spark, sf))[0]

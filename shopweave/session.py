@@ -68,6 +68,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Bytes that a task of a fixed number of tasks should read.
+TASK_BYTES = 128 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks to deal a stored table to: by its size as Spark measures it, and no fewer than ``spark.sql.shuffle.partitions``."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+class BucketedTable:
+    """A table in the shared checkpoint folder, bucketed by some columns.
+
+    Joins and aggregations on these columns read it without a shuffle. Rows are appended in
+    lots, on request as partitions by another column. ``close`` deletes it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, by: list[str], buckets: int, partition: str | None = None):
+        self.spark, self.by, self.buckets, self.partition = spark, by, buckets, partition
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{self.name}"
+
+    def append(self, df: DataFrame) -> None:
+        writer = df.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, *self.by)
+        (writer.partitionBy(self.partition) if self.partition else writer).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        delete(self.spark, self.path)
+
+
 class RoundTables:
     """The tables of a loop's rounds, written to the shared checkpoint folder.
 
@@ -94,5 +133,4 @@ class RoundTables:
             self._delete(path)
 
     def _delete(self, path: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        delete(self.spark, path)

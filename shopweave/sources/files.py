@@ -28,6 +28,33 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+LOG_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+
+
+def read_log_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A log that may have malformed lines: the good rows (user_id, shop_id, ts), and (line, file, reason) of the rest.
+
+    Reasons: ``fields`` (not three of them), ``user`` or ``shop`` (no long), ``time`` (not in the layout, or no
+    such instant). Every line is in exactly one of both frames; ``read_log`` fails on the first bad line instead.
+    """
+    parts = F.split("value", ",", -1)
+    when = F.get(parts, F.lit(2))
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.size(parts).alias("n"),
+        F.get(parts, F.lit(0)).try_cast("long").alias("user_id"), F.get(parts, F.lit(1)).try_cast("long").alias("shop_id"),
+        F.when(when.rlike(LOG_TIME_PATTERN), when.try_cast("timestamp_ntz")).alias("ts"),
+    )
+    reason = F.when(F.col("n") != 3, "fields").when(F.col("user_id").isNull(), "user").when(F.col("shop_id").isNull(), "shop").when(F.col("ts").isNull(), "time")
+    marked = lines.withColumn("reason", reason)
+    return marked.filter("reason is null").select("user_id", "shop_id", "ts"), marked.filter("reason is not null").select("line", "file", "reason")
+
+
+def quarantine(bad: DataFrame, path: str) -> DataFrame:
+    """Malformed lines written beside the data, by reason, and read again."""
+    bad.write.mode("overwrite").partitionBy("reason").parquet(path)
+    return bad.sparkSession.read.schema(bad.schema).parquet(path)
+
+
 def write_log_text(log: DataFrame, path: str) -> None:
     """A log in the layout that ``read_log`` reads."""
     log.select("user_id", "shop_id", F.date_format("ts", TIME_FORMAT).alias("ts")).write.mode("overwrite").csv(path)

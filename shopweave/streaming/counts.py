@@ -46,6 +46,20 @@ def stream_pay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_log_files(spark: SparkSession, path: str, schema, files_per_batch: int) -> DataFrame:
+    """A log (user_id, shop_id, ts) whose files arrive as a stream, so many in a micro-batch, oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+#: Name of the metrics that ``counted_arrivals`` puts on a stream.
+ARRIVED = "arrived"
+
+
+def counted_arrivals(events: DataFrame) -> DataFrame:
+    """The stream with the number of rows of each micro-batch as an observed metric."""
+    return events.observe(ARRIVED, F.count(F.lit(1)).alias("rows"))
+
+
 def run_to_table(result: DataFrame, keys: list[str] | None = None, out_dir: str | None = None) -> DataFrame:
     """Run a streaming aggregate over all available input and return its final table.
 
@@ -55,6 +69,15 @@ def run_to_table(result: DataFrame, keys: list[str] | None = None, out_dir: str
     earlier result is lost. The final row of each key (by default all columns but
     ``count``) is the one of its last epoch. Without input the table is empty.
     """
+    return run_reported(result, keys, out_dir)[0]
+
+
+def run_reported(result: DataFrame, keys: list[str] | None = None, out_dir: str | None = None) -> tuple[DataFrame, dict]:
+    """``run_to_table`` and a report of the run: ``batches`` with rows and, after ``counted_arrivals``, ``arrived`` rows.
+
+    A row that comes after the watermark has closed its window changes no count. Such rows are not lost in silence: they are the
+    arrived rows less the sum of the final counts.
+    """
     spark = result.sparkSession
     base = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     target = f"{base}/result"
@@ -75,4 +98,27 @@ def run_to_table(result: DataFrame, keys: list[str] | None = None, out_dir: str
     keys = keys or [c for c in result.columns if c != "count"]
     rest = [c for c in result.columns if c not in keys]
     last = F.max(F.struct("epoch", *rest)).alias("last")
-    return spark.read.schema(schema).parquet(target).groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{c}") for c in rest]).select(*result.columns)
+    table = spark.read.schema(schema).parquet(target).groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{c}") for c in rest]).select(*result.columns)
+    return table, arrivals(q)
+
+
+def run_closed(result: DataFrame, out_dir: str | None = None) -> tuple[DataFrame, dict]:
+    """Run in ``append`` mode: (the rows of windows that the watermark has closed, report); a row is written once, when its window closes."""
+    spark = result.sparkSession
+    base = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = result.writeStream.outputMode("append").format("parquet").option("path", f"{base}/closed").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{base}/closed"), arrivals(q)
+
+
+def arrivals(query) -> dict:
+    """Rows and batches of a query that has ended, from its progress; fails if the session no longer holds all of it."""
+    progress = {p.batchId: p for p in query.recentProgress}
+    if progress and len(progress) != max(progress) - min(progress) + 1 or len(query.recentProgress) >= int(query_limit()):
+        raise RuntimeError("raise spark.sql.streaming.numRecentProgressUpdates above the number of batches")
+    rows = [p.observedMetrics[ARRIVED]["rows"] for p in progress.values() if ARRIVED in p.observedMetrics]
+    return {"batches": sum(n > 0 for n in rows), "arrived": sum(rows)}
+
+
+def query_limit() -> str:
+    return SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates")
