@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -122,3 +124,72 @@ def mix(docs, budget, epochs, weights, seed):
         for i, _ in mine:
             out.update((i, e) for e in range(1, full + 1 + (order(i) in taken)))
     return out
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(text))
+
+
+def search(docs, items, k):
+    """[(item_id, rank, doc_id, score)] of [(doc_id, text)] and [(item_id, text)]; rows of one item_id are one item."""
+    held = [(i, Counter(w), len(w)) for i, t in docs if (w := terms(t))]
+    n_docs, n_terms = len(held), sum(n for *_, n in held)
+    asked = defaultdict(set)
+    for i, t in items:
+        asked[i] |= set(terms(t))
+    out = []
+    for item, vocabulary in asked.items():
+        weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * sum(t in c for _, c, _ in held) + 1))) for t in vocabulary}
+        rows = []
+        for i, c, n in held:
+            m = 10 + 90 * n * n_docs // n_terms
+            if (score := sum(weight[t] * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in vocabulary if t in c)) > 0:
+                rows.append((score, i))
+        rows.sort(key=lambda r: (-r[0], r[1] is None, r[1]))
+        out += [(item, rank + 1, i, score) for rank, (score, i) in enumerate(rows[:k])]
+    return out
+
+
+def leaks(docs, items, window):
+    """[(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)]."""
+    windows = defaultdict(set)
+    for i, t in items:
+        w = terms(t)
+        for at in range(max(1, len(w) - window + 1) if w else 0):
+            windows[tuple(w[at : at + window])].add(i)
+    out = []
+    for i, t in docs:
+        w, hit, found = terms(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for at in range(len(w) - n + 1):
+                if (got := windows.get(tuple(w[at : at + n]))) is not None:
+                    hit |= set(range(at, at + n))
+                    found |= got - {None}
+        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)))
+    return out
+
+
+def trie(turns):
+    """[(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)] of [(conv_id, turn, role, text)]."""
+    own = defaultdict(list)
+    for c, turn, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn, sha(f"{len(role.encode())}:{role}{text}"), role, text))
+    own = {c: [x[3:] for x in sorted(rows, key=lambda x: x[:3])] for c, rows in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, rows in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        donor = c - int(math.fmod(c, 20))
+        path = tuple(own.get(donor, [])[:h] + rows[h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+        ends[path].append(c)
+    out = []
+    for node, convs in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        inner = {x[:-1] for x in members if x}
+        saved = sum((len(members[x]) - 1) * len(words(x[-1][1])) for x in below if x)
+        digest = sha(",".join(map(str, sorted(ends.get(node, [])))))
+        out.append((min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), sum(len(x) == len(node) + 1 for x in below), sum(x not in inner for x in below), saved, digest))
+    return out
