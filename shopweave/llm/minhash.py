@@ -191,9 +191,9 @@ def candidate_groups(rows: DataFrame, shared: Shared) -> DataFrame:
 
 
 def components_of(docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id, kept): a row per row of ``docs``.
+    """(doc_id, mark, n_shingles, component_id, stays): a row per row of ``docs``.
 
-    One row of a component is kept: the first by doc_id, nulls last, then by the text's hash. Rows alike in both stay or go together.
+    One row of a component stays: the first by doc_id, nulls last, then by the text's hash. Rows alike in both stay or go together.
     """
     shared = Shared(docs.sparkSession, "near")
     rows = shared.table(signed(docs, width, percent), "rows")
@@ -226,8 +226,8 @@ def components_of(docs: DataFrame, width: int, percent: int, block: int = BLOCK)
     names = joined.filter("part is not null").groupBy("part").agg(first.alias("first"))
     names = shared.table(names.select("part", F.col("first.doc_id").alias("named"), F.col("first.mark").alias("named_mark")), "names")
     out = joined.join(names, "part", "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("named")))
-    kept = F.col("part").isNull() | (F.col("doc_id").eqNullSafe(F.col("named")) & (F.col("mark") == F.col("named_mark")))
-    return out.select("doc_id", "mark", "n_shingles", "component_id", kept.alias("kept"))
+    stays = F.col("part").isNull() | (F.col("doc_id").eqNullSafe(F.col("named")) & (F.col("mark") == F.col("named_mark")))
+    return out.select("doc_id", "mark", "n_shingles", "component_id", stays.alias("stays"))
 
 
 def node_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -285,12 +285,16 @@ def across(sets: DataFrame, parts: DataFrame, percent: int, block: int, shared:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): a row per row of ``docs``; component_id is the smallest doc_id of the component."""
-    return components_of(docs, width, percent, block).select("doc_id", "n_shingles", "component_id", "kept")
+    """(doc_id, n_shingles, component_id, kept): a row per row of ``docs``; component_id is the smallest doc_id of the component.
+
+    ``kept`` says whether the row's doc_id is its component_id: of rows that share that id, all are kept.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return components_of(docs, width, percent, block).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that name their component, with all their columns."""
-    gone = components_of(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).distinct()
+    gone = components_of(docs, width, percent).filter("not stays").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).distinct()
     mark = F.xxhash64(F.col("text").cast("string"))
     return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__m")), "left_anti")
