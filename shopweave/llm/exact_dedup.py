@@ -3,7 +3,8 @@
 Texts are equal when they are identical after deleting every blank (space,
 \\t \\n \\v \\f \\r); their sha-256 is the key. Of equal texts the row with the
 most code points in its original text stays, then the smallest ``doc_id``
-(null last), then the first row as written.
+(null last), then the first row as read (``drop_copies``: the row with the smallest hash
+of all its columns, so a stage run again keeps the same one).
 
 A Misra-Gries summary per partition (``counters`` entries each) finds the
 digests that may be frequent. The ``counters`` with the highest estimates are
@@ -103,7 +104,8 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     digest, whole = "__sha", "__row"
     points = F.coalesce(F.length("text"), F.lit(0))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), normalised_sha(F.col("text")).alias(digest), points.alias("__points"), F.col("doc_id").alias("__id"))
-    small = shared.table(keyed.drop(whole), "digests")
+    keyed = keyed.withColumn("__tie", F.xxhash64(whole))
+    small = shared.table(keyed.drop(whole, "__tie"), "digests")
     frequent = shared.table(misra_gries(small, digest, counters), "frequent")
     winners = (
         small.join(F.broadcast(frequent.select(F.col("digest").alias(digest))), digest, "left_semi")
@@ -116,8 +118,8 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     settled = (
         split.filter(F.col("__most").isNotNull() & (F.col("__points") == F.col("__most")) & F.col("__id").eqNullSafe(F.col("__keep")))
         .groupBy(digest)
-        .agg(F.first(whole).alias(whole))
+        .agg(F.min_by(whole, "__tie").alias(whole))
     )
-    order = Window.partitionBy(digest).orderBy(F.desc("__points"), F.asc_nulls_last("__id"))
+    order = Window.partitionBy(digest).orderBy(F.desc("__points"), F.asc_nulls_last("__id"), "__tie")
     shuffled = split.filter(F.col("__most").isNull()).withColumn("__n", F.row_number().over(order)).filter("__n = 1")
     return settled.select(f"{whole}.*").unionByName(shuffled.select(f"{whole}.*"))
