@@ -13,9 +13,11 @@ the rest. The order is md5(seed, pass, doc_id), so the prefix is "all rows whose
 is at most the leaf's cutoff": the cutoffs (a row per leaf) are joined to the
 rows, and no row has to be moved. Cutoffs are found in two steps: sums over key
 ranges of about ``RANGE_ROWS`` rows, then the keys of the one range in which the
-rest ends. Rows with equal keys (repeated ``doc_id``) stay or go together.
+rest ends (a task of the second step has the rows of some ranges, whatever a leaf holds). Rows with
+equal keys (repeated ``doc_id``) stay or go together. What the prefix leaves of a rest goes to no sibling:
+less than the words of the next key's rows per leaf. ``shortfalls`` reports it.
 
-A null domain, lang or source is a value of its own; null text has no words; a
+Texts of any length are counted whole. A null domain, lang or source is a value of its own; null text has no words; a
 null ``doc_id`` counts as the empty string in the order. Weights that are not
 given are 1. An empty table gives an empty table.
 """
@@ -150,6 +152,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return mixed(docs, **options).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def shortfalls(docs: DataFrame, **options) -> DataFrame:
+    """(domain, lang, source, share, taken, shortfall): per leaf its share, the words that the mix takes, and what lacks; keys as in ``null_key``."""
+    keys = list(LEVELS)
+    taken = mixed(docs.select("doc_id", "text", "lang", "source"), **options).groupBy(*[F.col(f"__{k}").alias(k) for k in keys]).agg(F.sum("__words").alias("taken"))
+    plan = cutoffs(docs.select("doc_id", "text", "lang", "source"), **options).select(*keys, "share").join(taken, keys, "left")
+    return plan.select(*keys, "share", F.coalesce("taken", F.lit(0)).alias("taken"), (F.col("share") - F.coalesce("taken", F.lit(0))).alias("shortfall"))
+
+
 def _level_sql(level: int) -> str:
     """DuckDB: the shares of one level of the tree, from the level above."""
     keys = ", ".join(LEVELS[: level + 1])

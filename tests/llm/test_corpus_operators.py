@@ -180,3 +180,15 @@ def test_mixture_documents(docs, empty):
     out = budget.mix_documents(docs, budget=0.5, max_epochs=1)
     assert out.columns == docs.columns and 0 < out.count() < docs.count()
     assert budget.mix_documents(empty).count() == 0
+
+
+def test_shortfalls_of_leaves(spark):
+    rows = [(k, "w " * (500 if k == 0 else 3 + k % 5), "en", f"src{k % 3}") for k in range(60)]
+    docs = frame(spark, rows)
+    got = {r.source: r for r in budget.shortfalls(docs, budget=0.5, max_epochs=1).collect()}
+    chosen = Counter()
+    for r in budget.mix_documents(docs, budget=0.5, max_epochs=1).collect():
+        chosen["=" + r.source] += len(r.text.split())
+    assert len(got) == 3 and all(r.taken == chosen[s] and abs(r.shortfall - (r.share - r.taken)) < 1e-9 for s, r in got.items())
+    assert all(-1e-6 <= r.shortfall < (500 if s == "=src0" else 8) for s, r in got.items())
+    assert budget.shortfalls(docs.limit(0)).count() == 0

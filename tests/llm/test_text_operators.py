@@ -287,3 +287,79 @@ def test_empty_tables(empty):
     for out in (bpe.encode_digests(empty, PATH), quality.quality_rules(empty), licenses.scan(empty), mixing_lm.score(empty), langid.keep_identified(empty)):
         assert out.count() == 0
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def test_language_tables_equal_a_plain_forward_pass():
+    """Prediction reads tables by byte class and pair of classes; the network itself convolves, position by position."""
+    rng = np.random.default_rng(5)
+    network = langid.Network(["aa", "bb", "cc"])
+    for name in network.p:
+        network.p[name] = network.p[name] + rng.normal(0, 0.2, network.p[name].shape).astype(np.float32)
+    grid, owner, length = langid.windows([b"short", b"x" * 300, "été à Paris".encode() * 30, b""])
+    hidden = []
+    for row in grid:
+        embedded = network.p["embed"][row]
+        for w in langid.WIDTHS:
+            spans = [embedded[k : k + w].ravel() for k in range(langid.WINDOW - w + 1)]
+            hidden.append(np.maximum(np.max([s @ network.p[f"w{w}"] for s in spans], 0) + network.p[f"b{w}"], 0))
+    hidden = np.concatenate(hidden).reshape(len(grid), -1)
+    logits = hidden @ network.p["out"] + network.p["bias"]
+    want = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    assert np.abs(network.tables().probabilities(grid) - want).max() < 1e-4
+    labels, scores = network.tables().predict([b"x" * 300, b"12 34", b""])
+    mass = (want[owner == 1] * length[owner == 1][:, None]).sum(0)
+    assert labels == [network.labels[mass.argmax()], langid.UNKNOWN, langid.UNKNOWN] and scores[1:] == [0.0, 0.0]
+    assert abs(scores[0] - mass.max() / mass.sum()) < 1e-4
+
+
+def test_license_scan_against_every_window_of_every_template(spark):
+    """Without any filter, bound or order of templates: all windows are aligned, the best one splits its range, and overlaps are settled by hand."""
+    templates = {"A": "alpha beta gamma delta epsilon zeta eta theta iota kappa", "B": "alpha beta gamma delta lambda mu nu xi omicron pi", "C-notice": "beta gamma delta", "D": "one two one two one three"}
+    telling = {"A": ("epsilon zeta",), "B": ("lambda mu",), "C-notice": ("gamma",), "D": ("three",)}
+    rng = np.random.default_rng(12)
+    words = sorted({w for t in templates.values() for w in t.split()} | {"noise", "other"})
+    texts = []
+    for _ in range(60):
+        pieces = []
+        for _ in range(int(rng.integers(1, 6))):
+            w = templates[str(rng.choice(list(templates)))].split() if rng.random() < 0.7 else [str(x) for x in rng.choice(words, 8)]
+            for at in rng.choice(len(w), int(rng.integers(0, 3))):
+                w[at] = str(rng.choice(words))
+            pieces += w[: int(rng.integers(3, len(w) + 1))] if rng.random() < 0.3 else w
+        texts.append(" ".join(pieces))
+
+    def copies(text, name):
+        want, size = templates[name].split(), len(templates[name].split())
+        size += max(2, size // 5)
+        phrases, out, ranges = [p.split() for p in telling[name]], [], [(0, len(text))]
+        while ranges:
+            low, high = ranges.pop(0)
+            tried = []
+            for i in range(max(1, high - low - size + 1) if high > low else 0):
+                window = text[low:high][i : i + size]
+                both = sum((Counter(window) & Counter(want)).values())
+                pairs = licenses.align([w.encode() for w in window], [w.encode() for w in want])
+                place = {j: a for a, j in pairs}
+                whole = all(any(want[k : k + len(p)] == p for k in range(len(want))) for p in phrases)
+                for p in phrases:
+                    k = next(k for k in range(len(want)) if want[k : k + len(p)] == p)
+                    whole &= all(place.get(k + x) is not None and place[k + x] == place.get(k, -1) + x for x in range(len(p)))
+                if len(pairs) >= 0.8 * len(want) and whole:
+                    tried.append((-both, i, pairs))
+            if tried:
+                _, i, pairs = min(tried)
+                out.append((low + i + pairs[0][0], low + i + pairs[-1][0] + 1, len(pairs), name, len(want)))
+                ranges += [(low, out[-1][0]), (out[-1][1], high)]
+        return out
+
+    want = set()
+    for n, text in enumerate(texts):
+        left = sorted((c for name in templates for c in copies(text.split(), name)), key=lambda c: (c[4] - 2 * c[2], c[1] - c[0], c[0], c[3]))
+        kept = []
+        for c in left:
+            if all(c[1] <= k[0] or k[1] <= c[0] or (c[3][0] == k[3][0] and ("notice" in c[3]) != ("notice" in k[3])) for k in kept):
+                kept.append(c)
+        want |= {(n, c[3], c[2], c[0], c[1]) for c in kept}
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates, 0.8, telling).collect()
+    got = {(r.doc_id, r.license, r.n_matched, r.start_word, r.end_word) for r in found}
+    assert len(got) == len(found) > 40 and got == want
