@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shopweave.functions.core import md5_fraction
 from shopweave.operators.messages import EdgeTable
 from shopweave.operators.skew import ROWS_PER_SALT, heavy_keys, skew_join
-from shopweave.session import BucketedTable, ensure_checkpoint_dir, stored
+from shopweave.session import BucketedTable, ensure_checkpoint_dir, stored, tasks_for
 
 #: Width of a bucket of path rounds, in mean edges.
 DELTA_EDGES = 4.0
@@ -297,10 +297,9 @@ def power_iteration_clusters(pairs: DataFrame, k: int, max_iter: int = 10, init_
     """
     from pyspark.ml.clustering import PowerIterationClustering
 
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode=init_mode, weightCol="weight")
     data = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
-    return pic.assignClusters(data.repartition(n, "src", "dst")).select(F.col("id").cast("long"), F.col("cluster").cast("int"))
+    return pic.assignClusters(data.repartition(tasks_for(pairs), "src", "dst")).select(F.col("id").cast("long"), F.col("cluster").cast("int"))
 
 
 def label_check(assignments: DataFrame, k: int) -> DataFrame:

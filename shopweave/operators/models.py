@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shopweave.functions.core import md5_bucket
 from shopweave.schemas import FEATURE_COLUMNS
-from shopweave.session import stored
+from shopweave.session import stored, tasks_for
 
 # Fixed model settings of the source job.
 FOREST_SEED = 5043
@@ -71,6 +71,11 @@ def index_labels(df: DataFrame, label: str, out: str = "label_index") -> DataFra
     return StringIndexer(inputCol="_label", outputCol=out, stringOrderType="frequencyDesc").fit(text).transform(text).drop("_label")
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """The rows dealt and ordered by their key, so that what a learner draws per task is alike on every layout of its input."""
+    return rows.repartition(tasks_for(rows), *KEYS).sortWithinPartitions(*KEYS)
+
+
 def classifier_predictions(features_cls: DataFrame) -> DataFrame:
     """Random forest (gini, depth 4, 32 trees) on the 8 features; predictions on the 20 % held out.
 
@@ -85,7 +90,7 @@ def classifier_predictions(features_cls: DataFrame) -> DataFrame:
     rf = RandomForestClassifier(
         impurity="gini", maxDepth=FOREST_DEPTH, numTrees=FOREST_TREES, featureSubsetStrategy="auto", seed=FOREST_SEED
     )
-    pred = rf.fit(assemble(train)).transform(assemble(test))
+    pred = rf.fit(assemble(laid_out(train))).transform(assemble(test))
     return pred.select(
         "user_id", "shop_id", "label", "prediction", vector_to_array("probability")[1].alias("p_buy")
     )
@@ -118,8 +123,8 @@ def auc(pred: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(F.when(is_pos, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(is_pos, 0).otherwise(1)).cast("long").alias("neg"),
     )
-    n = int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    g = stored(g.repartitionByRange(n, "s").withColumn("part", F.spark_partition_id()), "auc")
+    g = stored(g, "scores")
+    g = stored(g.repartitionByRange(tasks_for(g), "s").withColumn("part", F.spark_partition_id()), "auc")
     rows_before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     parts = g.groupBy("part").agg(F.sum("neg").alias("part_neg"))
     parts = parts.select("part", F.coalesce(F.sum("part_neg").over(rows_before), F.lit(0)).alias("base"))
@@ -161,7 +166,7 @@ def regression_predictions(features_reg: DataFrame, fit_fraction: float = SAMPLE
 
     data = stored(features_reg.withColumn("label", F.col("after_buy_count").cast("double")), "regress")
     train, test = split_parts(data, KEYS)
-    fit = assemble(stored(fit_sample(train, KEYS, fit_fraction), "fit"))
+    fit = assemble(laid_out(stored(fit_sample(train, KEYS, fit_fraction), "fit")))
     indexer = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=MAX_CATEGORIES, handleInvalid="keep").fit(fit)
     fit = indexer.transform(fit)
     rf = RandomForestRegressor(labelCol="label", featuresCol="indexed", featureSubsetStrategy="auto",
@@ -181,7 +186,7 @@ def stack_logistic(pred: DataFrame) -> DataFrame:
     lr = LogisticRegression(maxIter=LR_ITER, regParam=LR_REG, elasticNetParam=LR_ELASTIC_NET,
                             featuresCol="lr_features", labelCol="label", predictionCol="lr_prediction",
                             probabilityCol="lr_probability", rawPredictionCol="lr_raw")
-    return lr.fit(assemble(train, names, "lr_features")).transform(assemble(test, names, "lr_features"))
+    return lr.fit(assemble(laid_out(train), names, "lr_features")).transform(assemble(test, names, "lr_features"))
 
 
 def stack_gbt(pred: DataFrame) -> DataFrame:
@@ -192,4 +197,4 @@ def stack_gbt(pred: DataFrame) -> DataFrame:
     train, test = split_parts(pred, KEYS, salt="stack")
     gbt = GBTRegressor(labelCol="label", featuresCol="gbt2_features", maxIter=GBT_ITER, seed=FOREST_SEED,
                        predictionCol="gbt2_prediction")
-    return gbt.fit(assemble(train, cols, "gbt2_features")).transform(assemble(test, cols, "gbt2_features"))
+    return gbt.fit(assemble(laid_out(train), cols, "gbt2_features")).transform(assemble(test, cols, "gbt2_features"))

@@ -469,6 +469,32 @@ def q_recommend_many_unweighted(spark, sf):
     return _recommend_many(spark, sf, False)
 
 
+# Ranks to a stated accuracy, for many users on the whole graph.
+PUSH_STEP = 15
+PUSH_EPS = 1e-4
+PUSH_ROUNDS = 12
+
+
+def _push_sql() -> str:
+    parts = ["dg as (select src as id, count(*) as n from en group by src)",
+             f"s0 as (select distinct src as seed, src as id, 0.0::double as est, {_f(1.0 - DAMPING)} as res from en where src like 'u%' and cast(substr(src, 2) as bigint) % {PUSH_STEP} = 0)"]
+    for k in range(1, PUSH_ROUNDS + 1):
+        parts.append(f"p{k} as (select s.seed, s.id, s.res from s{k - 1} s left join dg on dg.id = s.id where s.res > {PUSH_EPS} * greatest(coalesce(dg.n, 0), 1))")
+        parts.append(f"s{k} as (select seed, id, sum(est) as est, sum(res) as res from (select * from s{k - 1} union all select seed, id, res, -res from p{k} "
+                     f"union all select p.seed, en.dst, 0.0, {_f(DAMPING)} * p.res * en.weight from p{k} p join en on en.src = p.id) x group by seed, id)")
+    return base_ctes() + _graph_ctes("recent") + ",\n" + ",\n".join(parts) + f"""
+select cast(substr(seed, 2) as bigint) as user_id, id, round(est, 9) as rank, round(res, 9) as residual from s{PUSH_ROUNDS} where est > 0"""
+
+
+@register("push_rank_many", _push_sql())
+def q_push_rank_many(spark, sf):
+    pay, view, _ = _logs(spark, sf)
+    e = recommendation_graph(pay, view, START, AS_OF, ids="fold")
+    seeds = pay.select("user_id").unionByName(view.select("user_id")).filter(F.col("user_id") % PUSH_STEP == 0).distinct().select(G.fold_user("user_id").alias("seed"))
+    ranks, _ = R.push_rank_many(e, seeds, PUSH_EPS, DAMPING, max_rounds=PUSH_ROUNDS)
+    return named(ranks).select(F.floor(F.col("seed") / 2).cast("long").alias("user_id"), "id", round9("rank").alias("rank"), round9("residual").alias("residual"))
+
+
 # The same results by vertex programs over triplets.
 
 @register("pregel_normalized", base_ctes() + _graph_ctes("recent") + """
@@ -1011,20 +1037,26 @@ def q_model_residuals(spark, sf):
 def _rmse_row(pred: DataFrame, model: str, prediction: str) -> DataFrame:
     from shopweave.operators.models import rmse, rmse_evaluator
 
+    pred = stored(pred.select("label", prediction), "scored")
     value = rmse_evaluator(pred, prediction)
     agrees = F.abs(F.col("rmse") - F.lit(value)) < 1e-9
-    return rmse(pred, prediction, "label").select(F.lit(model).alias("model"), "n", agrees.alias("rmse_agrees"))
+    spread = pred.agg(F.stddev_pop("label").alias("std"), F.avg("label").alias("mean"))
+    row = rmse(pred, prediction, "label").join(F.broadcast(spread))  # a row each
+    return row.select(F.lit(model).alias("model"), "n", agrees.alias("rmse_agrees"), round9("mean").alias("label_mean"), round9("std").alias("label_std"), (F.col("rmse") < F.col("std")).alias("beats_mean"))
+
+
+_SPREAD = "round(avg(cast(after_buy_count as double)), 9) as label_mean, round(stddev_pop(cast(after_buy_count as double)), 9) as label_std, true as beats_mean"
 
 
 @register("reg_rmse", _feat_cte("regression") + f"""
-select model, count(*) as n, true as rmse_agrees from feat, (values ('rf'), ('gbt')) m(model) where {_HELD} group by model""")
+select model, count(*) as n, true as rmse_agrees, {_SPREAD} from feat, (values ('rf'), ('gbt')) m(model) where {_HELD} group by model""")
 def q_reg_rmse(spark, sf):
     p = _regression(spark, sf)
     return _rmse_row(p, "rf", "rf_prediction").unionByName(_rmse_row(p, "gbt", "gbt_prediction"))
 
 
 @register("stack_lr_rmse", _feat_cte("regression") + f"""
-select 'lr_stack' as model, count(*) as n, true as rmse_agrees from feat where {_STACK_HELD}""")
+select 'lr_stack' as model, count(*) as n, true as rmse_agrees, {_SPREAD} from feat where {_STACK_HELD}""")
 def q_stack_lr_rmse(spark, sf):
     from shopweave.operators.models import stack_logistic
 
@@ -1033,7 +1065,7 @@ def q_stack_lr_rmse(spark, sf):
 
 
 @register("stack_gbt_rmse", _feat_cte("regression") + f"""
-select 'gbt_stack' as model, count(*) as n, true as rmse_agrees from feat where {_STACK_HELD}""")
+select 'gbt_stack' as model, count(*) as n, true as rmse_agrees, {_SPREAD} from feat where {_STACK_HELD}""")
 def q_stack_gbt_rmse(spark, sf):
     from shopweave.operators.models import stack_gbt
 
