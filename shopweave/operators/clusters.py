@@ -298,8 +298,8 @@ def power_iteration_clusters(pairs: DataFrame, k: int, max_iter: int = 10, init_
     from pyspark.ml.clustering import PowerIterationClustering
 
     pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode=init_mode, weightCol="weight")
-    data = pairs.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
-    return pic.assignClusters(data.repartition(tasks_for(pairs), "src", "dst")).select(F.col("id").cast("long"), F.col("cluster").cast("int"))
+    data = stored(pairs.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")), "pairs")
+    return pic.assignClusters(data.repartition(tasks_for(data), "src", "dst")).select(F.col("id").cast("long"), F.col("cluster").cast("int"))
 
 
 def label_check(assignments: DataFrame, k: int) -> DataFrame:

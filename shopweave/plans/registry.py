@@ -1085,7 +1085,7 @@ def _pic(sim: DataFrame) -> DataFrame:
     from shopweave.operators.clusters import power_iteration_clusters
     from shopweave.operators.similarity import symmetric_pairs
 
-    return stored(power_iteration_clusters(stored(symmetric_pairs(sim), "pairs"), PIC_K), "pic")
+    return stored(power_iteration_clusters(symmetric_pairs(sim), PIC_K), "pic")
 
 
 @register("pic_clusters", base_ctes() + _sim_ctes() + """

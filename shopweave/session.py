@@ -80,6 +80,8 @@ TASK_BYTES = 128 << 20
 def tasks_for(df: DataFrame) -> int:
     """How many tasks to deal a stored table to: by its size as Spark measures it, and no fewer than ``spark.sql.shuffle.partitions``."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # what Spark takes for unknown
+        raise ValueError("store the table first: Spark doesn't know its size")
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
