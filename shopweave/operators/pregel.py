@@ -1,6 +1,6 @@
 """Vertex programs over triplets, in Column form.
 
-A graph is ``vertices(id, state…)`` and ``edges(src, dst, attributes…)``. A program is given by
+A graph is ``vertices(id, state…)``, a row per vertex, and ``edges(src, dst, attributes…)``. A program is given by
 
 - ``initial``: the message that every vertex gets first (None: no vertex gets one),
 - ``update``: the new state columns of a vertex that got a message, over its ``id``, its state and ``msg``,
