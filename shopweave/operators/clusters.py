@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.functions.core import md5_fraction
@@ -54,7 +54,11 @@ def cut_weight(edges: DataFrame, assignments: DataFrame, default: int = 0) -> Da
     Each direction of a pair counts with its own weight. Also returns the total
     weight and the number of cut edges.
     """
-    e = label_edges(edges, assignments, default)
+    return cut_sums(label_edges(edges, assignments, default))
+
+
+def cut_sums(e: DataFrame) -> DataFrame:
+    """``cut_weight``'s row of labelled edges."""
     cut = F.col("c_src") != F.col("c_dst")
     return e.agg(
         F.sum(F.when(cut, F.col("weight")).otherwise(F.lit(0.0))).alias("cut_weight"),
@@ -65,20 +69,13 @@ def cut_weight(edges: DataFrame, assignments: DataFrame, default: int = 0) -> Da
 
 
 def write_labelled_edges(edges: DataFrame, assignments: DataFrame, path: str, default: int = 0) -> DataFrame:
-    """``label_edges`` written to ``path``; returns ``cut_weight``'s row, gathered while the edges are written.
+    """``label_edges`` written to ``path``; returns ``cut_weight``'s row, summed up from the three columns written that it needs.
 
-    The sums are metrics of the write itself, so the edges are gone through once. They
-    come from each task's last successful run, also if executors are lost.
+    (Metrics observed during the write would spare that scan, but a session that has observed any can't run
+    the models of ``pyspark.ml`` any more: Spark then fails to serialise it.)
     """
-    cut = F.col("c_src") != F.col("c_dst")
-    got = Observation()
-    labelled = label_edges(edges, assignments, default).observe(
-        got, F.sum(F.when(cut, F.col("weight")).otherwise(F.lit(0.0))).alias("cut_weight"), F.sum("weight").alias("total_weight"),
-        F.count_if(cut).alias("cut_edges"), F.count(F.lit(1)).alias("edges"),
-    )
-    labelled.write.mode("overwrite").parquet(path)
-    names = ["cut_weight", "total_weight", "cut_edges", "edges"]
-    return edges.sparkSession.createDataFrame([tuple(got.get[c] for c in names)], "cut_weight double, total_weight double, cut_edges long, edges long")
+    label_edges(edges, assignments, default).write.mode("overwrite").parquet(path)
+    return cut_sums(edges.sparkSession.read.parquet(path))
 
 
 def to_distances(edges: DataFrame) -> DataFrame:
@@ -132,10 +129,9 @@ def bucketed_paths(table: EdgeTable, sources: DataFrame, delta: float | None = N
             sent = table.triplets(useful).withColumn("way", F.col("dist") + F.col("w")).filter("farthest is null or way < farthest")
             near = sent.groupBy("source", F.col("dst").alias("id")).agg(F.min("way").alias("dist"))
             better = near.join(best, ["source", "id"], "left").filter("best is null or dist < best").select("source", "id", "dist", F.lit(k).alias("round"))
-            got = Observation()
-            log.append(better.observe(got, F.count_if(F.col("dist") < limit).alias("below")))
+            log.append(better)
             frontier = log.read().filter((F.col("round") == k) & (F.col("dist") < limit))
-            if not got.get["below"]:
+            if frontier.isEmpty():
                 waiting = log.read().groupBy("source", "id").agg(F.min("dist").alias("dist")).filter(F.col("dist") >= limit)
                 first = waiting.agg(F.min("dist")).first()[0]
                 if first is None:

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.operators.messages import EdgeTable
@@ -88,10 +88,8 @@ def pregel(
                 sent = [triplets.select(F.explode(pair).alias("m")).select("m.id", "m.msg")]
             merged = sent[0].filter("msg is not null").groupBy("id").agg(merge("msg").alias("msg"))
             met = state.select("id", "v.*").join(merged, "id", "left")
-            got = Observation()
-            met = met.select("id", updated(met).alias("v"), F.col("msg").isNotNull().alias("on"))
-            state = rounds.write(met.observe(got, F.count_if("on").alias("n")))
-            if not got.get["n"]:
+            state = rounds.write(met.select("id", updated(met).alias("v"), F.col("msg").isNotNull().alias("on")))
+            if state.filter("on").isEmpty():
                 break
     finally:
         rounds.close()

@@ -662,7 +662,7 @@ def q_cut_weight(spark, sf):
 
 @register("cut_weight_written", _SQL["cut_weight"])
 def q_cut_weight_written(spark, sf):
-    # The same sums, gathered while the labelled edges are written.
+    # The same sums, from the labelled edges as written.
     from shopweave.operators.clusters import write_labelled_edges
 
     c = write_labelled_edges(*_graph_and_clusters(spark, sf), _folder(spark, "labelled"))

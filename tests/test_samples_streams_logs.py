@@ -1,4 +1,4 @@
-"""Samples with replacement, late rows of a stream, malformed log lines, sums gathered while writing."""
+"""Samples with replacement, late rows of a stream, malformed log lines, sums of written edges."""
 
 import random
 
@@ -72,7 +72,7 @@ def test_closed_windows_are_appended_once(spark, scratch):
     assert report["arrived"] == 8
 
 
-def test_sums_gathered_while_writing(spark, scratch):
+def test_sums_of_written_edges(spark, scratch):
     a = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, cluster int")
     got = C.write_labelled_edges(edges(spark, TOY), a, f"{scratch}/labelled").first()
     assert got == C.cut_weight(edges(spark, TOY), a).first() and spark.read.parquet(f"{scratch}/labelled").count() == len(TOY)
