@@ -27,9 +27,12 @@ is shared only by words that begin alike, so distinct words are dealt by their f
 more of them the more words there are, and each shard counts its own words into a table with a slot for each of
 their bits. A word's cost is worked out once, in its shard.
 
-Pairs of a word and the next are counted over all training texts by a shuffle. The most frequent words, ``HEAD``
-at most, go to every task with their counts and costs, and so do the most frequent pairs; the rest of a text's
-words and pairs are joined to them by shuffles on 64-bit hashes.
+Pairs of a word and the next are counted over all training texts in shards by the word before, in packed arrays: a
+chunk of texts sends each shard its distinct pairs and their counts once, and the shard answers with the counts of all
+chunks and with what it knows of the words before. Chunk and answers then meet by a shuffle. The pairs after a word with more than a
+quarter of a shard's tokens are spread over several shards by the second word; such words go to every task, ``HEAVY`` at
+most. A word before is known by 64 bits, the word after it by 40. The texts are read twice by place, so they must
+come from a stored table (or in a fixed order); a change between the reads is an error.
 
 Null text is empty: just the end symbol. Rows with a null ``doc_id`` are scored but
 neither held out nor learned from. Texts of any length are scored whole. Without
@@ -47,7 +50,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopweave.llm.common import Shared, pieces, to_bytes
@@ -64,8 +67,12 @@ LEVELS = np.array([1, 2, 4, 10, 40, 200])  # of how well a context is known
 GATES = (len(LEVELS) + 1) ** 2
 SHARES = np.array([0.0, 0.03, 0.15, 0.5])  # of a text's own earlier words, by expert
 EXPERTS = 2 * len(SHARES)  # each share without and with the word before
-HEAD = 200_000
-HEAD_PAIRS = 1_000_000
+SHARD_TOKENS = 2_000_000  # tokens in a shard of pairs
+HEAVY = 1_000_000  # words at most whose pairs are spread over shards
+CHUNK_BYTES = 8 << 20
+#: Arrays of a chunk's tokens, and of what it is told, with their kinds.
+CODED = {"number": np.int32, "start": np.int64, "shard": np.int64, "heavy": np.int64, "n_bytes": np.int64, "ids": np.int64, "no_id": np.bool_, "held": np.bool_}
+TOLD = {"n": np.int64, "cost": np.float32, "followers": np.int32, "met": np.int64}
 COUNTED_WORDS = 300_000
 CELLS = (64, 33)  # last byte (low bits), log odds from -8 to 8 by halves
 BATCH = 1024
@@ -256,15 +263,6 @@ def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndar
     return np.logaddexp.reduce(np.add.reduceat(expert_logs(costs, own_share(word, start)), start, axis=1), 0) - math.log(len(SHARES))
 
 
-def expert_columns(logs: Column, own: Column) -> list[Column]:
-    """The same as ``expert_logs``, in SQL."""
-    out = []
-    for share in SHARES.tolist():
-        mixed = F.log((1 - share) * F.exp(logs) + share * own)
-        out.append(F.when(own < 0, logs).when(own == 0, logs + math.log(1 - share)).otherwise(mixed) if share else logs)
-    return out
-
-
 def word_counts(texts: DataFrame, shared: Shared) -> DataFrame:
     """(word, n): all words and how often the training texts have them; tasks add up before the shuffle."""
 
@@ -352,17 +350,6 @@ def read_shard(batches: Iterator[pa.RecordBatch], short: tuple[np.ndarray, int])
     return Shard(words, np.concatenate(times), *short)
 
 
-def least_head_count(counts: DataFrame, head: int) -> int:
-    """A count that at most ``head`` words reach, from a histogram by eighths of powers of two."""
-    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
-    room, least = head, 1 << 62
-    for r in counts.groupBy(step).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
-        if (room := room - r["words"]) < 0:
-            break
-        least = r["least"]
-    return least
-
-
 def add_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray, sizes: Sizes = Sizes(), short: bool = True) -> None:
     """Adds the words' bits to ``sums`` (zeros in the first row, ones in the second), those of short contexts too if ``short``."""
     flat = sums.reshape(-1)
@@ -398,8 +385,8 @@ def train(shards: DataFrame, short: tuple[np.ndarray, int]) -> tuple[np.ndarray,
     return np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], 0.3), maps
 
 
-def word_costs(shards: DataFrame, short: tuple[np.ndarray, int], learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(word, n, cost): the words with their hash, training count and natural log probability."""
+def word_costs(shards: DataFrame, short: tuple[np.ndarray, int], learned: tuple[np.ndarray, np.ndarray], n_shards: int) -> DataFrame:
+    """(shard, word, n, cost): the words with their hash and its shard of pairs, training count and natural log probability."""
     shipped = shards.sparkSession.sparkContext.broadcast((short, learned))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,44 +395,10 @@ def word_costs(shards: DataFrame, short: tuple[np.ndarray, int], learned: tuple[
         model = Model(shard.n0, shard.n1, *learned, shard.sizes)
         for k in range(0, len(shard.words), 1 << 14):
             part = shard.words[k : k + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat_words(part).hash.view(np.int64)), pa.array(shard.times[k : k + len(part)]), pa.array(model.costs(part))], ["word", "n", "cost"])
-
-    return shards.mapInArrow(run, "word long, n long, cost double")
-
-
-def pair_counts(texts: DataFrame, shared: Shared) -> DataFrame:
-    """(pair, before, n): how often the training texts have each pair of a word (or their begin) and the next (or their end)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 16 << 20):
-            words, start, _ = tokens(to_bytes(batch.column("text")))
-            before = befores(words, start)
-            pairs, at, n = np.unique(pair_hash(before, words), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(n)], ["pair", "before", "n"])
-
-    found = texts.filter("learned").select("text").mapInArrow(run, "pair long, before long, n long")
-    return shared.table(found.groupBy("pair", "before").agg(F.sum("n").alias("n")), "pairs")
+            hashes = flat_words(part).hash
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(hashes, n_shards)), pa.array(hashes.view(np.int64)), pa.array(shard.times[k : k + len(part)]), pa.array(model.costs(part))], ["shard", "word", "n", "cost"])
 
-
-def discount(pairs: DataFrame) -> float:
-    """What is taken off each pair's count, between 0 and 1, from how many pairs stand once and twice."""
-    once, twice = pairs.agg(F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
-    return (once + 0.5) / (once + 2 * twice + 1)
-
-
-class Head:
-    """The most frequent words and pairs by hash."""
-
-    def __init__(self, table: pa.Table, pairs: pa.Table, begin: tuple[int, int], end: tuple[int, float], off: float):
-        words = np.append(table.column("word").to_numpy().view(Z), [Z(BEGIN_HASH), Z(END_HASH)])
-        order = np.argsort(words)
-        self.words = words[order]
-        self.n = np.append(table.column("n").to_numpy(), [begin[0], end[0]])[order]
-        self.cost = np.append(table.column("cost").to_numpy(), [0.0, end[1]])[order]
-        self.followers = np.append(table.column("followers").to_numpy(), [begin[1], 0])[order]
-        order = np.argsort(pairs.column("pair").to_numpy().view(Z))
-        self.pairs, self.met = pairs.column("pair").to_numpy().view(Z)[order], pairs.column("n").to_numpy()[order]
-        self.off = off
+    return shards.mapInArrow(run, "shard long, word long, n long, cost double")
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -456,16 +409,23 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def befores(words: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The word before each; the begin before a text's first."""
-    out = np.empty_like(words)
-    out[1:] = words[:-1]
-    out[start] = BEGIN_HASH
-    return out
+def pack(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed: first bytes of all numbers first, then the second ones, and so on."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
 
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    raw = pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(before * SPREAD[0] + word * SPREAD[1])
+
+def shard_of(words: np.ndarray, n_shards: int) -> np.ndarray:
+    """The shard of each word's pairs; it grows with the hash."""
+    return ((words >> Z(32)) * Z(n_shards) >> Z(32)).astype(np.int64)
 
 
 def paired_logs(logs: np.ndarray, n: np.ndarray, followers: np.ndarray, met: np.ndarray, off: float) -> np.ndarray:
@@ -477,12 +437,6 @@ def paired_logs(logs: np.ndarray, n: np.ndarray, followers: np.ndarray, met: np.
         return np.where(share > 0, both, logs + np.log(left))
 
 
-def paired_column(logs: Column, n: Column, followers: Column, met: Column, off: float) -> Column:
-    """The same as ``paired_logs``, in SQL."""
-    left = F.when(n > 0, off * followers / n).otherwise(1.0)
-    return F.when(met > 0, F.log(left * F.exp(logs) + (met - off) / n)).otherwise(logs + F.log(left))
-
-
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word and end symbol, first of each text, bytes of each text)."""
     w = flat_words(texts, lower=True)
@@ -493,47 +447,167 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, w.first[:-1] + nth, size[w.first[1:]] - size[w.first[:-1]] + np.diff(w.first) + 1
 
 
-def score_texts(texts: list[bytes], head: Head) -> tuple[dict, dict]:
-    """Of each text: sums over the words that the head tells all about. Of each other word: its text, its share in the text so far, what is known and the hashes of the rest."""
+class Heavy:
+    """Words before whose pairs are spread over several shards, by hash: how many shards, and what all tasks know of them."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, cost: np.ndarray, shard_tokens: int, n_shards: int):
+        order = np.argsort(words)
+        self.words, self.n, self.cost, self.n_shards = words[order], n[order], cost[order], n_shards
+        self.ways = np.clip(-(-4 * self.n // shard_tokens), 1, n_shards)
+        self.followers = np.zeros(len(words), np.int64)
+
+
+class Chunk:
+    """The tokens of some texts, as numbers of their distinct words, which are in the order of their hashes.
+
+    The begin has number 0, the end 1. Distinct pairs are in the order in which they are asked for: by shard, word before, word.
+    """
+
+    def __init__(self, number: np.ndarray, start: np.ndarray, shard: np.ndarray, heavy: np.ndarray, known: Heavy):
+        self.number, self.start = number, start
+        self.before = np.append(0, number[:-1])
+        self.before[start] = 0
+        keys, at = np.unique(self.before * len(shard) + number, return_inverse=True)
+        b, w = keys // len(shard), keys % len(shard)
+        ways = np.where(heavy >= 0, known.ways[heavy], 1)[b]
+        to = (shard[b] + shard[w] * ways // known.n_shards) % known.n_shards
+        order = np.argsort(to, kind="stable")
+        self.to, self.b, self.w = to[order], b[order], w[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[at]  # of each token
+        self.runs = np.flatnonzero(np.append(True, (np.diff(self.to) != 0) | (np.diff(self.b) != 0)))  # where another word before begins
+
+
+def numbered(texts: list[bytes], known: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, their shards, their places among the heavy ones or -1, number of each token, first of each text, bytes of each text)."""
     words, start, n_bytes = tokens(texts)
-    before = befores(words, start)
-    pair = pair_hash(before, words)
-    distinct, number = np.unique(words, return_inverse=True)
-    at = find(head.words, distinct)[number]
-    at_before = np.append(0, at[:-1])
-    at_before[start] = find(head.words, np.array([BEGIN_HASH], Z))[0]
-    at_pair = find(head.pairs, pair)
-    own = own_share(number, start)
-    n, cost, n_before, followers = head.n[at], head.cost[at], head.n[at_before], head.followers[at_before]
-    met = head.met[at_pair] if len(head.met) else np.zeros(len(words), np.int64)
-    common, plain = at >= 0, (at >= 0) & (at_before >= 0)
-    whole = plain & (at_pair >= 0)
-    add = lambda x, where: np.add.reduceat(np.where(where, x, 0), start, axis=-1)
-    size = np.diff(np.append(start, len(words)))
-    sums = {"n_tokens": size, "n_bytes": n_bytes, "n_head": add((n > 0).astype(np.int64), common), "head_sum": add(np.log10(n + 0.1), common)}
-    logs = np.concatenate([expert_logs(cost, own), expert_logs(paired_logs(cost, n_before, followers, met, head.off), own)])
-    sums |= {f"log{e}": x for e, x in enumerate(add(logs, whole))}
-    rest = np.flatnonzero(~whole)
-    known = lambda x, where: pa.array(x[rest], mask=~where[rest])
-    # a key that needn't be looked up is null, or where it meets others in a join a hash that no table has
-    words_of = {"word": known(np.where(common, pair, words).view(np.int64), ~plain), "before": known(np.where(at_before >= 0, pair, before).view(np.int64), ~plain)}
-    words_of |= {"pair": np.where(at_pair >= 0, ~pair, pair).view(np.int64)[rest], "met": known(met, at_pair >= 0), "own": own[rest]}
-    words_of |= {"cost": known(cost, common), "n_before": known(n_before, at_before >= 0), "followers": known(followers, at_before >= 0)}
-    return sums, {"text": np.repeat(np.arange(len(texts)), size)[rest], **words_of}
-
-
-def looked_up(rest: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The words that the head doesn't tell all about, with what the tables say; ``n`` is null for a word of the head."""
-    columns = ["place", "own", "pair", "met", "cost", "n_before", "followers"]
-    w = words.select("word", "n", F.col("cost").alias("w_cost"))
-    b = words.select(F.col("word").alias("before"), F.col("n").alias("b_n"), F.col("followers").alias("b_followers"))
-    rare = rest.filter("word is not null").join(w, "word", "left").join(b, "before", "left")
-    rare = rare.select("place", "own", "pair", "met", F.coalesce("cost", "w_cost").alias("cost"), F.coalesce("n_before", "b_n").alias("n_before"), F.coalesce("followers", "b_followers").alias("followers"), "n")
-    both = rest.filter("word is null").select(*columns, F.lit(None).cast("long").alias("n")).unionByName(rare)
-    return both.join(pairs.select("pair", F.col("n").alias("p_n")), "pair", "left").withColumn("met", F.coalesce("met", "p_n", F.lit(0)))
-
-
-def score(docs: DataFrame, head: int = HEAD, head_pairs: int = HEAD_PAIRS) -> DataFrame:
+    distinct, number = np.unique(np.append(np.array([BEGIN_HASH, END_HASH], Z), words), return_inverse=True)
+    return distinct, shard_of(distinct, known.n_shards), find(known.words, distinct), number[2:], start, n_bytes
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The texts of a task in chunks, numbered alike on every read of a stored table."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in pieces(batches, "text", CHUNK_BYTES):
+        yield chunk, batch
+        chunk += 1
+
+
+def requests(texts: DataFrame, known) -> DataFrame:
+    """(chunk, shard, befores, runs, words, n): each chunk's distinct pairs in each shard, with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, batch in in_chunks(batches):
+            distinct, shard, heavy, number, start, _ = numbered(to_bytes(batch.column("text")), known.value)
+            c = Chunk(number, start, shard, heavy, known.value)
+            learned = np.repeat(batch.column("learned").to_numpy(zero_copy_only=False), np.diff(np.append(start, len(number))))
+            n = np.bincount(c.pair[learned], minlength=len(c.b)).astype(np.int32)
+            firsts = np.flatnonzero(np.append(True, np.diff(c.to) != 0))
+            rows = []
+            for lo, hi in zip(firsts.tolist(), [*firsts[1:].tolist(), len(c.to)]):
+                runs = c.runs[np.searchsorted(c.runs, lo) : np.searchsorted(c.runs, hi)]
+                befores = distinct[c.b[runs]]
+                lengths = np.diff(np.append(runs, hi)).astype(np.int32)
+                rows.append((chunk, int(c.to[lo]), pack(np.diff(befores, prepend=Z(0))), pack(lengths), pack(distinct[c.w[lo:hi]] >> Z(24)), pack(n[lo:hi])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int64()] + 4 * [pa.binary()])], ["chunk", "shard", "befores", "runs", "words", "n"])
+
+    return texts.select("learned", "text").mapInArrow(run, "chunk long, shard long, befores binary, runs binary, words binary, n binary")
+
+
+def answers(asked: DataFrame, words: DataFrame, known) -> DataFrame:
+    """What a shard knows of the pairs it is asked for.
+
+    A row for each request: ``n``, ``cost`` and ``followers`` of its words before, ``met`` of its pairs. Rows without a chunk:
+    a heavy word's followers in this shard, and how many pairs stand once and twice.
+    """
+    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), *[(c, pa.binary()) for c in ("n", "cost", "followers", "met")], *[(c, pa.int64()) for c in ("word", "n_followers", "once", "twice")]])
+
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
+        if not len(asked):
+            return schema.empty_table()
+        rows = asked.to_pylist()
+        befores = [np.cumsum(unpack(r["befores"], Z), dtype=Z) for r in rows]
+        runs = [unpack(r["runs"], np.int32) for r in rows]
+        distinct, at = np.unique(np.concatenate(befores), return_inverse=True)
+        run_ends = np.cumsum([len(b) for b in befores])
+        b = np.repeat(at, np.concatenate(runs))
+        keys = mix64(distinct[b] * SPREAD[0] + np.concatenate([unpack(r["words"], Z) for r in rows]) * SPREAD[1])
+        _, first, pair = np.unique(keys, return_index=True, return_inverse=True)
+        met = np.bincount(pair, np.concatenate([unpack(r["n"], np.int32) for r in rows])).astype(np.int64)
+        followers = np.bincount(b[first][met > 0], minlength=len(distinct))
+        order = np.argsort(hashes := words.column("word").to_numpy().view(Z))
+        place = find(hashes[order], distinct)
+        n, cost = (np.where(place >= 0, np.append(words.column(c).to_numpy()[order], 0)[place], 0) for c in ("n", "cost"))
+        out, lo = [], 0
+        for r, hi, lengths, end in zip(rows, run_ends.tolist(), runs, np.cumsum([x.sum() for x in runs]).tolist()):
+            mine = at[hi - len(lengths) : hi]
+            out.append({"chunk": r["chunk"], "shard": r["shard"], "n": pack(n[mine].astype(np.int64)), "cost": pack(cost[mine].astype(np.float32)), "followers": pack(followers[mine].astype(np.int32)), "met": pack(met[pair[lo:end]])})
+            lo = end
+        for k in np.flatnonzero(find(known.value.words, distinct) >= 0):
+            out.append({"word": int(distinct[k : k + 1].view(np.int64)[0]), "n_followers": int(followers[k])})
+        out.append({"once": int((met == 1).sum()), "twice": int((met == 2).sum())})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    n_shards = known.value.n_shards
+    left, right = asked.repartition(n_shards, "shard").groupBy("shard"), words.repartition(n_shards, "shard").groupBy("shard")
+    return left.cogroup(right).applyInArrow(run, "chunk long, shard long, n binary, cost binary, followers binary, met binary, word long, n_followers long, once long, twice long")
+
+
+def discount(once: int, twice: int) -> float:
+    """What is taken off each pair's count, between 0 and 1, from how many pairs stand once and twice."""
+    return (once + 0.5) / (once + 2 * twice + 1)
+
+
+def score_texts(c: Chunk, n: np.ndarray, cost: np.ndarray, followers: np.ndarray, met: np.ndarray, off: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: known tokens, sum of log10 of their counts and 0.1, natural log probability. ``n``, ``cost`` and ``followers`` are by word, ``met`` by pair."""
+    own, logs = own_share(c.number, c.start), cost[c.number]
+    paired = paired_logs(logs, n[c.before], followers[c.before], met[c.pair], off)
+    add = lambda x: np.add.reduceat(x, c.start, axis=-1)
+    experts = [add(x) for each in (logs, paired) for x in expert_logs(each, own)]
+    counts = n[c.number]
+    return add((counts > 0).astype(np.int64)), add(np.log10(counts + 0.1)), np.logaddexp.reduce(experts, 0) - math.log(EXPERTS)
+
+
+def score_chunks(texts: DataFrame, told: DataFrame, known, end: tuple[int, float], off: float) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_bytes, n_known, base, log): a row per text, from its chunk's tokens and what the shards told."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, batch in in_chunks(batches):
+            _, shard, heavy, number, start, n_bytes = numbered(to_bytes(batch.column("text")), known.value)
+            ids, held = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
+            coded = [number.astype(np.int32), start, shard, heavy, n_bytes, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), held]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([pack(x)]) for x in coded]], ["chunk", *CODED])
+
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("log", pa.float64())])
+
+    def run(coded: pa.Table, told: pa.Table) -> pa.Table:
+        heavies = known.value
+        row = coded.to_pylist()[0]
+        number, start, shard, heavy, n_bytes, ids, no_id, held = (unpack(row[c], t) for c, t in CODED.items())
+        c = Chunk(number.astype(np.int64), start, shard, heavy, heavies)
+        rows = told.sort_by("shard").to_pylist()
+        of_words = {x: np.concatenate([unpack(r[x], t) for r in rows]) for x, t in TOLD.items()}
+        met = of_words.pop("met")
+        if len(met) != len(c.b) or len(of_words["n"]) != len(c.runs):
+            raise RuntimeError("the texts came in another order on the second read; write the table first")
+        filled = {}
+        for x, values in of_words.items():
+            filled[x] = np.zeros(len(shard), np.float64 if x == "cost" else np.int64)
+            filled[x][c.b[c.runs]] = values
+            filled[x][heavy >= 0] = getattr(heavies, x)[heavy[heavy >= 0]]
+        filled["n"][1], filled["cost"][1] = end
+        n_known, base, log = score_texts(c, met=met, off=off, **filled)
+        columns = [pa.array(ids, mask=no_id), held, np.diff(np.append(start, len(number))), n_bytes, n_known, base, log]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], schema=schema)
+
+    coded = texts.select("doc_id", "held_out", "text").mapInArrow(code, "chunk long, " + ", ".join(f"{x} binary" for x in CODED))
+    told = told.filter("chunk is not null").select("chunk", "shard", *TOLD)
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, log double"
+    return coded.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, kinds)
+
+
+def score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): a row per row of ``docs``."""
     spark = docs.sparkSession
     shared = Shared(spark, "lm")
@@ -546,60 +620,30 @@ def score(docs: DataFrame, head: int = HEAD, head_pairs: int = HEAD_PAIRS) -> Da
     short = short_table(counts, ends)
     shards = in_shards(counts)
     learned = train(shards, short)
-    pairs = pair_counts(texts, shared)
-    off = discount(pairs)
-    followers = shared.table(pairs.groupBy(F.col("before").alias("word")).agg(F.count(F.lit(1)).alias("followers")), "followers")
-    begin = followers.filter(F.col("word") == BEGIN_HASH).agg(F.coalesce(F.sum("followers"), F.lit(0))).first()[0]
-    words = shared.table(word_costs(shards, short, learned).join(followers, "word", "left").fillna(0, ["followers"]), "words")
+    n_shards = 1 + total // shard_tokens
+    words = shared.table(word_costs(shards, short, learned, n_shards), "words")
     nothing = Shard([], np.zeros(0, np.int64), *short)
-    end_cost = Model(nothing.n0, nothing.n1, *learned, nothing.sizes).costs([END])[0]
-    known_words = words.filter("n > 0")
-    frequent_pairs = pairs.filter(F.col("n") >= least_head_count(pairs, head_pairs)).select("pair", "n")
-    frequent = Head(known_words.filter(F.col("n") >= least_head_count(known_words, head)).toArrow(), frequent_pairs.toArrow(), (ends, begin), (ends, end_cost), off)
-    shipped = spark.sparkContext.broadcast(vars(frequent))
-    logs = [f"log{e}" for e in range(EXPERTS)]
-    kinds = {"place": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_bytes": pa.int64(), "n_head": pa.int64(), "head_sum": pa.float64()}
-    kinds |= {c: pa.float64() for c in logs} 
-    kinds |= {c: pa.int64() for c in ("word", "before", "pair", "met", "n_before", "followers")} | {"own": pa.float64(), "cost": pa.float64()}
-    schema = pa.schema(list(kinds.items()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = Head.__new__(Head)
-        vars(frequent).update(shipped.value)
-        place = TaskContext.get().partitionId() << 40
-        for batch in pieces(batches, "text", 2 << 20):
-            of_text, of_word = score_texts(to_bytes(batch.column("text")), frequent)
-            of_text |= {"place": place + np.arange(batch.num_rows), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
-            of_word["place"] = place + of_word.pop("text")
-            place += batch.num_rows
-            for columns in (of_text, of_word):
-                n = len(columns["place"])
-                yield pa.RecordBatch.from_arrays([(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t)) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], schema=schema)
-
-    named = "place long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_head long, head_sum double, " + ", ".join(f"{c} double" for c in logs) + ", word long, before long, pair long, met long, n_before long, followers long, own double, cost double"
-    both = shared.table(texts.select("doc_id", "held_out", "text").mapInArrow(run, named), "rows")  # texts, and their words that the head doesn't tell all about
-    rows = both.filter("n_tokens is not null").select("place", "doc_id", "held_out", "n_tokens", "n_bytes", "n_head", "head_sum", *logs)
-    rest = both.filter("own is not null").select("place", "word", "before", "pair", "met", "n_before", "followers", "own", "cost")
-    tail = looked_up(rest, words, pairs).withColumn("paired", paired_column(F.col("cost"), F.col("n_before"), F.col("followers"), F.col("met"), off))
-    tail_logs = [*expert_columns(F.col("cost"), F.col("own")), *expert_columns(F.col("paired"), F.col("own"))]
-    tail = tail.groupBy("place").agg(
-        F.sum(F.log10(F.col("n") + 0.1)).alias("tail_sum"),
-        F.count(F.when(F.col("n") > 0, 1)).alias("n_tail"),
-        *[F.sum(x).alias(f"tail_{c}") for c, x in zip(logs, tail_logs)],
-    )
+    end = ends, Model(nothing.n0, nothing.n1, *learned, nothing.sizes).costs([END])[0]
+    often = words.filter(F.col("n") > max(shard_tokens // 4, total // HEAVY)).select("word", "n", "cost").toArrow()  # HEAVY rows at most
+    columns = [np.append(often.column(c).to_numpy(), x) for c, x in (("word", BEGIN_HASH), ("n", ends), ("cost", 0.0))]
+    heavy = Heavy(columns[0].view(Z), columns[1], columns[2], shard_tokens, n_shards)
+    known = spark.sparkContext.broadcast(heavy)
+    told = shared.table(answers(requests(texts, known), words, known), "answers")
+    facts = told.filter("chunk is null")
+    once, twice = facts.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
+    sums = facts.filter("word is not null").groupBy("word").agg(F.sum("n_followers").alias("n")).toArrow()
+    heavy.followers[find(heavy.words, sums.column("word").to_numpy().view(Z))] = sums.column("n").to_numpy()
+    scored = score_chunks(texts, told, spark.sparkContext.broadcast(heavy), end, discount(once, twice))
     per_token = math.log10(total + 0.1 * (vocabulary + 1))
     if not ends:  # (0 + 0.1) / (0 + 0.1 * 1)
         per_token = -1.0
-    each = [F.col(c) + F.coalesce(f"tail_{c}", F.lit(0.0)) for c in logs]
-    best = F.greatest(*each)
-    whole = (best + F.log(sum((F.exp(x - best) for x in each), F.lit(0.0)) / len(logs))) / LN10
-    return rows.join(tail, "place", "left").withColumn("score", whole).select(
+    return scored.withColumn("score", F.col("log") / LN10).select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
         "score",
         (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

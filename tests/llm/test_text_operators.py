@@ -197,7 +197,7 @@ def test_language_gradient():
 
 
 def test_lm_base_score_and_columns(docs, rows):
-    got = mixing_lm.score(docs, head=20).collect()  # most words go through the join
+    got = mixing_lm.score(docs, shard_tokens=500).collect()  # many shards
     tokens = [(i, [*brute.lowered(t).encode().split(), b"\n"]) for i, t, _, _ in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     counts = Counter(w for i, ws in tokens if i is not None and not held(i) for w in ws)
@@ -264,7 +264,7 @@ def test_lm_prefers_fluent_order(spark, docs):
     table = spark.createDataFrame([(i, fluent()) for i in learned] + [(held[0], text), (held[1], shuffled)], "doc_id long, text string")
     got = {r.doc_id: r for r in mixing_lm.score(table).filter("held_out").collect()}
     assert got[held[0]].score > 0.5 * got[held[1]].score
-    few = {r.doc_id: r for r in mixing_lm.score(table, head=3, head_pairs=2).filter("held_out").collect()}  # most words and pairs go through the joins
+    few = {r.doc_id: r for r in mixing_lm.score(table, shard_tokens=100).filter("held_out").collect()}  # many shards, and heavy words over several
     assert all(abs(few[i].score - got[i].score) < 1e-6 for i in held[:2])
 
 
