@@ -25,7 +25,8 @@ The tables grow with the input. Contexts of up to three bytes are bounded by the
 exactly, and their table has two slots or more for each. What the whole-word predictor sees after three bytes
 is shared only by words that begin alike, so distinct words are dealt by their first three bytes to shards,
 more of them the more words there are, and each shard counts its own words into a table with a slot for each of
-their bits. A word's cost is worked out once, in its shard.
+their bits. Where a shard's worth of words begins alike (links, say), a longer prefix deals them, and the shards get the
+counts of the contexts up to there from the driver, so all counts stay exact. A word's cost is worked out once, in its shard.
 
 Pairs of a word and the next are counted over all training texts in shards by the word before, in packed arrays: a
 chunk of texts sends each shard its distinct pairs and their counts once, and the shard answers with the counts of all
@@ -43,6 +44,7 @@ table gives an empty table.
 from __future__ import annotations
 
 import math
+import os.path
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -62,7 +64,8 @@ SLOT_BITS = 20  # where no other size is given
 SLOTS = 1 << SLOT_BITS
 CONTEXTS = 4
 SHORT = 3  # contexts of so many bytes at most are in the table of all words; longer ones in a shard's
-SHARD_BITS = 1 << 22  # bits of the distinct words in a shard
+SHARD_BITS = 1 << 21  # bits of the distinct words in a shard
+SPLIT = 4000  # prefixes at most that are split in a round
 LEVELS = np.array([1, 2, 4, 10, 40, 200])  # of how well a context is known
 GATES = (len(LEVELS) + 1) ** 2
 SHARES = np.array([0.0, 0.03, 0.15, 0.5])  # of a text's own earlier words, by expert
@@ -322,36 +325,112 @@ def short_table(counts: DataFrame, ends: int) -> tuple[np.ndarray, int]:
     return sums.astype(np.float32), sizes.short
 
 
+class Splits(NamedTuple):
+    """Prefixes that too many words have for one shard: how many bytes deal their words instead, and the training counts of those longer prefixes."""
+
+    depth: dict[bytes, int] = {}
+    children: dict[bytes, list[tuple[bytes, int]]] = {}
+
+    def way(self, coded: bytes) -> tuple[list[bytes], bytes]:
+        """The split prefixes of a word, and the prefix that deals it."""
+        split, key = [], coded[:SHORT]
+        while key in self.depth:
+            split.append(key)
+            key = coded[: self.depth[key]]
+        return split, key
+
+
+def split_prefixes(counts: DataFrame, most_bytes: int = SHARD_BITS // 8) -> Splits:
+    """Splits prefixes until none has words of more than ``most_bytes`` (or than a ``SPLIT``th of all words' bytes, which bounds what the driver holds).
+
+    A prefix is split behind all that its words have in common, so every round parts some of them.
+    """
+    most = max(most_bytes, (counts.agg(F.sum(F.length("word") + 1)).first()[0] or 0) // SPLIT)
+    splits, new = Splits({}, {}), None
+    while new is None or new:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[bytes, list] = {}
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    coded = word + b" "
+                    split, key = splits.way(coded)
+                    if new is None or (split and split[-1] in new):
+                        start = coded[: len(key) + 64]
+                        if (g := held.get(key)) is None:
+                            held[key] = [n, len(coded), 1, start, start]
+                        else:
+                            g[:] = g[0] + n, g[1] + len(coded), g[2] + 1, min(g[3], start), max(g[4], start)
+            columns = zip(*((k, *g) for k, g in held.items())) if held else [[]] * 6
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["key", "n", "size", "words", "low", "high"])
+
+        found = counts.select("word", "n").mapInArrow(run, "key binary, n long, size long, words long, low binary, high binary").groupBy("key")
+        found = found.agg(*[F.sum(c).alias(c) for c in ("n", "size", "words")], F.min("low").alias("low"), F.max("high").alias("high"))
+        large = (F.col("size") > most) & (F.col("words") > 1)
+        found = (found.filter(large) if new is None else found).withColumn("large", large).collect()  # large ones, or the next bytes of large ones
+        if new is not None:
+            for r in found:
+                splits.children.setdefault(splits.way(bytes(r["key"]))[0][-1], []).append((bytes(r["key"]), r["n"]))
+        new = {bytes(r["key"]): 1 + len(os.path.commonprefix([bytes(r["low"]), bytes(r["high"])])) for r in found if r["large"]}
+        splits.depth.update(new)
+    return splits
+
+
 class Shard:
     """Words that begin alike, in a mixed order, with the tables of all their contexts."""
 
-    def __init__(self, words: list[bytes], times: np.ndarray, short: np.ndarray, short_size: int):
+    def __init__(self, words: list[bytes], times: np.ndarray, short: np.ndarray, short_size: int, splits: Splits = Splits()):
         learned = times > 0
         self.words, self.times = words, times
         self.learned = [w for w, yes in zip(words, learned.tolist()) if yes], times[learned].astype(float)
-        n_bits = 8 * sum(len(w) + 1 for w in self.learned[0])
+        ways = [splits.way(w + b" ") for w in self.learned[0]]
+        counted = [len(key) for _, key in ways]  # contexts of fewer bytes are shared with other shards
+        parts = [(k, n, len(p), len(k)) for p in sorted({p for split, _ in ways for p in split}) for k, n in splits.children[p] if n]
+        n_bits = 8 * sum(len(w) + 1 for w in self.learned[0]) + 8 * sum(hi - lo for _, _, lo, hi in parts)
         self.sizes = Sizes(short_size, max(1, n_bits.bit_length()))
-        sums = np.zeros((2, self.sizes.slots()))
-        add_bits(sums, *self.learned, self.sizes, short=False)
-        self.n0, self.n1 = (np.concatenate([a, b[len(a) :].astype(np.float32)]) for a, b in zip(short, sums))
+        sums = np.zeros((2, 1 << self.sizes.long))
+        add_long_bits(sums, *self.learned, self.sizes, np.array(counted, np.int64), np.full(len(counted), 1 << 62))
+        shared, n, lo, hi = zip(*parts) if parts else [()] * 4
+        add_long_bits(sums, list(shared), np.array(n, float), self.sizes, np.array(lo, np.int64), np.array(hi, np.int64))
+        self.n0, self.n1 = (np.concatenate([a, b.astype(np.float32)]) for a, b in zip(short, sums))
 
 
-def in_shards(counts: DataFrame) -> DataFrame:
+def in_shards(counts: DataFrame, splits: Splits = Splits()) -> DataFrame:
     """The words, a partition for each shard, in a mixed order that is alike on every run."""
     n_bits = 8 * (counts.agg(F.sum(F.length("word") + 1)).first()[0] or 0)
-    return counts.repartition(1 + n_bits // SHARD_BITS, F.substring("word", 1, SHORT)).sortWithinPartitions(F.xxhash64("word"), "word")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([splits.way(w + b" ")[1] for w in batch.column(0).to_pylist()], pa.binary())], ["word", "n", "key"])
+
+    dealt = counts.select("word", "n").mapInArrow(run, "word binary, n long, key binary").repartition(1 + n_bits // SHARD_BITS, "key")
+    return dealt.select("word", "n").sortWithinPartitions(F.xxhash64("word"), "word")
 
-def read_shard(batches: Iterator[pa.RecordBatch], short: tuple[np.ndarray, int]) -> Shard:
+
+def read_shard(batches: Iterator[pa.RecordBatch], short: tuple[np.ndarray, int], splits: Splits) -> Shard:
     words, times = [], [np.zeros(0, np.int64)]
     for b in batches:
         words += b.column(0).to_pylist()
         times.append(b.column(1).to_numpy())
-    return Shard(words, np.concatenate(times), *short)
+    return Shard(words, np.concatenate(times), *short, splits)
+
+
+def add_long_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray, sizes: Sizes, lo: np.ndarray, hi: np.ndarray) -> None:
+    """Adds the words' bits in contexts of the whole word so far, those of the bytes from ``lo`` up to ``hi`` of each word."""
+    flat = sums.reshape(-1)
+    for k in range(0, len(words), 1 << 14):
+        bits = Bits(words[k : k + (1 << 14)], sizes)
+        of = bits.word + k
+        at = np.flatnonzero((bits.nth >= lo[of]) & (bits.nth < hi[of]) & (bits.nth >= SHORT))
+        n, context, byte = times[of][at].astype(np.float64), bits.contexts[SHORT][at], bits.flat[at]
+        for level in range(8):
+            slots = slot_of(context, (byte | Z(256)) >> Z(8 - level), SHORT, sizes) - (SHORT << sizes.short)
+            np.add.at(flat, slots + (byte >> Z(7 - level) & Z(1)).astype(np.int64) * sums.shape[1], n)
 
 
-def add_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray, sizes: Sizes = Sizes(), short: bool = True) -> None:
-    """Adds the words' bits to ``sums`` (zeros in the first row, ones in the second), those of short contexts too if ``short``."""
+def add_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray, sizes: Sizes = Sizes()) -> None:
+    """Adds the words' bits in all contexts to ``sums`` (zeros in the first row, ones in the second)."""
     flat = sums.reshape(-1)
     for k in range(0, len(words), 1 << 14):
         bits = Bits(words[k : k + (1 << 14)], sizes)
@@ -359,17 +438,17 @@ def add_bits(sums: np.ndarray, words: list[bytes], times: np.ndarray, sizes: Siz
         deep = np.flatnonzero(bits.nth >= SHORT)
         for slots, bit in bits.levels():
             ones = bit.astype(np.int64) * sums.shape[1]
-            for row in slots[:SHORT] if short else ():
+            for row in slots[:SHORT]:
                 np.add.at(flat, row + ones, n)
             np.add.at(flat, (slots[SHORT] + ones)[deep], n[deep])
 
 
-def train(shards: DataFrame, short: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+def train(shards: DataFrame, short: tuple[np.ndarray, int], splits: Splits) -> tuple[np.ndarray, np.ndarray]:
     """(weights by gate, map sums): the shards learn side by side."""
-    shipped = shards.sparkSession.sparkContext.broadcast(short)
+    shipped = shards.sparkSession.sparkContext.broadcast((short, splits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = read_shard(batches, shipped.value)
+        shard = read_shard(batches, *shipped.value)
         if shard.learned[0]:
             learned = np.concatenate([x.ravel() for x in learn(iter([shard.learned]), shard.n0, shard.n1, shard.sizes)])
             yield pa.RecordBatch.from_arrays([pa.array([learned.tobytes()], pa.binary())], ["learned"])
@@ -385,13 +464,13 @@ def train(shards: DataFrame, short: tuple[np.ndarray, int]) -> tuple[np.ndarray,
     return np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], 0.3), maps
 
 
-def word_costs(shards: DataFrame, short: tuple[np.ndarray, int], learned: tuple[np.ndarray, np.ndarray], n_shards: int) -> DataFrame:
+def word_costs(shards: DataFrame, short: tuple[np.ndarray, int], learned: tuple[np.ndarray, np.ndarray], n_shards: int, splits: Splits) -> DataFrame:
     """(shard, word, n, cost): the words with their hash and its shard of pairs, training count and natural log probability."""
-    shipped = shards.sparkSession.sparkContext.broadcast((short, learned))
+    shipped = shards.sparkSession.sparkContext.broadcast((short, learned, splits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, learned = shipped.value
-        shard = read_shard(batches, short)
+        short, learned, splits = shipped.value
+        shard = read_shard(batches, short, splits)
         model = Model(shard.n0, shard.n1, *learned, shard.sizes)
         for k in range(0, len(shard.words), 1 << 14):
             part = shard.words[k : k + (1 << 14)]
@@ -618,10 +697,11 @@ def score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     n_words, distinct = counts.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, vocabulary = n_words + ends, distinct + (ends > 0)
     short = short_table(counts, ends)
-    shards = in_shards(counts)
-    learned = train(shards, short)
+    splits = split_prefixes(counts)
+    shards = in_shards(counts, splits)
+    learned = train(shards, short, splits)
     n_shards = 1 + total // shard_tokens
-    words = shared.table(word_costs(shards, short, learned, n_shards), "words")
+    words = shared.table(word_costs(shards, short, learned, n_shards, splits), "words")
     nothing = Shard([], np.zeros(0, np.int64), *short)
     end = ends, Model(nothing.n0, nothing.n1, *learned, nothing.sizes).costs([END])[0]
     often = words.filter(F.col("n") > max(shard_tokens // 4, total // HEAVY)).select("word", "n", "cost").toArrow()  # HEAVY rows at most

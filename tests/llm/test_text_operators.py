@@ -253,6 +253,43 @@ def test_lm_tables_grow(spark):
     assert max(loads) <= 0.6
 
 
+def test_lm_words_of_one_prefix_are_spread(spark):
+    words = sorted({b"https://www.site%d.org/%d" % (k % 7, k * 7919 % 1_000_003) for k in range(40_000)} | {b"https", b"https://www.", b"htt", b"h", b"other", b"orchid"})
+    times = np.arange(len(words)) % 5
+    counts = spark.createDataFrame(list(zip(words, times.tolist())), "word binary, n long")
+    splits = mixing_lm.split_prefixes(counts, most_bytes=20_000)
+    dealt = [splits.way(w + b" ")[1] for w in words]
+    sizes = Counter()
+    for w, key in zip(words, dealt):
+        sizes[key] += len(w) + 1
+    assert max(sizes.values()) <= 20_000 < sum(sizes.values())
+    held = mixing_lm.in_shards(counts, splits).rdd.glom().map(len).collect()
+    assert sum(held) == len(words) and max(held) < len(words) / 2
+    # a word's contexts have the counts of all words, whatever shard it is in (a slot that several contexts share has more)
+    want = Counter()
+    for w, n in zip(words, times.tolist()):
+        coded = w + b" "
+        for i in range(3, len(coded)):
+            for level in range(8):
+                want[coded[:i], coded[i] >> 7 - level | 1 << level + 1] += n
+    short, equal, seen = mixing_lm.short_table(counts, 0), 0, 0
+    for key in sorted(set(dealt))[::5]:
+        part = [k for k in range(len(words)) if dealt[k] == key]
+        shard = mixing_lm.Shard([words[k] for k in part], times[part], *short, splits)
+        mine = [words[k] for k in part if times[k]][:20]
+        for level, (slots, bit) in enumerate(mixing_lm.Bits(mine, shard.sizes).levels()) if mine else ():
+            at = 0
+            for coded in (w + b" " for w in mine):
+                for i in range(3, len(coded)):
+                    slot, node = slots[3][at + i], coded[i] >> 7 - level | 1 << level + 1
+                    got = shard.n0[slot], shard.n1[slot]
+                    exact = want[coded[:i], node & ~1], want[coded[:i], node | 1]
+                    assert got[0] >= exact[0] and got[1] >= exact[1]
+                    equal, seen = equal + (got == exact), seen + 1
+                at += len(coded)
+    assert seen and equal > 0.6 * seen
+
+
 def test_lm_prefers_fluent_order(spark, docs):
     rng = np.random.default_rng(4)
     phrases = ["a cold wind blew from the far north", "we sold nine old boats at the lake", "her dog likes to sleep near our door"]
