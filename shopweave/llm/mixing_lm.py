@@ -33,7 +33,7 @@ chunk of texts sends each shard its distinct pairs and their counts once, and th
 chunks and with what it knows of the words before. Chunk and answers then meet by a shuffle. The pairs after a word with more than a
 quarter of a shard's tokens are spread over several shards by the second word; such words go to every task, ``HEAVY`` at
 most. A word before is known by 64 bits, the word after it by 40. The texts are read twice by place, so they must
-come from a stored table (or in a fixed order); a change between the reads is an error.
+come from a stored table (or in a fixed order). A chunk whose numbers of pairs differ between the reads is an error; other changes aren't noticed.
 
 Null text is empty: just the end symbol. Rows with a null ``doc_id`` are scored but
 neither held out nor learned from. Texts of any length are scored whole. Without
