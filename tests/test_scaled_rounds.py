@@ -18,6 +18,22 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rounds_hash_senders_and_do_not_sort_edges(spark):
+    rows = random_edges(50, 4)
+    table = EdgeTable(edges(spark, rows).withColumnRenamed("weight", "w"), rows_per_salt=3)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        active = spark.createDataFrame([(v, 1.0) for v in range(50)], "id long, value double")
+        few, many = (table.send(active, [], F.col("value") * F.col("w"), n) for n in (50, HASH_ROWS * table.tasks + 1))
+        assert "ShuffledHashJoin" in executed(few) and "Sort [" not in executed(few)
+        assert "SortMergeJoin" in executed(many)  # too many to hash
+        key = lambda df: sorted((r.id, r.value) for r in df.collect())
+        assert key(few) == key(many) == sorted((b, w) for _, b, w in rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        table.close()
+
+
 def test_edge_lists_are_merged_before_they_are_mirrored_and_named(spark):
     plan = executed(E.queries()["edges_union"](spark, SF_SMALL))
     assert 0 <= plan.index("Generate") < plan.index("HashAggregate")  # the plan's top comes first
