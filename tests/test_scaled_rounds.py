@@ -34,6 +34,48 @@ def test_rounds_hash_senders_and_do_not_sort_edges(spark):
         table.close()
 
 
+def test_all_triplets_send_and_refused_messages_change_nothing(spark):
+    e = edges(spark, [(1, 2, 1.0), (2, 3, 1.0)])
+    start = P.graph_vertices(e, n=F.lit(0))
+    count = {"n": F.col("n") + F.col("msg")}
+    got = {r.id: r.n for r in P.pregel(start, e, count, F.sum, F.lit(1), active="all", reads_target=False, max_iter=3).collect()}
+    assert got == {1: 0, 2: 3, 3: 3}  # vertex 1 never gets a message and sends all the same
+    got = {r.id: r.n for r in P.pregel(start, e, count, F.sum, F.lit(1), active="all", accepts=F.col("n") + F.col("msg") < 3).collect()}
+    assert got == {1: 0, 2: 2, 3: 2}  # and the loop ends when none is taken
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_rank_program_keeps_sources_without_edges_into_them(spark, weighted):
+    e = edges(spark, [(1, 2, 0.5), (1, 3, 0.5), (2, 3, 1.0), (3, 2, 1.0)])
+    r = {v: 0.15 if v == 1 else 0.0 for v in (1, 2, 3)}
+    for _ in range(4):
+        r = {1: 0.15, 2: 0.85 * (r[1] * 0.5 + r[3]), 3: 0.85 * (r[1] * 0.5 + r[2])}
+    got = {x.id: x["rank"] for x in P.rank_program(e, 1, 0.85, 4, weighted).collect()}
+    assert got == pytest.approx(r, abs=1e-12)
+
+
+def test_path_program_does_not_join_triplets_with_targets(spark, monkeypatch):
+    rows, seen = random_edges(30, 3) + [(k, k + 1, 0.11) for k in range(29)], []
+    plain = P.salted
+    monkeypatch.setattr(P, "salted", lambda *a: seen.append(a) or plain(*a))
+    got = {r.id: r.dist for r in P.path_program(edges(spark, rows), 0).collect()}
+    assert got == pytest.approx(dijkstra(rows, 0)) and not seen
+
+
+def test_normalisation_writes_its_edges_once(spark, monkeypatch):
+    made = []
+
+    class Counted(EdgeTable):
+        def __init__(self, *a, **k):
+            made.append(1)
+            super().__init__(*a, **k)
+
+    monkeypatch.setattr(P, "EdgeTable", Counted)
+    e = edges(spark, TOY)
+    key = lambda df: sorted(tuple(round(x, 12) for x in r) for r in df.collect())
+    assert key(P.out_weight_normalized(e)) == key(G.normalize_out_weights(e)) and len(made) == 1
+
+
 def test_edge_lists_are_merged_before_they_are_mirrored_and_named(spark):
     plan = executed(E.queries()["edges_union"](spark, SF_SMALL))
     assert 0 <= plan.index("Generate") < plan.index("HashAggregate")  # the plan's top comes first
