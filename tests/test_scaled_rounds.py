@@ -80,3 +80,22 @@ def test_edge_lists_are_merged_before_they_are_mirrored_and_named(spark):
     plan = executed(E.queries()["edges_union"](spark, SF_SMALL))
     assert 0 <= plan.index("Generate") < plan.index("HashAggregate")  # the plan's top comes first
     assert plan.count("Generate") == 1
+
+
+def test_power_iteration_runs_by_message_rounds(spark):
+    rows = planted(200, 4)
+    e = edges(spark, rows)
+    want = {r.id: r.cluster for r in power_clusters(e, 4, 12).collect()}
+    assert {r.id: r.cluster for r in C.power_iteration_clusters(e, 4, 12).collect()} == want
+    by_degree = {r.id: r.cluster for r in C.power_iteration_clusters(e, 4, 3, "degree").collect()}
+    assert by_degree.keys() == want.keys() and set(by_degree.values()) <= set(range(4))
+
+
+def test_power_iteration_of_odd_pairs(spark):
+    rows = [(1, 2, 1.0), (2, 3, 1.0), (4, 4, 5.0), (5, 6, 0.0), (1, 6, 0.0)]
+    labels = {r.id: r.cluster for r in C.power_iteration_clusters(edges(spark, rows), 2).collect()}
+    assert labels.keys() == {1, 2, 3, 5, 6} and labels[5] == labels[6] != labels[2]
+    with pytest.raises(ValueError):
+        C.power_iteration_clusters(edges(spark, [(1, 2, -1.0)]), 2)
+    with pytest.raises(ValueError):
+        C.power_iteration_clusters(edges(spark, rows), 2, init_mode="none")
