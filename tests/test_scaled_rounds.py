@@ -82,6 +82,14 @@ def test_edge_lists_are_merged_before_they_are_mirrored_and_named(spark):
     assert plan.count("Generate") == 1
 
 
+def test_mirrored_pairs_with_nulls(spark):
+    """The same edges as when each list is mirrored first: the pair of two nulls merges with its mirror."""
+    rows = [(1, 2, 0.5, 2), (None, 2, 1.0, 1), (1, None, 2.0, 1), (None, None, 4.0, 1)]
+    got = G.mirror_merged(spark.createDataFrame(rows, "user_id long, shop_id long, weight double, n_lists long"))
+    want = [("u1", "s2", 0.5, 2), ("s2", "u1", 0.5, 2), (None, "s2", 1.0, 1), ("s2", None, 1.0, 1), ("u1", None, 2.0, 1), (None, "u1", 2.0, 1), (None, None, 8.0, 2)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_power_iteration_runs_by_message_rounds(spark):
     rows = planted(200, 4)
     e = edges(spark, rows)
