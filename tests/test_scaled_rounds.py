@@ -7,8 +7,9 @@ import __spark_entry__ as E
 from shopweave.operators import clusters as C
 from shopweave.operators import graph as G
 from shopweave.operators import pregel as P
-from shopweave.operators.messages import HASH_ROWS, EdgeTable
+from shopweave.operators.messages import HASH_ROWS, EdgeTable, PlacedEdges
 from shopweave.operators.power_iteration import power_clusters
+from shopweave.session import partial_keys
 from tests.conftest import SF_SMALL
 from tests.test_graph_fixtures import TOY, edges
 from tests.test_vertex_programs import dijkstra, planted, random_edges
@@ -107,3 +108,25 @@ def test_power_iteration_of_odd_pairs(spark):
         C.power_iteration_clusters(edges(spark, [(1, 2, -1.0)]), 2)
     with pytest.raises(ValueError):
         C.power_iteration_clusters(edges(spark, rows), 2, init_mode="none")
+
+
+def test_edges_of_hubs_lie_with_their_targets(spark):
+    """Rounds of paths: a hub's row goes to each place once, and a target's messages come from one place."""
+    rows = [(h, u, 1.0 + (h * u) % 7) for h in range(5) for u in range(100, 400)]
+    rows += [(u, h, w) for h, u, w in rows] + [(1, None, 1.0)]
+    table = PlacedEdges(edges(spark, rows).withColumnRenamed("weight", "w"))
+    try:
+        places = {(r.src, r.dst): r._place for r in table.edges.collect()}
+        assert len(places) == len(rows)
+        for u in range(100, 400):
+            assert len({places[e] for h in range(5) for e in ((h, u), (u, h))}) == 1
+        assert table.places.filter("src < 5").count() <= 5 * table.tasks
+        senders = spark.createDataFrame([(v, 1.0) for v in [*range(5), *range(100, 400), 999]], "src long, dist double")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        with partial_keys(spark):
+            sent = table.triplets(senders, senders.count())
+            assert "disabled by query planner" not in executed(sent)  # the edges stay in their buckets
+            assert sorted((r.src, str(r.dst), r.w) for r in sent.collect()) == sorted((a, str(b), w) for a, b, w in rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        table.close()
