@@ -19,15 +19,16 @@ DELTA_EDGES = 4.0
 STATE_ROWS = 200_000_000
 
 
-def home_city_clusters(user_shop: DataFrame, shop: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def home_city_clusters(user_shop: DataFrame, shop: DataFrame) -> DataFrame:
     """A deterministic clustering: each user's cluster is the location of its heaviest shop.
 
-    (id, cluster); ties in weight go to the smaller shop id. Hash aggregations: the
-    largest weight of a user, then the smallest shop that has it.
+    (id, cluster); ties in weight go to the smaller shop id. One aggregation that combines on the map side: the edges are
+    read once, and a user's best so far is all that is shuffled of it.
     """
-    edges = user_shop.select(F.col("src").alias("id"), F.col("dst").alias("shop_id"), "weight")
-    top = edges.groupBy("id").agg(F.max("weight").alias("best"))
-    home = skew_join(edges, top, "id", rows_per_salt=rows_per_salt).filter("weight = best").groupBy("id").agg(F.min("shop_id").alias("shop_id"))
+    weight, shop_id = F.col("weight"), F.col("dst")
+    best = F.min(F.struct((~F.isnan(weight)).alias("number"), (-weight).alias("weight"), shop_id.isNull().alias("no_shop"), shop_id.alias("shop_id")))
+    known = user_shop.filter(F.col("src").isNotNull() & weight.isNotNull())  # NaN is the largest weight; of equal ones a null shop comes last
+    home = known.groupBy(F.col("src").alias("id")).agg(best.alias("best")).select("id", "best.shop_id")
     return home.join(shop.select("shop_id", F.col("location_id").alias("cluster")), "shop_id").select("id", F.col("cluster").cast("int"))
 
 

@@ -9,7 +9,7 @@ from shopweave.operators import graph as G
 from shopweave.operators import pregel as P
 from shopweave.operators.messages import HASH_ROWS, EdgeTable, PlacedEdges
 from shopweave.operators.power_iteration import power_clusters
-from shopweave.session import partial_keys
+from shopweave.session import partial_keys, stored
 from tests.conftest import SF_SMALL
 from tests.test_graph_fixtures import TOY, edges
 from tests.test_vertex_programs import dijkstra, planted, random_edges
@@ -130,3 +130,13 @@ def test_edges_of_hubs_lie_with_their_targets(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         table.close()
+
+
+def test_home_clusters_read_their_edges_once(spark):
+    nan = float("nan")
+    rows = [(1, 10, 0.5), (1, 11, 0.5), (1, 12, 0.1), (2, 12, nan), (2, 10, 9.0), (3, None, 2.0), (3, 11, 2.0)]
+    rows += [(4, None, 2.0), (4, 11, 1.0), (5, 11, None), (5, 12, -1.0), (6, 10, None), (None, 10, 1.0), (7, 99, 1.0), (8, 10, 0.0), (8, 9, -0.0)]
+    shop = spark.createDataFrame([(s, s * 10) for s in (9, 10, 11, 12)], "shop_id long, location_id int")
+    got = C.home_city_clusters(stored(edges(spark, rows), "user-shop"), shop)
+    assert executed(got).count("FileScan") == 1 and "Subquery" not in executed(got)
+    assert {r.id: r.cluster for r in got.collect()} == {1: 100, 2: 120, 3: 110, 5: 120, 8: 90}
