@@ -45,7 +45,6 @@ from __future__ import annotations
 
 import math
 import os.path
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -73,12 +72,16 @@ EXPERTS = 2 * len(SHARES)  # each share without and with the word before
 SHARD_TOKENS = 2_000_000  # tokens in a shard of pairs
 HEAVY = 1_000_000  # words at most whose pairs are spread over shards
 CHUNK_BYTES = 8 << 20
+HASHED_BYTES = 1 << 17  # of texts whose words are hashed at once
 #: Arrays of a chunk's tokens, and of what it is told, with their kinds.
 CODED = {"number": np.int32, "start": np.int64, "shard": np.int64, "heavy": np.int64, "n_bytes": np.int64, "ids": np.int64, "no_id": np.bool_, "held": np.bool_}
 TOLD = {"n": np.int64, "cost": np.float32, "followers": np.int32, "met": np.int64}
-COUNTED_WORDS = 300_000
+COUNTED_BYTES = 32 << 20  # of all words that a task holds before it counts them
 CELLS = (64, 33)  # last byte (low bits), log odds from -8 to 8 by halves
 BATCH = 1024
+BLANKS = b" \t\n\v\f\r"
+INSIDE = bytes(b not in BLANKS for b in range(256))
+LOWER = bytes(range(256)).lower()
 END = b"\n"
 BEGIN_HASH, END_HASH = 1, 2
 LN10 = math.log(10)
@@ -144,11 +147,16 @@ def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.clip(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))), -8, 8)
 
 
+def in_pairs(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The counts of zeros and ones of each slot side by side (as real and imaginary part), so one look-up finds both."""
+    return np.stack([n0, n1], axis=1).view(np.result_type(n0, np.complex64))[:, 0]
+
+
 def known(n: np.ndarray) -> np.ndarray:
     """How well a context is known, from 0 on."""
     out = np.zeros(n.shape, np.int8)
-    for level in LEVELS:
-        out += n >= level
+    for level in LEVELS.astype(n.dtype):
+        out += (n >= level).view(np.int8)
     return out
 
 
@@ -182,28 +190,34 @@ def learn(batches: Iterator[tuple[list[bytes], np.ndarray]], n0: np.ndarray, n1:
     seen = np.zeros(GATES)
     curve = np.zeros((GATES, CONTEXTS, CONTEXTS))
     maps = np.zeros((2, CELLS[0] * CELLS[1]))
+    pairs = in_pairs(n0, n1)
     for words, times in batches:
         for k in range(0, len(words), BATCH):
             bits = Bits(words[k : k + BATCH], sizes)
             mass = times[k : k + BATCH][bits.word]
             pull, held = np.zeros((GATES, CONTEXTS)), np.zeros(GATES)
             for slots, bit in bits.levels():
-                a, b = n0[slots] - (1 - bit), n1[slots] - bit  # without this occurrence
+                found = pairs.take(slots)
+                a, b = found.real - (1 - bit), found.imag - bit  # without this occurrence
                 gate = gate_of(known(a[2] + b[2]), known(a[3] + b[3]))
                 st = odds(np.maximum(a, 0), np.maximum(b, 0))
                 mixed = mix(st, weights.T.astype(np.float32), gate)
                 p = squash(mixed.astype(np.float64))
                 err, bend = (bit - p) * mass, np.maximum(p * (1 - p), 0.01) * mass
-                for c in range(CONTEXTS):
-                    pull[:, c] += np.bincount(gate, err * st[c], GATES)
-                    for d in range(c + 1):
-                        curve[:, c, d] += np.bincount(gate, bend * st[c] * st[d], GATES)
+                order = gate.astype(np.int8).argsort(kind="stable")  # bits of a gate lie together, and are summed by one product
+                bounds = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
+                x = st.take(order, axis=1).astype(np.float64)
+                weighted = np.vstack([x * bend[order], err[order]])
+                for g in np.flatnonzero(np.diff(bounds)).tolist():
+                    sums = weighted[:, bounds[g] : bounds[g + 1]] @ x[:, bounds[g] : bounds[g + 1]].T
+                    curve[g] += sums[:CONTEXTS]
+                    pull[g] += sums[CONTEXTS]
                 held += np.bincount(gate, mass, GATES)
                 where = cell(bits.last, mixed)
                 maps[0] += np.bincount(where, bit * mass, maps.shape[1])
                 maps[1] += np.bincount(where, mass, maps.shape[1])
             seen += held
-            both = curve + np.tril(curve, -1).transpose(0, 2, 1) + (1 + 0.02 * seen)[:, None, None] * np.eye(CONTEXTS)
+            both = curve + (1 + 0.02 * seen)[:, None, None] * np.eye(CONTEXTS)
             weights += np.linalg.solve(both, pull[..., None])[..., 0]
     return weights, seen, maps
 
@@ -212,27 +226,48 @@ class Model:
     """Fixed tables: the predictors' counts, the weights, the maps."""
 
     def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, maps: np.ndarray, sizes: Sizes = Sizes()):
-        self.n0, self.n1, self.sizes = n0, n1, sizes
+        self.pairs, self.sizes = in_pairs(n0, n1), sizes
         self.weights = np.ascontiguousarray(weights.T.astype(np.float32))
         centre = squash((np.arange(CELLS[1]) / 2 - 8)[None].repeat(CELLS[0], 0).ravel())
         self.map = (maps[0] + 8 * centre) / (maps[1] + 8)
 
     def bit_probability(self, bits: Bits, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """The refined probability of each bit as it is."""
-        a, b = self.n0[slots], self.n1[slots]
+        found = self.pairs.take(slots)
+        a, b = found.real, found.imag
         mixed = mix(odds(a, b), self.weights, gate_of(known(a[2] + b[2]), known(a[3] + b[3])))
         q = np.clip((squash(mixed.astype(np.float64)) + self.map[cell(bits.last, mixed)]) / 2, 1e-7, 1 - 1e-7)
         return np.where(bit == 1, q, 1 - q)
 
     def costs(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word."""
-        if not words:
-            return np.zeros(0)
-        bits = Bits(words, self.sizes)
-        total = np.zeros(len(bits.flat))
-        for slots, bit in bits.levels():
-            total += np.log(self.bit_probability(bits, slots, bit))
-        return np.add.reduceat(total, bits.start)
+        out = [np.zeros(0)]
+        for k in range(0, len(words), BATCH):
+            bits = Bits(words[k : k + BATCH], self.sizes)
+            byte = np.ones(len(bits.flat))  # the product of its bits' probabilities
+            for slots, bit in bits.levels():
+                byte *= self.bit_probability(bits, slots, bit)
+            out.append(np.add.reduceat(np.log(byte), bits.start))
+        return np.concatenate(out)
+
+
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (none below 0) in ascending order and their places, equal ones by place. Key and place are sorted as one number, if they fit."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)) >> 63 - bits:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    packed = np.sort(keys << bits | np.arange(len(keys)))
+    return packed >> bits, packed & (1 << bits) - 1
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and the number there of each key."""
+    key, order = in_order(keys)
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return key[new], at
 
 
 def own_share(word: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -240,9 +275,7 @@ def own_share(word: np.ndarray, start: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(start, len(word)))
     text = np.repeat(np.arange(len(start)), size)
     nth = np.arange(len(word)) - start[text]
-    key = text << 32 | word
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, order = in_order(text * (int(word.max(initial=0)) + 1) + word)
     same = np.append(False, key[1:] == key[:-1])
     run = np.arange(len(word)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(word))))
     before = np.empty(len(word))
@@ -253,11 +286,13 @@ def own_share(word: np.ndarray, start: np.ndarray) -> np.ndarray:
 def expert_logs(logs: np.ndarray, own: np.ndarray) -> np.ndarray:
     """By expert: natural log of each word's probability with the text's own words mixed in."""
     out = np.empty((len(SHARES), len(logs)))
-    static = np.exp(logs)
+    first, again = np.flatnonzero(own < 0), np.flatnonzero(own > 0)
+    static, own = np.exp(logs[again]), own[again]
     for e, share in enumerate(SHARES):
-        with np.errstate(divide="ignore"):
-            mixed = np.log((1 - share) * static + share * np.maximum(own, 0))
-        out[e] = np.where(own < 0, logs, np.where(own == 0, logs + math.log(1 - share), mixed)) if share else logs
+        out[e] = logs + math.log(1 - share)
+        if share:
+            out[e][again] = np.log((1 - share) * static + share * own)
+        out[e][first] = logs[first]
     return out
 
 
@@ -266,25 +301,37 @@ def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndar
     return np.logaddexp.reduce(np.add.reduceat(expert_logs(costs, own_share(word, start)), start, axis=1), 0) - math.log(len(SHARES))
 
 
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(all words, A to Z in lower case; first word of each text)."""
+    buffer = b"\n".join(texts) + b"\n"
+    inside = np.frombuffer(buffer.translate(INSIDE), bool)
+    edges = np.flatnonzero(np.diff(inside, prepend=False))  # starts and ends by turns
+    ends = np.append(0, np.cumsum(edges[1::2] - edges[::2]))  # of the words without what is between them
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(buffer.translate(LOWER, BLANKS))])
+    return words, np.searchsorted(edges[::2], np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
 def word_counts(texts: DataFrame, shared: Shared) -> DataFrame:
     """(word, n): all words and how often the training texts have them; tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Array] = []
+        learned: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            coded = pa.chunked_array(held, pa.large_binary()).combine_chunks().dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy()[np.concatenate(learned)], minlength=len(coded.dictionary))
+            return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
         for batch in pieces(batches, "text", 4 << 20):
-            for learned, t in zip(batch.column("learned").to_pylist(), to_bytes(batch.column("text"))):
-                if learned:
-                    held.update(t.lower().split())
-                else:
-                    held.update(dict.fromkeys(t.lower().split(), 0))
-            if len(held) > COUNTED_WORDS:
+            words, first = cut_words(to_bytes(batch.column("text")))
+            held.append(words)
+            learned.append(np.repeat(batch.column("learned").to_numpy(zero_copy_only=False), np.diff(first)))
+            if sum(w.nbytes for w in held) > COUNTED_BYTES:
                 yield out()
-                held = Counter()
-        yield out()
+                held, learned = [], []
+        if held:
+            yield out()
 
     counts = texts.select("learned", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return shared.table(counts, "counts")
@@ -490,7 +537,7 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def pack(x: np.ndarray) -> bytes:
     """An array's bytes, compressed: first bytes of all numbers first, then the second ones, and so on."""
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
@@ -518,12 +565,20 @@ def paired_logs(logs: np.ndarray, n: np.ndarray, followers: np.ndarray, met: np.
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word and end symbol, first of each text, bytes of each text)."""
-    w = flat_words(texts, lower=True)
-    nth = np.arange(len(texts))
-    words = np.full(len(w.hash) + len(texts), Z(END_HASH))
-    words[np.arange(len(w.hash)) + np.repeat(nth, np.diff(w.first))] = w.hash
-    size = np.append(0, np.cumsum(w.end - w.start))
-    return words, w.first[:-1] + nth, size[w.first[1:]] - size[w.first[:-1]] + np.diff(w.first) + 1
+    ends = np.cumsum([len(t) for t in texts]) // HASHED_BYTES  # hashed in parts that a processor's cache holds
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    hashes, count, n_bytes = [], [], []
+    for lo, hi in zip(cuts, cuts[1:]):
+        w = flat_words(texts[lo:hi], lower=True)
+        size = np.append(0, np.cumsum(w.end - w.start))
+        hashes.append(w.hash)
+        count.append(np.diff(w.first))
+        n_bytes.append(size[w.first[1:]] - size[w.first[:-1]] + count[-1] + 1)
+    count = np.concatenate(count)
+    start = np.cumsum(count + 1) - count - 1
+    words = np.full(int(count.sum()) + len(texts), Z(END_HASH))
+    words[np.arange(int(count.sum())) + np.repeat(np.arange(len(texts)), count)] = np.concatenate(hashes)
+    return words, start, np.concatenate(n_bytes)
 
 
 class Heavy:
@@ -546,12 +601,12 @@ class Chunk:
         self.number, self.start = number, start
         self.before = np.append(0, number[:-1])
         self.before[start] = 0
-        keys, at = np.unique(self.before * len(shard) + number, return_inverse=True)
+        keys, at = ranked(self.before * len(shard) + number)
         b, w = keys // len(shard), keys % len(shard)
         ways = np.where(heavy >= 0, known.ways[heavy], 1)[b]
         to = (shard[b] + shard[w] * ways // known.n_shards) % known.n_shards
-        order = np.argsort(to, kind="stable")
-        self.to, self.b, self.w = to[order], b[order], w[order]
+        self.to, order = in_order(to)
+        self.b, self.w = b[order], w[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pair = place[at]  # of each token
@@ -561,8 +616,9 @@ class Chunk:
 def numbered(texts: list[bytes], known: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, their shards, their places among the heavy ones or -1, number of each token, first of each text, bytes of each text)."""
     words, start, n_bytes = tokens(texts)
-    distinct, number = np.unique(np.append(np.array([BEGIN_HASH, END_HASH], Z), words), return_inverse=True)
-    return distinct, shard_of(distinct, known.n_shards), find(known.words, distinct), number[2:], start, n_bytes
+    coded = pa.array(np.append(np.array([BEGIN_HASH, END_HASH], Z), words)).dictionary_encode()
+    distinct, at = np.unique(coded.dictionary.to_numpy(), return_inverse=True)
+    return distinct, shard_of(distinct, known.n_shards), find(known.words, distinct), at[coded.indices.to_numpy()[2:]], start, n_bytes
 
 
 def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -612,9 +668,11 @@ def answers(asked: DataFrame, words: DataFrame, known) -> DataFrame:
         run_ends = np.cumsum([len(b) for b in befores])
         b = np.repeat(at, np.concatenate(runs))
         keys = mix64(distinct[b] * SPREAD[0] + np.concatenate([unpack(r["words"], Z) for r in rows]) * SPREAD[1])
-        _, first, pair = np.unique(keys, return_index=True, return_inverse=True)
+        pair = pa.array(keys).dictionary_encode().indices.to_numpy()
         met = np.bincount(pair, np.concatenate([unpack(r["n"], np.int32) for r in rows])).astype(np.int64)
-        followers = np.bincount(b[first][met > 0], minlength=len(distinct))
+        before = np.empty(len(met), np.int64)
+        before[pair] = b
+        followers = np.bincount(before[met > 0], minlength=len(distinct))
         order = np.argsort(hashes := words.column("word").to_numpy().view(Z))
         place = find(hashes[order], distinct)
         n, cost = (np.where(place >= 0, np.append(words.column(c).to_numpy()[order], 0)[place], 0) for c in ("n", "cost"))

@@ -320,6 +320,49 @@ def test_lm_own_words_count():
     assert abs(mixing_lm.text_logs(costs, word, start)[0] - math.log(want)) < 1e-9
 
 
+def test_lm_sorts_equal_unique():
+    rng = np.random.default_rng(8)
+    for keys in (rng.integers(0, 50, 500), rng.integers(0, 1 << 62, 500).repeat(2), np.array([7]), np.zeros(0, np.int64)):
+        for got, want in zip(mixing_lm.ranked(keys), np.unique(keys, return_inverse=True)):
+            assert np.array_equal(got, want)
+        assert np.array_equal(mixing_lm.in_order(keys)[1], np.argsort(keys, kind="stable"))
+
+
+def test_lm_words_are_those_of_split():
+    texts = [b"", b" \t", b"A b\x0bC\r\nb", "\u00c9T\u00c9 \u00a0x".encode(), b"one", b"\x1c \x85 z " * 40_000, b"end "]
+    want = [t.lower().split() for t in texts]
+    words, first = mixing_lm.cut_words(texts)
+    assert words.to_pylist() == [w for ws in want for w in ws] and np.diff(first).tolist() == [len(ws) for ws in want]
+    hashes, start, n_bytes = mixing_lm.tokens(texts)
+    whole = mixing_lm.flat_words(texts, lower=True)  # all at once
+    assert np.array_equal(np.delete(hashes, np.append(start[1:], len(hashes)) - 1), whole.hash)
+    assert np.diff(np.append(start, len(hashes))).tolist() == [len(ws) + 1 for ws in want]
+    assert n_bytes.tolist() == [sum(len(w) + 1 for w in ws) + 1 for ws in want]
+
+
+def test_lm_learns_by_the_sums_of_each_gate():
+    rng = np.random.default_rng(9)
+    words = sorted({bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in rng.integers(1, 7, 300)})
+    times = rng.integers(1, 400, len(words)).astype(float)
+    sums = np.zeros((2, mixing_lm.CONTEXTS * mixing_lm.SLOTS))
+    mixing_lm.add_bits(sums, words, times)
+    n = mixing_lm.CONTEXTS
+    pull, curve, seen = np.zeros((mixing_lm.GATES, n)), np.zeros((mixing_lm.GATES, n, n)), np.zeros(mixing_lm.GATES)
+    bits = mixing_lm.Bits(words)
+    for slots, bit in bits.levels():  # a bit at a time
+        for i, b in enumerate(bit):
+            zeros, ones = sums[0][slots[:, i]] - (1 - b), sums[1][slots[:, i]] - b
+            level = [sum(zeros[c] + ones[c] >= x for x in mixing_lm.LEVELS) for c in (2, 3)]
+            gate, st = level[0] * (len(mixing_lm.LEVELS) + 1) + level[1], mixing_lm.odds(zeros, ones).astype(float)
+            p, mass = 1 / (1 + math.exp(-0.3 * st.sum())), times[bits.word[i]]
+            pull[gate] += (b - p) * mass * st
+            curve[gate] += max(p * (1 - p), 0.01) * mass * np.outer(st, st)
+            seen[gate] += mass
+    want = [0.3 + np.linalg.solve(curve[g] + (1 + 0.02 * seen[g]) * np.eye(n), pull[g]) for g in range(mixing_lm.GATES)]
+    got, held, _ = mixing_lm.learn(iter([(words, times)]), *sums)
+    assert len(words) <= mixing_lm.BATCH and np.allclose(got, want, atol=1e-4) and np.allclose(held, seen) and (seen > 0).sum() > 3
+
+
 def test_empty_tables(empty):
     for out in (bpe.encode_digests(empty, PATH), quality.quality_rules(empty), licenses.scan(empty), mixing_lm.score(empty), langid.keep_identified(empty)):
         assert out.count() == 0
