@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from shopweave.llm.common import Shared, pieces, to_bytes
 from shopweave.llm.langid import held_out
-from shopweave.llm.words import SPREAD, STEP, flat_words, mix64
+from shopweave.llm.words import SPREAD, STEP, flat_words, joined_hashes, mix64
 
 HELD_OUT_MOD = 10
 SLOT_BITS = 20  # where no other size is given
@@ -104,8 +104,12 @@ class Sizes(NamedTuple):
 
 
 def slot_of(context: np.ndarray, node: np.ndarray, row: int, sizes: Sizes) -> np.ndarray:
-    size = sizes.short if row < SHORT else sizes.long
-    return ((context ^ node * SPREAD[8 + row]) * STEP >> Z(64 - size)).astype(np.int64) + (row << sizes.short)
+    out = node * SPREAD[8 + row]
+    out ^= context
+    out *= STEP
+    out >>= Z(64 - (sizes.short if row < SHORT else sizes.long))
+    out += Z(row << sizes.short)
+    return out.view(np.int64)
 
 
 class Bits:
@@ -138,7 +142,7 @@ class Bits:
             node = (self.flat | Z(256)) >> Z(8 - k)
             bit = self.flat >> Z(7 - k) & Z(1)
             slots = np.stack([slot_of(c, node, i, self.sizes) for i, c in enumerate(self.contexts)])
-            slots[SHORT] = np.where(self.nth < SHORT, slots[SHORT - 1], slots[SHORT])  # the word so far is short
+            np.copyto(slots[SHORT], slots[SHORT - 1], where=self.nth < SHORT)  # the word so far is short
             yield slots, bit.astype(np.float32)
 
 
@@ -301,14 +305,19 @@ def text_logs(costs: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndar
     return np.logaddexp.reduce(np.add.reduceat(expert_logs(costs, own_share(word, start)), start, axis=1), 0) - math.log(len(SHARES))
 
 
-def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
-    """(all words, A to Z in lower case; first word of each text)."""
+def cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(all words end to end, A to Z in lower case; where each ends, after a 0; first word of each text)."""
     buffer = b"\n".join(texts) + b"\n"
     inside = np.frombuffer(buffer.translate(INSIDE), bool)
     edges = np.flatnonzero(np.diff(inside, prepend=False))  # starts and ends by turns
-    ends = np.append(0, np.cumsum(edges[1::2] - edges[::2]))  # of the words without what is between them
-    words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(buffer.translate(LOWER, BLANKS))])
-    return words, np.searchsorted(edges[::2], np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    ends = np.append(0, np.cumsum(edges[1::2] - edges[::2]))
+    return buffer.translate(LOWER, BLANKS), ends, np.searchsorted(edges[::2], np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(all words, A to Z in lower case; first word of each text)."""
+    joined, ends, first = cut(texts)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(joined)]), first
 
 
 def word_counts(texts: DataFrame, shared: Shared) -> DataFrame:
@@ -569,11 +578,10 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
     hashes, count, n_bytes = [], [], []
     for lo, hi in zip(cuts, cuts[1:]):
-        w = flat_words(texts[lo:hi], lower=True)
-        size = np.append(0, np.cumsum(w.end - w.start))
-        hashes.append(w.hash)
-        count.append(np.diff(w.first))
-        n_bytes.append(size[w.first[1:]] - size[w.first[:-1]] + count[-1] + 1)
+        joined, ends, first = cut(texts[lo:hi])
+        hashes.append(joined_hashes(np.frombuffer(joined, np.uint8), ends))
+        count.append(np.diff(first))
+        n_bytes.append(np.diff(ends[first]) + count[-1] + 1)
     count = np.concatenate(count)
     start = np.cumsum(count + 1) - count - 1
     words = np.full(int(count.sum()) + len(texts), Z(END_HASH))

@@ -59,6 +59,16 @@ def flat_words(texts: list[bytes], lower: bool = False) -> Words:
     return Words(buffer, start, end, first, mix64(np.add.reduceat(value, start) + (end - start).astype(np.uint64)))
 
 
+def joined_hashes(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of words that lie end to end: word i is flat[ends[i]:ends[i + 1]]. The same as of ``flat_words``."""
+    size = np.diff(ends)
+    if not len(size):
+        return np.empty(0, np.uint64)
+    value = (STEP ** np.arange(int(size.max()), dtype=np.uint64)).take(np.arange(len(flat)) - np.repeat(ends[:-1], size))
+    value *= BYTE.take(flat)
+    return mix64(np.add.reduceat(value, ends[:-1]) + size.astype(np.uint64))
+
+
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` words from each place on (fewer places than words by size - 1)."""
     n = max(0, len(hashes) - size + 1)
